@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "language")
+MODULES = ("bpe", "language", "chat")
 
 
 def queries() -> dict:
