@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "language", "chat", "simhash")
+MODULES = ("bpe", "language", "chat", "simhash", "pii")
 
 
 def queries() -> dict:
