@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "language", "chat", "simhash", "pii", "decontaminate", "html", "neighbours", "urls")
+MODULES = ("bpe", "language", "chat", "simhash", "pii", "decontaminate", "html", "neighbours", "urls", "repeats")
 
 
 def queries() -> dict:
