@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("grocery",)
+
 
 def queries() -> dict:
-    return {}
+    out = {}
+    for name in MODULES:
+        out |= import_module(f"larder.plans.{name}").QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {}
+    for name in MODULES:
+        out |= import_module(f"larder.plans.{name}").ORACLE_SQL
+    return out
