@@ -27,7 +27,7 @@ select o_orderkey as recipe_id, o_custkey as user_id, case when o_orderkey % 9 =
   concat('Recipe ', cast(o_orderkey as varchar(20))) as title, o_orderdate as saved_at,
   case when o_orderkey % 13 = 0 then '' else concat('https://www.site', cast(o_custkey % 50 as varchar(20)), '.example.com/r/', cast(o_orderkey % 1000 as varchar(20))) end as source_url,
   o_orderpriority as tag, case o_orderstatus when 'F' then 'dinner' when 'O' then 'quick dessert' else 'Breakfast' end as category,
-  case when o_orderkey % 7 = 0 then null else floor(o_totalprice / 100) end as declared_calories
+  case when o_orderkey % 7 = 0 then null else cast(floor(o_totalprice / 100) as bigint) end as declared_calories
 from orders"""
 MEALS = """
 select o_custkey % 40 as user_id, cast(date_trunc('week', o_orderdate) as date) as week_start, o_orderkey % 7 as day_no, o_orderkey % 3 as slot,
