@@ -43,7 +43,7 @@ from .staging import stage
 LENGTH = 200
 GRAM = 24
 HOT = 50_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 PLACE = (1 << 24) - 1
 BASE = 0x9E3779B97F4A7C15
 COVER = "grp long, rid long, start long, end long"
@@ -65,7 +65,7 @@ _KEPT: dict = {}
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each GRAM bytes on end."""
     if len(_KEPT.get("up", ())) < len(data) + 1:
-        _KEPT["up"], _KEPT["down"] = _powers(max(len(data) + 1, SLICE + (1 << 20)))
+        _KEPT["up"], _KEPT["down"] = _powers(max(len(data) + 1, SLICE + (1 << 16)))
     up, down = _KEPT["up"], _KEPT["down"]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])

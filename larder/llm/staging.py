@@ -24,3 +24,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession).rstrip('/')}/larder/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of an Arrow batch between Spark and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches by which texts go to and from Python workers, which by default hold 10,000 texts each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
