@@ -36,7 +36,7 @@ WORD_PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 SCAN_LIMIT = 96
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 NO_RANK = 1 << 60
 
 
@@ -148,7 +148,7 @@ def id_array(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *rows]), pa.int32()))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that their texts are of about ``most`` bytes at a time."""
     for batch in batches:
         sizes = np.diff(np.frombuffer(batch.column(column).cast(pa.large_string()).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else []
