@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("grocery", "scalars", "events", "library", "nutrition", "extraction", "streams", "sharing")
+MODULES = ("grocery", "scalars", "events", "library", "nutrition", "extraction", "streams", "sharing", "posts")
 
 
 def queries() -> dict:

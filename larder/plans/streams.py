@@ -78,6 +78,7 @@ def x23_search_results(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (r4_lockout, r5_dedupe, r6_first_touch, r8_upsert, t1_text_recipes, t2_split_blob, t3_likely_ingredient, q7_step_timers, x15_post_texts, x23_search_results)}
 ORACLE_SQL = {
+    "r5_dedupe": "select distinct user_id, event_type from events",
     "r6_first_touch": "select user_id, arg_min(event_id, ts) as event_id from events where event_type = 'view' and user_id % 3 <> 0 group by user_id",
     "r8_upsert": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id",
     "t1_text_recipes": """select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step', 'step']) as kind, unnest(['Soup ' || doc_id, '1 cup milk', 'salt', 'Heat the milk.', 'Serve.']) as text from documents where doc_id % 2 = 0

@@ -102,3 +102,16 @@ def upsert(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
 
     stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(versions[-1])
+
+
+def extract(stream: DataFrame, folder: str) -> DataFrame:
+    """New pages are read by the best layer as they come; each batch writes its own recipes."""
+    from larder.operators.pages import best_layer
+
+    spark, at = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        best_layer(batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
