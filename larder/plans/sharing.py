@@ -121,10 +121,18 @@ def s2_import_library(spark, sf_dir):
     return rows.where("r.title is not null and r.ingredients is not null").select(F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "r.title"), 256).alias("id"), "r.title")
 
 
-QUERIES |= {f.__name__: f for f in (x27_model_recipe, x17_short_video_caption, p13_valid_normalized, j11_enrich_results, s12_markdown, s10_schema_org, d6_share_description, s2_import_library)}
+def s4_export_library(spark, sf_dir):
+    """One envelope per user, recipes in order of their ids."""
+    recipe = F.struct("recipe_id", "title", F.col("source_url").alias("url"))
+    users = bound(spark, sf_dir, "recipes").groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(recipe)).alias("r"))
+    return users.select("user_id", F.to_json(F.struct(F.lit(1).alias("version"), F.col("n").alias("recipeCount"), F.transform("r", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("recipes"))).alias("envelope"))
+
+
+QUERIES |= {f.__name__: f for f in (s4_export_library, x27_model_recipe, x17_short_video_caption, p13_valid_normalized, j11_enrich_results, s12_markdown, s10_schema_org, d6_share_description, s2_import_library)}
 _CARDS = "--and cards as (select r.*, l.names from recipes r join (select recipe_id, list(name order by line_no, part_no, supp_no) as names from lines group by recipe_id) l on r.recipe_id = l.recipe_id) "
 _TEXT = "array_to_string(names[1:3], ', ') || case when len(names) > 3 then ', and ' || (len(names) - 3) || ' more' else '' end || case when servings is not null then '. Serves ' || servings else '' end"
 ORACLE_SQL |= {
+    "s4_export_library": with_tables("select user_id, cast(json_object('version', 1, 'recipeCount', count(*), 'recipes', list(json_object('title', title, 'url', source_url) order by recipe_id)) as varchar) as envelope from recipes group by user_id", "recipes"),
     "x27_model_recipe": "select o_orderkey, 'R' || o_orderkey as title from orders where o_orderkey % 4 = 1",
     "x17_short_video_caption": "select page_id, repeat('soup ', 12) || page_id as caption from pages",
     "p13_valid_normalized": "select o_orderkey, 'a' || o_orderkey as raw, case o_orderkey % 3 when 0 then 'MATCH' else 'SKIP' end as action, cast(o_orderkey % 90 as double) as grams from orders where o_orderkey % 3 < 2",
