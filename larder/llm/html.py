@@ -40,7 +40,8 @@ TOKEN = re.compile(
     r"|<(script|style|noscript|template|textarea|title|iframe|svg|object|select|canvas|video|audio|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
+    r"|<[!?/][^>]*>"
+    r"|<[!?/a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -1,0 +1,227 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeats and extra columns, against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from larder.llm import bpe, chat, decontaminate, golay, html, language, neighbours, pii, repeats, simhash, urls
+from larder.llm.components import components
+from larder.llm.staging import stage
+
+ODD = [None, "", " ", "a", "é" * 300, "<|endoftext|> x", "x" * 3000, "don't 😀😀 stop\n\n\n  now\x85", "0123456789" * 40, "a b"]
+
+
+def docs(spark, texts, extra=True):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return df.withColumn("ids", F.lit("clash")).withColumn("spans", F.lit(1)) if extra else df
+
+
+def test_bpe_equals_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.no_truncation(), t.no_padding()
+    for r in bpe.round_trip(docs(spark, ODD).withColumn("t", F.col("text"))).collect():
+        want = t.encode(r.t or "", add_special_tokens=False).ids
+        assert r.ids == want and r.decoded == t.decode(want, skip_special_tokens=False)
+    coded = bpe.encode(docs(spark, ODD))
+    assert [r.decoded for r in bpe.decode(coded).orderBy("doc_id").collect()] == [x or "" for x in ODD]
+    assert bpe.round_trip(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_golay_keys_meet_within_one_bit():
+    x = np.random.default_rng(1).integers(0, 1 << 23, 400)
+    own = [set(r[r >= 0].tolist()) for r in golay.keys(x)]
+    assert {len(s) for s in own} <= {1, 6}
+    for b in range(23):
+        assert all(s & set(r[r >= 0].tolist()) for s, r in zip(own, golay.keys(x ^ (1 << b))))
+
+
+@pytest.mark.parametrize("limit", [2, 32])
+def test_fingerprint_links_equal_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+    rng, points = random.Random(limit), {5}
+    while len(points) < 120:
+        x = rng.choice(sorted(points))
+        for _ in range(rng.choice([1, 2, 3])):
+            x ^= 1 << rng.randrange(64)
+        points.add(x)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in points)
+    parent = {p: p for p in signed}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in signed:
+        for j in signed:
+            if j < i and bin((i ^ j) & (1 << 64) - 1).count("1") <= 2:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    roots = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()}
+    assert all(roots.get(p, p) == find(p) for p in signed)
+
+
+def test_simhash_of_odd_texts(spark):
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, ODD)).collect()}
+    assert got[0].fp == got[1].fp == got[2].fp == 0 and {got[k].component_id for k in (0, 1, 2)} == {0}
+    h = np.array([xxhash.xxh64_intdigest(b"a b", 42)], np.uint64)
+    assert got[9].fp == simhash.fingerprint(h) == int(h.view(np.int64)[0])
+    assert simhash.near_duplicates(docs(spark, ODD).limit(0)).count() == 0
+
+
+def brute_repeats(texts):
+    raw = [(t or "").encode() for t in texts]
+    n = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if n[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        out.append(bytes(x for x, g in zip(b, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("hot", [50_000, 2, 0])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    shared = [word(rng.randrange(150, 420)) for _ in range(6)]
+    texts = ["x" * 199, "x" * 200, "ab" * 500, "é" * 150, None, ""]
+    texts += ["".join(rng.choice([word(rng.randrange(90)), (p := rng.choice(shared))[rng.randrange(50) : len(p) - rng.randrange(50)]]) for _ in range(4)) for _ in range(40)]
+    table = stage(docs(spark, texts).repartition(3), "docs")
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove(table).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats(texts)
+    assert repeats.remove(stage(docs(spark, ODD).limit(0), "none")).count() == 0
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (c > "4") for i, c in enumerate(d[::-1])) % 10 == 0
+            if {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_spans_equal_the_plain_patterns(spark):
+    rng = random.Random(3)
+    texts = [*ODD, "a@b.cd_e@f.g 1.2.3.4.5.6.7.8 4111-1111-1111-1111 +1 (743) 555-3824", "a" * 20000, "1" * 20000]
+    texts += ["".join(rng.choice(["a", "@", ".", "_", "-", "+", "1", "4111111111111111", "256", " ", "(", "😀"]) for _ in range(rng.randrange(1, 50))) for _ in range(400)]
+    model = pii.train(docs(spark, texts))
+    for r in pii.find(docs(spark, texts).withColumn("t", F.col("text")), model).collect():
+        got = [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans if s.kind < len(pii.BASE)]
+        assert got == base_spans(r.t or ""), r.t
+    redacted = pii.redact(docs(spark, ["x a@b.cd, y", None, "clean"], extra=False), model).orderBy("doc_id").collect()
+    assert [r.text for r in redacted] == ["x [email], y", None, "clean"]
+
+
+def test_pii_model_adds_where_it_is_calibrated():
+    cell = {f: 0 for f in pii.FEATURES}
+    rows = [cell | {"luhn": k, "digits": 5, "label": bool(k), "held": h, "n": 400} for k in (0, 1) for h in (False, True)]
+    model = pii.fit(rows)
+    assert model.score(cell | {"luhn": 1, "digits": 5}) >= model.threshold > model.score(cell | {"digits": 5})
+    assert pii.fit([]).threshold == float("inf")
+
+
+def test_language(spark):
+    rng = random.Random(1)
+    words = {"en": "the of and to in that is was he for it with as his on be at by".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split()}
+    rows = [(k, " ".join(rng.choices(words[lang], k=30)), lang) for k, lang in enumerate(["en", "de"] * 20)] + [(90, None, "en"), (91, "123 !", "de"), (92, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in language.predict(df, language.train(df)).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang in rows[:40])
+    assert got[90].lang_pred == got[91].lang_pred == "und" and got[90].score == 0 and all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in language.predict(df, language.train(df.limit(0))).collect()} == {"und"}
+
+
+def test_smith_waterman_equals_the_plain_recurrence():
+    rng = random.Random(2)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(1, n))] for n in (9, 14))
+        h = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x, 1):
+            for j, b in enumerate(y, 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if a == b else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        score, start, end = decontaminate.align(x, y)
+        assert score == max(map(max, h)) and decontaminate.align(x, y[start:end])[0] == score
+
+
+def test_decontamination_both_ways(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    items = [" ".join(rng.choices(vocabulary, k=20)) for _ in range(12)] + [None, "", "two words"]
+    edited = items[1].split()
+    edited[5], edited[11] = "changed", "other"
+    texts = [*ODD, "start " + items[0] + " end", " ".join(edited).upper(), " ".join(rng.choices(vocabulary, k=60)), items[2], items[2], "so two words here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = docs(spark, texts).withColumn("leaks", F.lit(0))
+    by_workers = sorted((r.doc_id, x.item_id, x.score, x.start, x.end) for r in decontaminate.find(table, bench).collect() for x in r.leaks)
+    by_join = sorted((r.doc_id, x.item_id, x.score, x.start, x.end) for r in decontaminate._by_join(table, bench, "text").collect() for x in r.leaks)
+    assert by_workers == by_join
+    assert [(d - 10, i) for d, i, *_ in by_workers] == [(0, 0), (1, 1), (3, 2), (4, 2), (5, 14)]
+
+
+PAGE = "<html><head><title>t</title><script>'</p>'</script></head><body><nav><li>menu</li></nav><div>Site banner text</div>{}<footer>foot</footer></body></html>"
+
+
+def test_html(spark):
+    assert html.main_text(PAGE.format("<article><h1>A &amp; B</h1><p>one<b> two<br>three<p>four</article><div class='comments'>bad</div>")) == "A & B one two three four"
+    assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
+    rows = [(k, f"https://h.example/{k}", PAGE.format(f"<div><p>story {k} is new</p></div>")) for k in range(8)] + [(99, None, None), (7, "https://h.example/7", PAGE.format("<div><p>story 7 is new</p></div>"))]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == sorted([f"story {k} is new" for k in range(8)] + ["", "story 7 is new"])
+
+
+def test_chat(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(1, 0, "user", said), (1, 1, "assistant", "<\\|x"), (2, 1, "assistant", None), (2, 0, None, ""), (3, 0, "a\nb", "x"), (None, 0, "user", "q"), (1, 1, "assistant", "<\\|x")]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    digest = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got[1].turns_sha256 == digest(("user", said), ("assistant", "<\\|x"), ("assistant", "<\\|x")) and got[1].n_problems == 1 and got[1].loss_chars == 8
+    assert got[2].turns_sha256 == digest(("", ""), ("assistant", "")) and got[2].n_problems == 2
+    assert got[3].turns_sha256 == digest(("a\nb", "x")) and got[None].n_turns == 1 and got[None].ends_open
+
+
+def test_neighbours_recall_and_ties(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)]
+    v[100:140] = v[100]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0])]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -2
+        hits += len(set(np.lexsort((np.arange(3000), -s))[:5].tolist()) & set(got[q].values()))
+    assert hits / 300 >= 0.9 and set(got) == set(range(0, 3000, 50))
+    assert [got[100][k] for k in range(1, 6)] == [101, 102, 103, 104, 105]
+    assert neighbours.search(spark.createDataFrame([(50, None)], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
+
+
+def test_urls(spark):
+    day = lambda n: f"2024-01-{n:02d}"
+    entries = [("bad", "block", "domain", "b.example", "add", day(5)), ("bad", "block", "domain", "b.example", "remove", day(9)), ("bad", "block", "domain", "b.example", "add", day(6)), ("good", "allow", "prefix", "x.b.example/ok", "add", day(1))]
+    table = spark.createDataFrame(entries, "list string, effect string, kind string, pattern string, action string, at string").withColumn("at", F.to_date("at"))
+    asked = [("http://x.b.example/p", day(4)), ("http://x.b.example/p", day(5)), ("http://x.b.example/p", day(9)), ("http://X.B.example/ok/q?z", day(7)), (None, day(7)), ("http://b.example", None)]
+    captures = spark.createDataFrame([(k, *x) for k, x in enumerate(asked)], "id int, url string, fetched string").withColumn("fetched", F.to_date("fetched")).withColumn("blocked", F.lit("clash"))
+    got = {r.id: (r.blocked, r.n_active) for r in urls.evaluate(captures, table).collect()}
+    assert got == {0: (False, 0), 1: (True, 1), 2: (False, 0), 3: (False, 2), 4: (False, 0), 5: (False, 0)}
+    assert urls.evaluate(captures, table.limit(0)).where("blocked").count() == 0
