@@ -36,7 +36,7 @@ WORD_PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 SCAN_LIMIT = 96
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 NO_RANK = 1 << 60
 
 

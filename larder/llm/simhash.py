@@ -150,8 +150,9 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     ``similarity``. Two fingerprints within MAX_BITS bits are not enough to find those
     (at 0.8 some 10 of 64 bits differ), so candidates are the Golay links and, besides,
     rows with an equal band of ROWS min-hashes (BANDS bands: 0.9996 of the pairs at
-    0.8). In a bucket of either kind each row is compared with the bucket's first row
-    and with its predecessor in a random order, never all with all. Every candidate is
+    0.8). In a bucket each row is compared with the bucket's first row; then, where that
+    leaves a bucket's rows in several groups, each with its predecessor in a random
+    order if that is of another group: never all with all. Every candidate is
     verified by the whole shingle sets. Rows of equal sets fold into one before.
     """
 
@@ -174,10 +175,9 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     linked = fp_links.join(fps, fp_links.a == fps.fp).select("b", F.col("lead").alias("x")).join(fps, F.col("b") == fps.fp).select("x", F.col("lead").alias("y"))
     same_fp = near.join(fps, "fp").select(F.col("rep").alias("x"), F.col("lead").alias("y"))
     firsts = by_band.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    before = F.lag("rep").over(Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep"))
-    met = by_band.withColumn("before", before).join(firsts, "key").select("rep", F.explode(F.array("lead", "before")).alias("other"))
-    pairs = met.select(F.col("rep").alias("x"), F.col("other").alias("y")).union(linked).union(same_fp).where("x <> y")
-    pairs = stage(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "pairs")
+    met = stage(by_band.join(firsts, "key").where("rep <> lead").select("key", "rep", "lead"), "bands")
+    ordered = lambda df: df.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    pairs = stage(ordered(met.select(F.col("rep").alias("x"), F.col("lead").alias("y")).union(linked).union(same_fp)), "pairs")
 
     def shingle_sets(batches):
         for batch in batches:
@@ -187,10 +187,19 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     asked = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
     held = stage(df.select("rid", "text").join(asked, "rid", "left_semi").mapInArrow(shingle_sets, "rep long, set array<bigint>"), "shingles")
-    both = pairs.join(held.select(F.col("rep").alias("x"), F.col("set").alias("sx")), "x").join(held.select(F.col("rep").alias("y"), F.col("set").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    alike = both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("sx") + F.size("sy") - F.col("common")))
-    roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    def alike(asked):
+        both = asked.join(held.select(F.col("rep").alias("x"), F.col("set").alias("sx")), "x").join(held.select(F.col("rep").alias("y"), F.col("set").alias("sy")), "y")
+        common = both.withColumn("common", F.size(F.array_intersect("sx", "sy")))
+        return common.where(F.col("common") >= similarity * (F.size("sx") + F.size("sy") - F.col("common"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    stars = stage(alike(pairs), "stars")
+    groups = components(stars)
+    held_by = by_band.join(firsts.select("key"), "key").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    random = Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep")
+    other = F.when(F.lag("root").over(random) != F.col("root"), F.lag("rep").over(random))
+    chains = stage(alike(ordered(held_by.withColumn("other", other).select(F.col("rep").alias("x"), F.col("other").alias("y")))), "chains")
+    roots = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(chains))
     rooted = sets.select("same", "first").join(roots, F.col("first.rid") == roots.node, "left").select("same", "first", F.coalesce("root", "first.rid").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
     labels = stage(rooted.select("same", "root").join(best, "root").select("same", F.col("first.rid").alias("first_rid")), "labels")
