@@ -143,6 +143,31 @@ def sketch(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
     return same, fingerprint(h), np.array(bands, np.int64)
 
 
+def crossing(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of the rows of held (rep, root, set) of different roots: all whose sets can have that Jaccard similarity.
+
+    A prefix-filter join: the elements of each set are ordered by the number of sets that hold
+    them, the rarest first, with the same order of ties everywhere. Sets x and y (of no
+    fewer elements) have t / (1 + t) * (|x| + |y|) elements in common at similarity t, so
+    at least that many stand, in each of them, from their first common one on. That
+    one is thus among the first of both, and only pairs that meet there are given.
+    Elements of one set only keep their places but meet nothing.
+    """
+    near = 1e-6
+    sized = held.select("rep", "root", F.size("set").alias("size"), F.explode("set").alias("token"))
+    common = sized.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = sized.join(common, "token").groupBy("rep", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
+    placed = ranked.select("rep", "root", "size", (F.col("size") - F.size("met")).alias("alone"), F.posexplode("met").alias("k", "one"))
+    placed = placed.select("rep", "root", "size", (F.col("size") - F.col("alone") - F.col("k")).alias("rest"), F.col("one.token").alias("token"))
+    prefix = stage(placed.where(F.col("rest") >= similarity * F.col("size") - near), "prefixes")
+    several = prefix.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    probes = prefix.join(several, "token")
+    share = similarity / (1 + similarity)
+    lesser = probes.where(F.col("rest") >= 2 * share * F.col("size") - near)
+    both = lesser.alias("x").join(probes.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & (F.struct("x.size", "x.rep") < F.struct("y.size", "y.rep")) & (F.least("x.rest", "y.rest") >= share * (F.col("x.size") + F.col("y.size")) - near))
+    return both.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).distinct()
+
+
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(rid, first_rid) of each row of df (rid, doc_id, text): first_rid is the row of the smallest (doc_id, rid) of its group.
 
@@ -152,8 +177,10 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     rows with an equal band of ROWS min-hashes (BANDS bands: 0.9996 of the pairs at
     0.8). In a bucket each row is compared with the bucket's first row; then, where that
     leaves a bucket's rows in several groups, each with its predecessor in a random
-    order if that is of another group: never all with all. Every candidate is
-    verified by the whole shingle sets. Rows of equal sets fold into one before.
+    order if that is of another group. These two only merge what merges cheaply: all rows
+    of buckets that are still in several groups then meet in ``crossing()``, which loses
+    no pair. Every candidate is verified by the whole shingle sets. Rows of equal sets
+    fold into one before.
     """
 
     def run(batches):
@@ -199,7 +226,13 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     random = Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep")
     other = F.when(F.lag("root").over(random) != F.col("root"), F.lag("rep").over(random))
     chains = stage(alike(ordered(held_by.withColumn("other", other).select(F.col("rep").alias("x"), F.col("other").alias("y")))), "chains")
-    roots = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(chains))
+    as_links = lambda df: df.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    merged = components(as_links(groups).union(chains))
+    held_by = by_band.join(firsts.select("key"), "key").join(merged.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = held_by.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = stage(held_by.join(several, "key").select("rep", "root").distinct(), "left")
+    rest = stage(alike(stage(crossing(held.join(left, "rep"), similarity), "crossing")), "rest")
+    roots = components(as_links(merged).union(rest))
     rooted = sets.select("same", "first").join(roots, F.col("first.rid") == roots.node, "left").select("same", "first", F.coalesce("root", "first.rid").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
     labels = stage(rooted.select("same", "root").join(best, "root").select("same", F.col("first.rid").alias("first_rid")), "labels")

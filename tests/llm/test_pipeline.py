@@ -1,9 +1,10 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline as C
-from larder.llm import language
+from larder.llm import language, simhash
 from larder.llm.staging import stage
 
 DATA = "/root/testdata/sf0.001"
@@ -57,3 +58,29 @@ def test_held_out_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     told = language.predict(docs.where(language.held_out()), language.train(docs.where(~language.held_out())))
     assert told.where("lang = lang_pred").count() >= 0.95 * told.count()
+
+
+def test_near_copies_between_many_rows_of_one_bucket(spark):
+    frame = [f"f{i}" for i in range(348)]
+    own = [[f"u{k}_{i}" for i in range(52)] for k in range(300)]
+    planted = {k + 300: own[k][:16] + [f"v{k}_{i}" for i in range(36)] for k in range(10, 300, 6)}
+    texts = {k: " ".join(frame + words) for k, words in [*enumerate(own), *planted.items()]}
+    sets = {k: shingles(t) for k, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert {(a, b) for a in sets for b in sets if a < b and alike(a, b)} == {(k - 300, k) for k in planted}
+    df = spark.createDataFrame([(k, k, t) for k, t in texts.items()], "rid long, doc_id long, text string")
+    got = {r.rid: r.first_rid for r in simhash.similar_groups(df).collect()}
+    assert got == {k: k - 300 if k in planted else k for k in texts}
+
+
+def test_crossing_loses_no_pair(spark):
+    rng = random.Random(5)
+    sets = {}
+    for k in range(150):
+        base = set(sets[rng.randrange(k)]) if k and rng.random() < 0.7 else {rng.randrange(60) for _ in range(rng.randrange(1, 40))}
+        sets[k] = sorted(base ^ {rng.randrange(60) for _ in range(rng.randrange(4))}) or [0]
+    df = spark.createDataFrame([(k, k % 3, v) for k, v in sets.items()], "rep long, root long, set array<long>")
+    for similarity in (0.5, 0.8, 1.0):
+        got = {(min(r.x, r.y), max(r.x, r.y)) for r in simhash.crossing(df, similarity).collect()}
+        want = {(a, b) for a in sets for b in sets if a < b and a % 3 != b % 3 and len({*sets[a]} & {*sets[b]}) >= similarity * len({*sets[a]} | {*sets[b]})}
+        assert want and want <= got
