@@ -10,11 +10,12 @@ added and dropped words. The score is the best alignment's share of the item's o
 The items are sent to the workers only where they have ``SMALL_ITEMS`` rows and
 ``SMALL_CHARS`` characters at most, which is counted first; the texts are then read
 once and not shuffled. Beyond that seeds and texts meet in a join: n-gram hashes of
-all texts against seed hashes, distinct (row, item) pairs, then the same alignment
-per pair. Both ways give the same rows; neither has a limit on hits.
+all texts against seed hashes, the seeds met by each (row, item) pair, then the same
+alignment around these seeds only. Both ways know items by a row number, not by their
+item_id, and give the same rows; neither has a limit on hits.
 
 Cases: null texts and items, and ones without a word, match nothing. Repeated rows and
-items each give their own results. Equal scores stay apart as rows of their own. An
+items each give their own results, and so do items of null or repeated ids. Equal scores stay apart as rows of their own. An
 empty table gives no leaks. Columns of the input stay; "leaks" is overwritten.
 """
 
@@ -144,20 +145,23 @@ def is_small(items: DataFrame, text: str = "text") -> bool:
 
 
 class Index:
-    """The items of a small benchmark with their seeds, as every worker holds them."""
+    """The items of a small benchmark with their seeds, as every worker holds them.
+
+    items are (row number, item_id, text), chosen (gram, n, row number).
+    """
 
     def __init__(self, items: list[tuple], chosen: list[tuple]):
-        self.items = [(i, words(t)) for i, t in items]
+        self.items = [(i, words(t)) for _, i, t in items]
         self.vocabulary = {w: word_hash(w) for _, ws in self.items for w in ws}
         wanted: dict[int, set] = {}
-        for gram, _, i in chosen:
-            wanted.setdefault(i, set()).add(gram)
+        for gram, _, number in chosen:
+            wanted.setdefault(number, set()).add(gram)
         self.places: dict[int, list] = {}
         self.sizes = set()
-        for k, (i, t) in enumerate(items):
+        for k, (number, _, t) in enumerate(items):
             n, grams = item_grams(t)
             for q, g in enumerate(grams.view(np.int64).tolist()):
-                if g in wanted.get(i, ()):
+                if g in wanted.get(number, ()):
                     self.places.setdefault(g, []).append((k, q))
                     self.sizes.add(n)
         self.grams = np.array(sorted(self.places), np.int64)
@@ -197,12 +201,18 @@ class Index:
         return out
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """(_item, item_id, text) of items, written, with a row number each."""
+    return stage(items.select(F.monotonically_increasing_id().alias("_item"), "item_id", "text"), "items")
+
+
 LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _by_workers(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
     """find() for a small benchmark."""
-    index = Index([(r[0], r[1]) for r in items.collect()], [tuple(r) for r in seeds(items).collect()])
+    items = numbered(items)
+    index = Index([tuple(r) for r in items.collect()], [tuple(r) for r in seeds(items, "_item").collect()])
     shared = df.sparkSession.sparkContext.broadcast(index)
     kept = [c for c in df.columns if c != "leaks"]
 
@@ -212,15 +222,14 @@ def _by_workers(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([leaks(t.as_py()) for t in batch.column(text)], LEAKS)], [*kept, "leaks"])
 
     base = df.select(*[F.col(f"`{c}`") for c in kept]).schema.simpleString()[7:-1]
-    return df.mapInArrow(run, f"{base}, leaks array<{LEAK}>")
+    return df.mapInArrow(run, f"{base}, leaks array<{LEAK}>").withColumn("leaks", F.array_sort("leaks"))
 
 
 def _by_join(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
     """find() for a benchmark of any size."""
-    numbered = items.withColumn("_item", F.monotonically_increasing_id())
-    numbered = stage(numbered, "items")
+    items = numbered(items)
     rows = stage(df.drop("leaks").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    chosen = stage(seeds(numbered, "_item"), "seeds")
+    chosen = stage(seeds(items, "_item"), "seeds")
     sizes = sorted(r.n for r in chosen.select("n").distinct().collect())  # SEED values at most
 
     def grams(batches):
@@ -231,14 +240,14 @@ def _by_join(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
                     g = np.unique(gram_hashes(h, n)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), n, np.int32)), pa.array(np.full(len(g), row.as_py(), np.int64))], ["gram", "n", "_row"])
 
-    met = rows.select("_row", text).mapInArrow(grams, "gram long, n int, _row long").join(chosen.withColumnRenamed("item_id", "_item"), ["gram", "n"]).select("_row", "_item").distinct()
-    pairs = met.join(rows.select("_row", F.col(text).alias("_text")), "_row").join(numbered.select("_item", "item_id", F.col("text").alias("_words")), "_item")
+    met = rows.select("_row", text).mapInArrow(grams, "gram long, n int, _row long").join(chosen.withColumnRenamed("item_id", "_item"), ["gram", "n"]).groupBy("_row", "_item").agg(F.collect_set("gram").alias("_grams"))
+    pairs = met.join(rows.select("_row", F.col(text).alias("_text")), "_row").join(items.select("_item", "item_id", F.col("text").alias("_words")), "_item")
 
     def aligned(batches):
         for batch in batches:
             out = []
-            for row, i, t, item in zip(*(batch.column(c).to_pylist() for c in ("_row", "item_id", "_text", "_words"))):
-                one = Index([(i, item)], [(g, 0, i) for g in item_grams(item)[1].view(np.int64).tolist()])
+            for row, i, t, item, met_grams in zip(*(batch.column(c).to_pylist() for c in ("_row", "item_id", "_text", "_words", "_grams"))):
+                one = Index([(0, i, item)], [(g, 0, 0) for g in met_grams])
                 out += [{"_row": row, "leak": x} for x in one.leaks(t)]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_row", pa.int64()), ("leak", LEAKS.value_type)]))
 

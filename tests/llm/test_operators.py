@@ -176,6 +176,21 @@ def test_decontamination_both_ways(spark):
     assert [(d - 10, i) for d, i, *_ in by_workers] == [(0, 0), (1, 1), (3, 2), (4, 2), (5, 14)]
 
 
+def test_decontamination_both_ways_with_shared_grams_and_odd_ids(spark):
+    common = [f"c{i}" for i in range(12)]
+    items = [(k, " ".join([f"r{k}_{i}" for i in range(8)] + common)) for k in range(decontaminate.COMMON + 2)]
+    items += [(None, " ".join(f"n{i}" for i in range(12))), (None, " ".join(f"m{i}" for i in range(12)))]
+    items += [(77, " ".join(common)), (77, " ".join(f"s{i}" for i in range(12))), (78, "z0 z1 z2 z3 z4 z5"), (78, "z0 z1 z2 z3 z4 z5")]
+    filler = [f"w{i}" for i in range(200)]
+    # a stray seed of item 0, and far from it words that item 0 shares with too many items to be seeds
+    texts = [" ".join(["r0_0", "r0_1", "r0_2", "r0_3", *filler, *common]), f"x {items[10][1]} y {items[11][1]}", items[13][1], items[14][1], items[3][1]]
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), docs(spark, texts)
+    by_workers = {r.doc_id: [tuple(x) for x in r.leaks] for r in decontaminate._by_workers(table, bench, "text").collect()}
+    by_join = {r.doc_id: [tuple(x) for x in r.leaks] for r in decontaminate._by_join(table, bench, "text").collect()}
+    assert by_workers == by_join
+    assert {k: [x[:2] for x in v] for k, v in by_workers.items()} == {0: [(77, 1.0)], 1: [(None, 1.0)] * 2, 2: [(77, 1.0)], 3: [(78, 1.0)] * 2, 4: [(3, 1.0), (77, 1.0)]}
+
+
 PAGE = "<html><head><title>t</title><script>'</p>'</script></head><body><nav><li>menu</li></nav><div>Site banner text</div>{}<footer>foot</footer></body></html>"
 
 
