@@ -124,121 +124,6 @@ def near_duplicates(df: DataFrame, words: int = 3, text: str = "text", doc_id: s
     return docs.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-BANDS, ROWS = 20, 5
-SKETCH = "rid long, doc_id long, same long, fp long, bands array<bigint>"
-
-
-def sketch(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
-    """(hash of the shingle set, fingerprint, band keys of one-permutation min-hashes) of a text."""
-    h = hashes(text, words)
-    distinct = np.unique(h)
-    same = xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63)
-    if not len(distinct):
-        return same, 0, np.zeros(BANDS, np.int64)
-    keys = np.empty((BANDS, ROWS), np.uint64)
-    for k in range(BANDS * ROWS):
-        mixed = (distinct ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        keys[k // ROWS, k % ROWS] = (mixed ^ mixed >> np.uint64(32)).min()
-    bands = [xxhash.xxh64_intdigest(bytes([b]) + keys[b].tobytes()) - (1 << 63) for b in range(BANDS)]
-    return same, fingerprint(h), np.array(bands, np.int64)
-
-
-def crossing(held: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of the rows of held (rep, root, set) of different roots: all whose sets can have that Jaccard similarity.
-
-    A prefix-filter join: the elements of each set are ordered by the number of sets that hold
-    them, the rarest first, with the same order of ties everywhere. Sets x and y (of no
-    fewer elements) have t / (1 + t) * (|x| + |y|) elements in common at similarity t, so
-    at least that many stand, in each of them, from their first common one on. That
-    one is thus among the first of both, and only pairs that meet there are given.
-    Elements of one set only keep their places but meet nothing.
-    """
-    near = 1e-6
-    sized = held.select("rep", "root", F.size("set").alias("size"), F.explode("set").alias("token"))
-    common = sized.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = sized.join(common, "token").groupBy("rep", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
-    placed = ranked.select("rep", "root", "size", (F.col("size") - F.size("met")).alias("alone"), F.posexplode("met").alias("k", "one"))
-    placed = placed.select("rep", "root", "size", (F.col("size") - F.col("alone") - F.col("k")).alias("rest"), F.col("one.token").alias("token"))
-    prefix = stage(placed.where(F.col("rest") >= similarity * F.col("size") - near), "prefixes")
-    several = prefix.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    probes = prefix.join(several, "token")
-    share = similarity / (1 + similarity)
-    lesser = probes.where(F.col("rest") >= 2 * share * F.col("size") - near)
-    both = lesser.alias("x").join(probes.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & (F.struct("x.size", "x.rep") < F.struct("y.size", "y.rep")) & (F.least("x.rest", "y.rest") >= share * (F.col("x.size") + F.col("y.size")) - near))
-    return both.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).distinct()
-
-
-def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(rid, first_rid) of each row of df (rid, doc_id, text): first_rid is the row of the smallest (doc_id, rid) of its group.
-
-    Rows are linked if their sets of word shingles have a Jaccard similarity of at least
-    ``similarity``. Two fingerprints within MAX_BITS bits are not enough to find those
-    (at 0.8 some 10 of 64 bits differ), so candidates are the Golay links and, besides,
-    rows with an equal band of ROWS min-hashes (BANDS bands: 0.9996 of the pairs at
-    0.8). In a bucket each row is compared with the bucket's first row; then, where that
-    leaves a bucket's rows in several groups, each with its predecessor in a random
-    order if that is of another group. These two only merge what merges cheaply: all rows
-    of buckets that are still in several groups then meet in ``crossing()``, which loses
-    no pair. Every candidate is verified by the whole shingle sets. Rows of equal sets
-    fold into one before.
-    """
-
-    def run(batches):
-        for batch in batches:
-            rows = [sketch(t.as_py(), words) for t in batch.column("text")]
-            keys = np.concatenate([np.empty(0, np.int64), *(r[2] for r in rows)])
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), bands], ["rid", "doc_id", "same", "fp", "bands"]
-            )
-
-    docs = stage(df.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    sets = stage(docs.groupBy("same").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
-    near = sets.select("same", F.col("first.rid").alias("rep"), "fp", "bands")
-    by_band = near.select("rep", F.explode("bands").alias("key"))
-    fps = near.groupBy("fp").agg(F.min("rep").alias("lead"))
-    fp_links = links(fps.select("fp"))
-    linked = fp_links.join(fps, fp_links.a == fps.fp).select("b", F.col("lead").alias("x")).join(fps, F.col("b") == fps.fp).select("x", F.col("lead").alias("y"))
-    same_fp = near.join(fps, "fp").select(F.col("rep").alias("x"), F.col("lead").alias("y"))
-    firsts = by_band.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    met = stage(by_band.join(firsts, "key").where("rep <> lead").select("key", "rep", "lead"), "bands")
-    ordered = lambda df: df.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    pairs = stage(ordered(met.select(F.col("rep").alias("x"), F.col("lead").alias("y")).union(linked).union(same_fp)), "pairs")
-
-    def shingle_sets(batches):
-        for batch in batches:
-            rows = [np.unique(hashes(t.as_py(), words)).view(np.int64) for t in batch.column("text")]
-            ends = np.cumsum([0, *map(len, rows)])
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))], ["rep", "set"])
-
-    asked = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
-    held = stage(df.select("rid", "text").join(asked, "rid", "left_semi").mapInArrow(shingle_sets, "rep long, set array<bigint>"), "shingles")
-
-    def alike(asked):
-        both = asked.join(held.select(F.col("rep").alias("x"), F.col("set").alias("sx")), "x").join(held.select(F.col("rep").alias("y"), F.col("set").alias("sy")), "y")
-        common = both.withColumn("common", F.size(F.array_intersect("sx", "sy")))
-        return common.where(F.col("common") >= similarity * (F.size("sx") + F.size("sy") - F.col("common"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    stars = stage(alike(pairs), "stars")
-    groups = components(stars)
-    held_by = by_band.join(firsts.select("key"), "key").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    random = Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep")
-    other = F.when(F.lag("root").over(random) != F.col("root"), F.lag("rep").over(random))
-    chains = stage(alike(ordered(held_by.withColumn("other", other).select(F.col("rep").alias("x"), F.col("other").alias("y")))), "chains")
-    as_links = lambda df: df.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    merged = components(as_links(groups).union(chains))
-    held_by = by_band.join(firsts.select("key"), "key").join(merged.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    several = held_by.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = stage(held_by.join(several, "key").select("rep", "root").distinct(), "left")
-    rest = stage(alike(stage(crossing(held.join(left, "rep"), similarity), "crossing")), "rest")
-    roots = components(as_links(merged).union(rest))
-    rooted = sets.select("same", "first").join(roots, F.col("first.rid") == roots.node, "left").select("same", "first", F.coalesce("root", "first.rid").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    labels = stage(rooted.select("same", "root").join(best, "root").select("same", F.col("first.rid").alias("first_rid")), "labels")
-    return docs.select("rid", "same").join(labels, "same").select("rid", "first_rid")
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

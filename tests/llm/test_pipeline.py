@@ -3,8 +3,10 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline as C
-from larder.llm import language, simhash
+from larder.llm import language, similar
 from larder.llm.staging import stage
 
 DATA = "/root/testdata/sf0.001"
@@ -69,7 +71,7 @@ def test_near_copies_between_many_rows_of_one_bucket(spark):
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     assert {(a, b) for a in sets for b in sets if a < b and alike(a, b)} == {(k - 300, k) for k in planted}
     df = spark.createDataFrame([(k, k, t) for k, t in texts.items()], "rid long, doc_id long, text string")
-    got = {r.rid: r.first_rid for r in simhash.similar_groups(df).collect()}
+    got = {r.rid: r.first_rid for r in similar.similar_groups(df).collect()}
     assert got == {k: k - 300 if k in planted else k for k in texts}
 
 
@@ -79,8 +81,38 @@ def test_crossing_loses_no_pair(spark):
     for k in range(150):
         base = set(sets[rng.randrange(k)]) if k and rng.random() < 0.7 else {rng.randrange(60) for _ in range(rng.randrange(1, 40))}
         sets[k] = sorted(base ^ {rng.randrange(60) for _ in range(rng.randrange(4))}) or [0]
-    df = spark.createDataFrame([(k, k % 3, v) for k, v in sets.items()], "rep long, root long, set array<long>")
     for similarity in (0.5, 0.8, 1.0):
-        got = {(min(r.x, r.y), max(r.x, r.y)) for r in simhash.crossing(df, similarity).collect()}
+        first = {k: v[: similar.first_size(len(v), similarity)] for k, v in sets.items()}
+        df = spark.createDataFrame([(k, k % 3, t, len(sets[k]), v[-1]) for k, v in first.items() for t in v], "rid long, root long, token long, size long, last long")
+        got = {(min(r.x, r.y), max(r.x, r.y)) for r in similar.crossing(df, similarity).collect()}
         want = {(a, b) for a in sets for b in sets if a < b and a % 3 != b % 3 and len({*sets[a]} & {*sets[b]}) >= similarity * len({*sets[a]} | {*sets[b]})}
         assert want and want <= got
+
+
+@pytest.mark.parametrize(("held", "frequent", "rounds"), [(1 << 20, 32, 3), (50, 2, 0), (300, 0, 1)])
+def test_groups_equal_brute_force_whatever_the_limits(spark, monkeypatch, held, frequent, rounds):
+    monkeypatch.setattr(similar, "HELD", held)
+    monkeypatch.setattr(similar, "BLOCK", held)
+    monkeypatch.setattr(similar, "FREQUENT", frequent)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "TOGETHER", 3)
+    rng = random.Random(held)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 60))) for _ in range(40)]
+    for _ in range(160):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+        texts.append(" ".join(w[rng.randrange(min(3, len(w))) :]))
+    texts += [texts[3], texts[3], None, "", " ", "one", "One", "one two"]
+    rows = stage(spark.createDataFrame([(k, f"id{k:03}", t) for k, t in enumerate(texts)], "rid long, doc_id string, text string"), "rows")
+    got = {r.rid: r.first_rid for r in similar.similar_groups(rows).collect()}
+    assert {k for k, v in got.items() if k == v} == firsts_of_groups(dict(enumerate(texts))) and set(got) == set(range(len(texts)))
+
+
+def test_near_duplicates_keep_odd_rows_as_they_are(spark):
+    rows = [("b", "x " * 9 + "tail", 77, "k"), ("b", "x " * 9 + "tail", 77, "k"), (None, "x " * 9 + "tail", 1, "k"), ("a", None, 2, "k"), (None, "", 3, "k"), ("z", "other words stand here now", 4, None)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, rid int, `my col` string")
+    kept = C.drop_near_duplicates(spark, table, DATA)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or "", r.rid, r["my col"]) for r in kept.collect()) == [("a", 2, "k"), ("b", 77, "k"), ("z", 4, None)]
+    assert C.drop_near_duplicates(spark, table.limit(0), DATA).count() == 0
