@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, decontaminate, language, pii, simhash
+from larder.llm import bpe, decontaminate, language, pii, similar
+from larder.llm.columns import row, unpacked
 from larder.llm.staging import small_batches, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,10 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document of the smallest doc_id."""
     small_batches(spark)
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    groups = simhash.similar_groups(rows.select("rid", "doc_id", "text"))
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), row(docs)), "rows")
+    groups = similar.similar_groups(rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")))
     gone = stage(groups.where("rid <> first_rid").select("rid"), "gone")
-    return rows.join(gone, "rid", "left_anti").select(*docs.columns)
+    return rows.join(gone, "rid", "left_anti").select(*unpacked(docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
