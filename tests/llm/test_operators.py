@@ -3,7 +3,8 @@
 import hashlib
 import random
 import re
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -194,12 +195,71 @@ def test_decontamination_both_ways_with_shared_grams_and_odd_ids(spark):
 PAGE = "<html><head><title>t</title><script>'</p>'</script></head><body><nav><li>menu</li></nav><div>Site banner text</div>{}<footer>foot</footer></body></html>"
 
 
-def test_html(spark):
-    assert html.main_text(PAGE.format("<article><h1>A &amp; B</h1><p>one<b> two<br>three<p>four</article><div class='comments'>bad</div>")) == "A & B one two three four"
-    assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
-    rows = [(k, f"https://h.example/{k}", PAGE.format(f"<div><p>story {k} is new</p></div>")) for k in range(8)] + [(99, None, None), (7, "https://h.example/7", PAGE.format("<div><p>story 7 is new</p></div>"))]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert sorted(r.text for r in got) == sorted([f"story {k} is new" for k in range(8)] + ["", "story 7 is new"])
+def test_html_text_of_single_pages():
+    read = html.main_text
+    assert read(PAGE.format("<article><h1>A &amp; B</h1><p>one<b> two<br>three<p>four</article><div class='comments'>bad</div>")) == "A & B one two three four"
+    assert read(None) == read("") == read("<p") == ""
+    assert read("<p>one<svg/> two</p>") == "one two" and read("<p>one<svg><title>no</title></svg> two</p>") == "one two"
+    assert read('<div class="content has-sidebar">a</div>') == "a" and read('<article class="post social-history">b</article>') == "b"
+    assert read("<p>x <math><mi>y</mi></math><object>z</object></p>") == "x yz"
+    assert read("<article><header><h1>T</h1></header><p>x</p><footer>by</footer></article><article class=comment>c</article>") == "T x"
+    assert read("<div class='ad'>no</div><p>1 < 2 &lt;b&gt;</p><!-- <p>gone") == "1 < 2 <b>"
+
+
+def test_html_time_grows_with_length_only():
+    worst = ["<a " * 350_000, "<a " * 350_000 + ">", "<div>" * 100_000 + "</p></span></li>" * 30_000, "<div>" * 100_000 + "<td>x</td>" * 50_000, "<ul>" + "<div>" * 100_000 + "<li>x</li>" * 50_000, "<a '>" * 200_001, "<" * 1_000_000, "<!-- " * 200_000, "<script>" * 125_000]
+    began = time.time()
+    for page in worst:
+        html.main_text(page, [1], [1])
+    assert time.time() - began < 60
+
+
+SECTIONS = ("news", "help", "shop")
+
+
+def soup(k):
+    """A page without article, main or any telling name; each third of the site has its own layout, notices change their words."""
+    part = SECTIONS[k % 3]
+    story = f"<h2>Title {k}</h2>" + "".join(f"<p>Story {k} part {j} with its own words here.</p>" for j in range(4 + k % 5)) + f"<ul><li>point {k}</li></ul>"
+    notice = {"news": f"<div class='x1'><p>Today we have {k} offers</p></div>", "help": f"<table><tr><td>seen {k} times</td></tr></table>", "shop": f"<section><div>Basket {k}</div></section>"}[part]
+    menu = "".join(f"<div><a href=/{j}>item {(k * j) % 7}</a></div>" for j in range(3 + k % 2))
+    page = f"<html><body><div class='top'>Site of {part}</div><div class='m'>{menu}</div><div class='w'>{notice}<div class='c{k}'>{story}</div></div><div>All rights, page {k}</div></body></html>"
+    return f"https://h.example/{part}/{k}", page, " ".join([f"Title {k}", *(f"Story {k} part {j} with its own words here." for j in range(4 + k % 5)), f"point {k}"])
+
+
+def counted_by_hand(rows):
+    """What templates() gives, by plain counting."""
+    at = defaultdict(dict)
+    for _, url, page in rows:
+        part = re.match(r"https://[^/]*/([^/]+)/", url)[1]
+        whole, own = html.marks(html.parse(page))
+        at["host"][whole] = at["host"].get(whole, set()) | own
+        at[part][whole] = at[part].get(whole, set()) | own
+    often = {}
+    for key, pages in at.items():
+        n = Counter(h for own in pages.values() for h in own)
+        often[key] = {h: v / len(pages) for h, v in n.items() if v >= html.LEAST and v >= html.SHARE * len(pages)}
+    return {key: (set(often[key]) | set(often["host"]), {h for h, share in often["host"].items() if share >= html.INNER}) for key in at if key != "host"}
+
+
+def test_html_templates_decide_where_no_markup_does(spark):
+    made = [soup(k) for k in range(60)]
+    rows = [(k, url, page) for k, (url, page, _) in enumerate(made)] + [(7, *made[7][:2])]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r.text for r in html.extract(table, roles=False).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(made)}
+    assert all(html.main_text(page) != want for _, page, want in made)  # without templates none is right
+    known = html.templates(stage(table.withColumns({"host": html.host(), "section": html.section()}), "pages"))
+    assert {r.section: (set(r.often), set(r.always)) for r in known.collect()} == counted_by_hand(rows)
+
+
+def test_html_odd_rows(spark):
+    rows = [(k, f"https://h.example/{k}", PAGE.format(f"<div><p>story {k} is new</p></div>")) for k in range(8)] + [(99, None, None), (7, "https://h.example/7", PAGE.format("<div><p>story 7 is new</p></div>")), (None, "odd", "<p>" + "long " * 50_000)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("my col", F.lit(1))
+    got = html.extract(table).collect()
+    assert sorted(r.text for r in got if len(r.text) < 1000) == sorted([f"story {k} is new" for k in range(8)] + ["", "story 7 is new"])
+    assert len(got) == 11 and max(len(r.text) for r in got) == 5 * 50_000 - 1
+    assert html.extract(table.limit(0)).count() == 0
 
 
 def test_chat(spark):
