@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import extended
+
 #: Fixed value: the word pattern of the byte-level vocabulary.
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -148,7 +150,7 @@ def id_array(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *rows]), pa.int32()))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that their texts are of about ``most`` bytes at a time."""
     for batch in batches:
         sizes = np.diff(np.frombuffer(batch.column(column).cast(pa.large_string()).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else []
@@ -162,56 +164,38 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             yield batch.slice(start)
 
 
-def _with(df: DataFrame, new: str, function) -> DataFrame:
-    names = [x.split(" ")[0] for x in new.split(", ")]
-    kept = [c for c in df.columns if c not in names]
-    base = df.select(*[F.col(f"`{c}`") for c in kept]).schema.simpleString()[7:-1]
-    return df.mapInArrow(function, f"{base}, {new}" if base else new)
-
-
 def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
     """The rows of df with their texts' token ids, as array<int>."""
     path = path or vocabulary_path()
-    kept = [c for c in df.columns if c != ids]
 
-    def run(batches):
+    def run(texts):
         c = codec(path)
-        for batch in slices(batches, text):
-            rows = [c.encode(t or "") for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), id_array(rows)], [*kept, ids])
+        return [id_array([c.encode(t or "") for t in texts.to_pylist()])]
 
-    return _with(df, f"{ids} array<int>", run)
+    return extended(df, text, f"`{ids}` array<int>", run, cut=slices)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str = "decoded") -> DataFrame:
     """The rows of df with the text that their ids stand for."""
     path = path or vocabulary_path()
-    kept = [c for c in df.columns if c != text]
 
-    def run(batches):
+    def run(rows):
         c = codec(path)
-        for batch in batches:
-            texts = [c.decode(x or []) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(texts, pa.string())], [*kept, text])
+        return [pa.array([c.decode(x or []) for x in rows.to_pylist()], pa.string())]
 
-    return _with(df, f"{text} string", run)
+    return extended(df, ids, f"`{text}` string", run)
 
 
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """encode() and decode() in one pass over the text: ids array<int>, decoded string; the text goes."""
     path = path or vocabulary_path()
-    kept = [c for c in df.columns if c not in ("ids", "decoded", text)]
 
-    def run(batches):
+    def run(texts):
         c = codec(path)
-        for batch in slices(batches, text):
-            rows = [c.encode(t or "") for t in batch.column(text).to_pylist()]
-            texts = [c.decode(x.tolist()) for x in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), id_array(rows), pa.array(texts, pa.string())], [*kept, "ids", "decoded"])
-
-    new = "ids array<int>, decoded string"
-    base = df.select(*[F.col(f"`{c}`") for c in kept]).schema.simpleString()[7:-1]
-    return df.mapInArrow(run, f"{base}, {new}" if base else new)
+        rows = [c.encode(t or "") for t in texts.to_pylist()]
+        return [id_array(rows), pa.array([c.decode(x.tolist()) for x in rows], pa.string())]
+
+    return extended(df, text, "ids array<int>, decoded string", run, keep_text=False, cut=slices)
 
 
 def digests(coded: DataFrame) -> DataFrame:

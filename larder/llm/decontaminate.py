@@ -12,7 +12,8 @@ The items are sent to the workers only where they have ``SMALL_ITEMS`` rows and
 once and not shuffled. Beyond that seeds and texts meet in a join: n-gram hashes of
 all texts against seed hashes, the seeds met by each (row, item) pair, then the same
 alignment around these seeds only. Both ways know items by a row number, not by their
-item_id, and give the same rows; neither has a limit on hits.
+item_id, and give the same rows; neither has a limit on hits. What is sent is bounded by these
+two limits: 2 MB of text and, with a seed a word at most, some 400,000 seeds.
 
 Cases: null texts and items, and ones without a word, match nothing. Repeated rows and
 items each give their own results, and so do items of null or repeated ids. Equal scores stay apart as rows of their own. An
@@ -29,7 +30,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from .columns import column, extended, others, row, unpacked
 from .staging import stage
 
 SEED = 4
@@ -37,10 +41,9 @@ COMMON = 8
 LEAST = 4
 MATCH, MISS, GAP = 2, -1, -1
 SCORE = 0.5
-SMALL_ITEMS = 100_000
-SMALL_CHARS = 50_000_000
+SMALL_ITEMS = 10_000
+SMALL_CHARS = 2_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-LEAK = "struct<item_id:bigint,score:double,start:bigint,end:bigint>"
 
 words_of = re.compile(r"\w+").findall
 
@@ -206,7 +209,9 @@ def numbered(items: DataFrame) -> DataFrame:
     return stage(items.select(F.monotonically_increasing_id().alias("_item"), "item_id", "text"), "items")
 
 
-LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+def leak_type(items: DataFrame) -> str:
+    """The type of a leak; item_id has the type that it has in items."""
+    return f"struct<item_id:{items.schema['item_id'].dataType.simpleString()},score:double,start:bigint,end:bigint>"
 
 
 def _by_workers(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
@@ -214,51 +219,49 @@ def _by_workers(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
     items = numbered(items)
     index = Index([tuple(r) for r in items.collect()], [tuple(r) for r in seeds(items, "_item").collect()])
     shared = df.sparkSession.sparkContext.broadcast(index)
-    kept = [c for c in df.columns if c != "leaks"]
-
-    def run(batches):
-        leaks = shared.value.leaks
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([leaks(t.as_py()) for t in batch.column(text)], LEAKS)], [*kept, "leaks"])
-
-    base = df.select(*[F.col(f"`{c}`") for c in kept]).schema.simpleString()[7:-1]
-    return df.mapInArrow(run, f"{base}, leaks array<{LEAK}>").withColumn("leaks", F.array_sort("leaks"))
+    new = f"leaks array<{leak_type(items)}>"
+    kind = to_arrow_type(StructType.fromDDL(new)["leaks"].dataType)
+    found = extended(df, text, new, lambda texts: [pa.array([shared.value.leaks(t.as_py()) for t in texts], kind)])
+    return found.withColumn("leaks", F.array_sort("leaks"))
 
 
 def _by_join(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
     """find() for a benchmark of any size."""
     items = numbered(items)
-    rows = stage(df.drop("leaks").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = stage(df.select(F.monotonically_increasing_id().alias("_row"), row(df, ("leaks",)), column(text).alias("_text")), "rows")
     chosen = stage(seeds(items, "_item"), "seeds")
     sizes = sorted(r.n for r in chosen.select("n").distinct().collect())  # SEED values at most
 
     def grams(batches):
         for batch in batches:
-            for row, t in zip(batch.column(0), batch.column(1)):
+            for number, t in zip(batch.column(0), batch.column(1)):
                 h = np.array([word_hash(w) for w in words(t.as_py())], np.uint64)
                 for n in sizes:
                     g = np.unique(gram_hashes(h, n)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), n, np.int32)), pa.array(np.full(len(g), row.as_py(), np.int64))], ["gram", "n", "_row"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), n, np.int32)), pa.array(np.full(len(g), number.as_py(), np.int64))], ["gram", "n", "_row"])
 
-    met = rows.select("_row", text).mapInArrow(grams, "gram long, n int, _row long").join(chosen.withColumnRenamed("item_id", "_item"), ["gram", "n"]).groupBy("_row", "_item").agg(F.collect_set("gram").alias("_grams"))
-    pairs = met.join(rows.select("_row", F.col(text).alias("_text")), "_row").join(items.select("_item", "item_id", F.col("text").alias("_words")), "_item")
+    texts = rows.select("_row", "_text")
+    met = texts.mapInArrow(grams, "gram long, n int, _row long").join(chosen.withColumnRenamed("item_id", "_item"), ["gram", "n"]).groupBy("_row", "_item").agg(F.collect_set("gram").alias("_grams"))
+    pairs = met.join(texts, "_row").join(items.select("_item", "item_id", F.col("text").alias("_words")), "_item")
+    leak = leak_type(items)
+    kind = to_arrow_type(StructType.fromDDL(f"leak {leak}")["leak"].dataType)
 
     def aligned(batches):
         for batch in batches:
             out = []
-            for row, i, t, item, met_grams in zip(*(batch.column(c).to_pylist() for c in ("_row", "item_id", "_text", "_words", "_grams"))):
+            for number, i, t, item, met_grams in zip(*(batch.column(c).to_pylist() for c in ("_row", "item_id", "_text", "_words", "_grams"))):
                 one = Index([(0, i, item)], [(g, 0, 0) for g in met_grams])
-                out += [{"_row": row, "leak": x} for x in one.leaks(t)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_row", pa.int64()), ("leak", LEAKS.value_type)]))
+                out += [{"_row": number, "leak": x} for x in one.leaks(t)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_row", pa.int64()), ("leak", kind)]))
 
-    found = pairs.mapInArrow(aligned, f"_row long, leak {LEAK}").groupBy("_row").agg(F.array_sort(F.collect_list("leak")).alias("leaks"))
-    none = F.array().cast(f"array<{LEAK}>")
-    return rows.join(found, "_row", "left").withColumn("leaks", F.coalesce("leaks", none)).drop("_row")
+    found = pairs.mapInArrow(aligned, f"_row long, leak {leak}").groupBy("_row").agg(F.array_sort(F.collect_list("leak")).alias("leaks"))
+    none = F.array().cast(f"array<{leak}>")
+    return rows.join(found, "_row", "left").select(*unpacked(others(df, ("leaks",))), F.coalesce("leaks", none).alias("leaks"))
 
 
 def find(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """df with leaks array<struct<item_id, score, start, end>>: the items of items (item_id, text) that its texts hold."""
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """df with leaks array<struct<item_id, score, start, end>>: the items of items (item_id of any type, text) that its texts hold."""
+    own = items.select("item_id", "text")
     return _by_workers(df, own, text) if is_small(own) else _by_join(df, own, text)
 
 

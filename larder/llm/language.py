@@ -8,24 +8,28 @@ language, however frequent, gathers in one task. A text is compared with each pr
 by the out-of-place distance: the sum, over the text's own ``PROFILE`` most frequent
 n-grams, of the difference of ranks, ``PROFILE`` where the profile lacks the n-gram.
 
-The profiles are all that reaches the driver and the workers: at most
-``MAX_LANGUAGES`` times ``PROFILE`` rows, which is checked. Prediction shuffles nothing.
+The profiles are all that reaches the driver and the workers, as sparse rows of 12 bytes,
+in parts of ``MAX_LANGUAGES`` times ``PROFILE`` rows (5 MB) at most; each text is held against
+every part. Prediction shuffles nothing.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. Ties of
 frequency go to the smaller n-gram, ties of distance to the first language by name.
 Rows with a null language are not learnt from; with nothing to learn from, every text
-is ``und``. Columns of the input stay; equal names are overwritten.
+is ``und``. Columns of the input stay; equal names (in any case) are overwritten.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .columns import extended
+
 PROFILE = 400
 MAX_LANGUAGES = 1_000
 GAP = ord("_")
@@ -115,51 +119,60 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PRO
     return counts.withColumn("place", place - 1).where(F.col("place") < size).select("lang", "place", "gram")
 
 
-def distances(text: str | None, codes: np.ndarray, places: np.ndarray, size: int) -> np.ndarray | None:
-    """Out-of-place distance to each language, as a share of the largest possible; None without letters.
-
-    codes: the n-grams of all profiles, sorted; places: a row for each, a column for each language.
-    """
-    own = ranked(text, size)
-    if not len(own) or not len(codes):
-        return None
-    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-    known = codes[at] == own
-    apart = np.abs(places[at[known]] - np.arange(len(own))[known, None])
-    apart[places[at[known]] == size] = size
-    return (apart.sum(axis=0) + size * (len(own) - known.sum())) / (size * len(own))
-
-
-def model(profiles: DataFrame, size: int = PROFILE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    rows = profiles.limit(MAX_LANGUAGES * size + 1).collect()
-    if len(rows) > MAX_LANGUAGES * size:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted({r.lang for r in rows})
-    codes = np.array(sorted({r.gram for r in rows}), np.int64)
-    places = np.full((len(codes), len(langs)), size, np.int64)
-    column = {name: k for k, name in enumerate(langs)}
-    for r in rows:
-        places[np.searchsorted(codes, r.gram), column[r.lang]] = r.place
-    return langs, codes, places
+class Profiles:
+    """Profiles of up to MAX_LANGUAGES languages, by n-gram: where codes[i] stands in which languages, as sparse rows."""
+
+    def __init__(self, rows: list):
+        self.langs = sorted({r.lang for r in rows})
+        number = {name: k for k, name in enumerate(self.langs)}
+        order = sorted(rows, key=lambda r: r.gram)
+        self.codes, starts = np.unique(np.array([r.gram for r in order], np.int64), return_index=True)
+        self.starts = np.append(starts, len(order))
+        self.lang = np.array([number[r.lang] for r in order], np.int16)
+        self.place = np.array([r.place for r in order], np.int16)
+
+    def distances(self, text: str | None, size: int) -> np.ndarray | None:
+        """Out-of-place distance to each language, as a share of the largest possible; None without letters."""
+        own = ranked(text, size)
+        if not len(own) or not len(self.codes):
+            return None
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        rank = np.flatnonzero(self.codes[at] == own)
+        at = at[rank]
+        n = self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(self.starts[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        saved = size - np.abs(self.place[rows].astype(np.int64) - np.repeat(rank, n))
+        return 1 - np.bincount(self.lang[rows], weights=saved, minlength=len(self.langs)) / (size * len(own))
+
+
+def parts(profiles: DataFrame, size: int = PROFILE) -> list[Profiles]:
+    """The profiles in parts of MAX_LANGUAGES languages at most, in order of their names."""
+    names = profiles.select("lang").distinct()
+    n = ceil(names.count() / MAX_LANGUAGES)
+    if n < 2:
+        return [Profiles(profiles.limit(MAX_LANGUAGES * size).collect())]
+    numbered = profiles.join(names.withColumn("part", F.ntile(n).over(Window.orderBy("lang"))), "lang")
+    return [Profiles(numbered.where(F.col("part") == k + 1).limit(MAX_LANGUAGES * size).collect()) for k in range(n)]
 
 
 def predict(df: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE) -> DataFrame:
     """The rows of df with lang_pred and score (1 minus the smallest distance)."""
-    langs, codes, places = model(profiles, size)
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-
-    def run(batches):
-        for batch in batches:
-            names, scores = [], []
-            for t in batch.column(text):
-                d = distances(t.as_py(), codes, places, size)
+    sc = df.sparkSession.sparkContext
+    shared = [sc.broadcast(p) for p in parts(profiles, size)]
+
+    def run(texts):
+        names, scores = [], []
+        for t in texts:
+            name, score = "und", 0.0
+            for part in shared:
+                d = part.value.distances(t.as_py(), size)
                 best = -1 if d is None else int(d.argmin())
-                names.append("und" if best < 0 else langs[best])
-                scores.append(0.0 if best < 0 else float(1 - d[best]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+                if best >= 0 and (name == "und" or 1 - d[best] > score):
+                    name, score = part.value.langs[best], float(1 - d[best])
+            names.append(name), scores.append(score)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    base = df.select(*[F.col(f"`{c}`") for c in kept]).schema.simpleString()[7:-1]
-    return df.mapInArrow(run, f"{base}, lang_pred string, score double")
+    return extended(df, text, "lang_pred string, score double", run)
 
 
 def held_out(doc_id: str = "doc_id"):

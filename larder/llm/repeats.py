@@ -26,7 +26,7 @@ fetched and once where repeats are cut out; groups are at most HOT stretches.
 
 Cases: null and empty texts, and ones shorter than LENGTH, have no repeats and stay.
 Repeated rows are repeats of each other. df is read three times and must give the same
-rows in the same order (a scan or a written table does). Extra columns stay in remove().
+rows in the same order (a scan or a written table does, as files are cut alike whatever executors are lost). Extra columns stay in remove().
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import slices
-from .staging import stage
+from .columns import column, others, row, unpacked
+from .staging import stage, steady_splits
 
 LENGTH = 200
 GRAM = 24
@@ -381,8 +383,9 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int
 
 def remove(df: DataFrame, text: str = "text") -> DataFrame:
     """df, without its text, with n_bytes, kept (binary) and spans array<struct<start, end>> (what is gone, merged)."""
-    others = [c for c in df.columns if c not in (text, "n_bytes", "kept", "spans")]
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    steady_splits(df.sparkSession)
+    taken = (text, "n_bytes", "kept", "spans")
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), column(text).alias("text"), row(df, taken))
     lists = repeats(docs).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -397,9 +400,10 @@ def remove(df: DataFrame, text: str = "text") -> DataFrame:
                 spans.append([{"start": a, "end": b} for a, b in gone])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pair)], ["row", "n_bytes", "kept", "spans"])
 
-    shape = docs.select("row").schema.simpleString()[7:-1]
     joined = docs.join(lists, "rid", "left").select("row", "text", "found")
-    return joined.mapInArrow(run, f"{shape}, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>").select("row.*", "n_bytes", "kept", "spans")
+    new = StructType.fromDDL("n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    cleaned = joined.mapInArrow(run, StructType([joined.schema["row"], *new.fields]))
+    return cleaned.select(*unpacked(others(df, taken)), "n_bytes", "kept", "spans")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

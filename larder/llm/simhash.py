@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import golay
+from .columns import column, extended
 from .components import components
 from .staging import stage
 
@@ -65,15 +66,7 @@ def fingerprint(h: np.ndarray) -> int:
 
 def fingerprints(df: DataFrame, words: int = 3, text: str = "text") -> DataFrame:
     """The rows of df, without their text, with fp, the fingerprint as a signed long."""
-    kept = [c for c in df.columns if c not in (text, "fp")]
-
-    def run(batches):
-        for batch in batches:
-            fps = [fingerprint(hashes(t.as_py(), words)) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(fps, pa.int64())], [*kept, "fp"])
-
-    base = df.select(*[F.col(f"`{c}`") for c in kept]).schema.simpleString()[7:-1]
-    return df.mapInArrow(run, f"{base}, fp long" if base else "fp long")
+    return extended(df, text, "fp long", lambda texts: [pa.array([fingerprint(hashes(t.as_py(), words)) for t in texts], pa.int64())], keep_text=False)
 
 
 def golay_keys(fps: DataFrame) -> DataFrame:
@@ -115,7 +108,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every row of df."""
-    docs = stage(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words), "fingerprints")
+    docs = stage(fingerprints(df.select(column(doc_id).alias("doc_id"), column(text).alias("text")), words), "fingerprints")
     firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(docs.select("fp").distinct()))
     rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -15,8 +15,11 @@ def own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, as in tests, a folder of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+    """spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, a folder of our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return shared or own_folder()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -34,3 +37,9 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds the batches by which texts go to and from Python workers, which by default hold 10,000 texts each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def steady_splits(spark: SparkSession) -> None:
+    """Files are cut into partitions by the cores of now, not of each later read, so that row numbers of a scan stay when executors are lost."""
+    if not spark.conf.get("spark.sql.leafNodeDefaultParallelism", None):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", spark.sparkContext.defaultParallelism)

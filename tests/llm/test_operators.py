@@ -363,3 +363,65 @@ def test_urls(spark):
     got = {r.id: (r.blocked, r.n_active) for r in urls.evaluate(captures, table).collect()}
     assert got == {0: (False, 0), 1: (True, 1), 2: (False, 0), 3: (False, 2), 4: (False, 0), 5: (False, 0)}
     assert urls.evaluate(captures, table.limit(0)).where("blocked").count() == 0
+
+
+def test_columns_of_any_name_and_ids_of_any_type(spark):
+    """Columns with blanks, dots or the results' names in other case beside text, and ids that are strings."""
+    odd = docs(spark, ["the of and to", None, "", "z " * 40_000], extra=False)
+    for name in ("my col", "a.b", "IDS", "Decoded", "FP", "Lang_Pred", "SCORE", "Leaks", "SPANS", "N_bytes", "row", "_text", "_row", "_c", "found"):
+        odd = odd.withColumn(name, F.lit(name))
+    odd = stage(odd, "odd")
+    kept = lambda df, *new: {c for c in odd.columns if c.lower() not in new}
+    bench = spark.createDataFrame([("a", "the of and to"), (None, "the of and to"), (None, None)], "item_id string, text string")
+    profiles = language.train(spark.createDataFrame([("the of and", "en"), ("der die und", "de")], "text string, lang string"))
+    results = {
+        ("ids", "decoded", "text"): bpe.round_trip(odd),
+        ("fp", "text"): simhash.fingerprints(odd),
+        ("lang_pred", "score"): language.predict(odd, profiles),
+        ("leaks",): decontaminate.find(odd, bench),
+        ("leaks", ""): decontaminate._by_join(odd, bench, "text"),
+        ("spans",): pii.find(odd, pii.train(odd)),
+        ("n_bytes", "kept", "spans", "text"): repeats.remove(odd),
+    }
+    for new, df in results.items():
+        rows = df.collect()
+        assert len(rows) == 4 and kept(df, *new) <= set(df.columns), new
+        assert all(r[c] == c for r in rows for c in kept(df, *new) if c not in ("doc_id", "text"))
+        assert len({c.lower() for c in df.columns}) == len(df.columns)
+    for new in (("leaks",), ("leaks", "")):
+        assert {r.doc_id: sorted(str(x.item_id) for x in r.leaks) for r in results[new].collect()} == {0: ["None", "a"], 1: [], 2: [], 3: []}
+
+
+def test_language_in_parts_gives_what_one_part_gives(spark, monkeypatch):
+    rng = random.Random(5)
+    words = {f"l{k}": ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(30)] for k in range(7)}
+    rows = [(k, " ".join(rng.choices(words[name], k=12)), name) for k, name in enumerate(sorted(words) * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = stage(language.train(df), "profiles")
+    want = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.predict(df, profiles).collect()}
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.predict(df, profiles).collect()} == want
+    ranks = {}
+    for r in profiles.collect():
+        ranks.setdefault(r.lang, {})[r.gram] = r.place
+    for doc_id, text, _ in rows:
+        own = language.ranked(text).tolist()
+        apart = {name: sum(abs(p.get(g, 10**9) - k) if g in p else language.PROFILE for k, g in enumerate(own)) for name, p in sorted(ranks.items())}
+        best = min(apart, key=apart.get)
+        assert want[doc_id] == (best, round(1 - apart[best] / (language.PROFILE * len(own)), 9))
+
+
+def test_bpe_long_words_merge_as_short_ones(spark):
+    c, rng = bpe.codec(bpe.vocabulary_path()), random.Random(8)
+    for _ in range(300):
+        word = "".join(rng.choices("aabcdet é", k=rng.randrange(1, 200))).encode()
+        assert c.scan(word) == c.long(word)
+
+
+def test_simhash_of_several_shingles_equals_plain_counting(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("a b c d e f g".split(), k=rng.randrange(1, 30))) for _ in range(60)] + ["a b c d", "A\tB  c\x0bD"]
+    for r in simhash.fingerprints(docs(spark, texts, extra=False)).collect():
+        w = texts[r.doc_id].lower().split()
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+        assert r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))

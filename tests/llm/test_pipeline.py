@@ -116,3 +116,22 @@ def test_near_duplicates_keep_odd_rows_as_they_are(spark):
     assert kept.columns == table.columns
     assert sorted((r.doc_id or "", r.rid, r["my col"]) for r in kept.collect()) == [("a", 2, "k"), ("b", 77, "k"), ("z", 4, None)]
     assert C.drop_near_duplicates(spark, table.limit(0), DATA).count() == 0
+
+
+def test_stages_leave_columns_of_other_names_alone(spark):
+    text = "the of and to in that is was he for it with as his on be at by "
+    own = {"rid": 7, "score": 0.9, "lang_pred": "x", "leaks": "l", "spans": "s", "row": "r", "IDS": 5, "my col": "c", "a.b": "d"}
+    rows = [(f"id{k}", text + f"mail a{k}@b.cd", "en", "s", 1, *own.values()) for k in range(3)] + [("none", None, None, None, None, *own.values())]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *own]
+    kinds = ["string", "string", "string", "string", "long", "long", "double", *["string"] * 4, "long", "string", "string"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    for _, function in C.STAGES[:-1]:
+        docs = stage(function(spark, docs, DATA), "odd")
+        assert docs.columns == names
+        for r in docs.collect():
+            assert {k: r[k] for k in own} == own
+        empty = function(spark, docs.limit(0), DATA)
+        assert empty.columns == names and empty.count() == 0
+    assert [r.text for r in docs.collect()] == [text + "mail [email]"]
+    last = C.STAGES[-1][1](spark, docs, DATA)
+    assert last.count() == 1 and C.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
