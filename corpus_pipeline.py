@@ -8,11 +8,11 @@ an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import bpe, decontaminate, language, pii, similar
-from larder.llm.columns import row, unpacked
+from larder.llm.columns import column, row, unpacked
 from larder.llm.staging import small_batches, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,12 +20,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.05
 
 
+def _apart(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns beside row, which holds all others, so that no column that an operator adds is theirs."""
+    return docs.select(row(docs, names), *map(column, names))
+
+
+def _together(done: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again, the changed ones as they are now."""
+    return done.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that is known; those without a language get the predicted one."""
     small_batches(spark)
     profiles = language.train(docs.where(~language.held_out()))
-    told = language.predict(docs, profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = language.predict(_apart(docs, "text", "lang"), profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return _together(told, docs, text=F.col("text"), lang=F.coalesce("lang", "lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +51,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps documents that hold no benchmark item, not even an edited one."""
     small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.find(docs, items).where(F.size("leaks") == 0).select(*docs.columns)
+    found = decontaminate.find(_apart(docs, "text"), items)
+    return _together(found.where(F.size("leaks") == 0), docs, text=F.col("text"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in every text; n_chars follows."""
     small_batches(spark)
-    redacted = pii.redact(docs, pii.train(docs))
-    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    redacted = pii.redact(_apart(docs, "text"), pii.train(docs))
+    return _together(redacted, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
