@@ -34,13 +34,13 @@ from pyspark.sql.types import StructType
 
 from .components import components
 from .simhash import fingerprint, hashes, links
-from .staging import stage
+from .staging import discard, stage
 
 #: The part of the hash space in which partners() counts.
 PART = 0.3
 #: Shingles that a task sorts at a time, and that a block of the counting holds.
 HELD, BLOCK = 1 << 20, 1 << 20
-FREQUENT = 32
+FREQUENT = 8
 ROUNDS = 3
 #: Pairs of one set that are verified in one place.
 TOGETHER = 512
@@ -82,8 +82,8 @@ def sketches(df: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *StructType.fromDDL("same long, fp long, size long, part long").fields]))
 
 
-def partners(df: DataFrame, buckets: int, words: int) -> DataFrame:
-    """(rid, n) of df (rid, text): how many counted shingles of the row occur in other rows, or seem to.
+def partners(df: DataFrame, buckets: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks, and from them (rid, n) of df (rid, text): how many counted shingles of the row occur in other rows, or seem to.
 
     A task sorts the shingles of many rows at a time and cuts them into blocks by hash. What
     repeats there is settled there, and only one of the repeated goes on, so that a shingle
@@ -158,7 +158,8 @@ def partners(df: DataFrame, buckets: int, words: int) -> DataFrame:
 
     held = stage(packed, "blocks")
     apart = held.where("bucket > 0").groupBy("bucket").applyInArrow(meet, "rid long, n long")
-    return held.where("bucket = 0").select("base", "rows").mapInArrow(settled, "rid long, n long").union(apart).groupBy("rid").agg(F.sum("n").alias("n"))
+    every = held.where("bucket = 0").select("base", "rows").mapInArrow(settled, "rid long, n long").union(apart)
+    return held, every.groupBy("rid").agg(F.sum("n").alias("n"))
 
 
 def tokens_of(texts: DataFrame, words: int) -> DataFrame:
@@ -259,9 +260,11 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     sets = stage(docs.groupBy("same").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("part").alias("part")), "sets")
     reps = sets.select(F.col("first.rid").alias("rid"), "fp", "size", "part")
     total = docs.agg(F.coalesce(F.sum("part"), F.lit(0)).alias("n")).first().n
-    shared = partners(df, max(1, ceil(total / BLOCK)), words)
+    blocks, shared = partners(df, max(1, ceil(total / BLOCK)), words)
     alive = reps.join(shared, "rid", "left").where(F.coalesce("n", F.lit(0)) >= F.col("part") - (1 - similarity) * F.col("size") - NEAR)
-    texts = stage(df.select("rid", "text").join(stage(alive.where("size > 0").select("rid"), "alive"), "rid"), "texts")
+    asked = stage(alive.where("size > 0").select("rid"), "alive")
+    discard(blocks)
+    texts = stage(df.select("rid", "text").join(asked, "rid"), "texts")
 
     fps = reps.where("size > 0").groupBy("fp").agg(F.min("rid").alias("lead"))
     near = links(fps.select("fp"))
