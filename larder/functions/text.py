@@ -11,11 +11,39 @@ BLOCKED = ("pinterest.com", "reddit.com", "example.org")
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "igshid", "igsh")
 #: Addresses that must not be fetched.
 UNSAFE_HOST = r"^(localhost|.*\.localhost|.*\.internal|.*\.local|127\..*|10\..*|0\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[.*)$"
-#: Words in pages that a protection service shows instead of the page.
-BLOCK_WORDS = ("Just a moment", "Access Denied", "Attention Required", "cf-browser-verification", "captcha", "Please enable JS", "Are you a robot", "Request blocked")
-#: Own tag rules: tag and the words that bring it.
-TAGS = {"breakfast": ("breakfast", "brunch"), "dinner": ("dinner", "main"), "dessert": ("dessert", "cake"), "quick": ("quick", "easy"), "vegetarian": ("vegetarian", "meatless"), "healthy": ("healthy", "light"), "snack": ("snack",)}
-COMMENTARY = "note|tip|serves|enjoy|source|adapted|recipe by|photo|courtesy"
+#: Strings that mark a page of a bot protection.
+BLOCK_WORDS = (
+    "Access to this page has been denied",
+    "Please verify you are a human",
+    "Enable JavaScript and cookies to continue",
+    "Checking if the site connection is secure",
+    "Attention Required! | Cloudflare",
+    "Just a moment...",
+    "cf-browser-verification",
+    "_cf_chl_opt",
+)
+#: Preset tags and the words that bring them.
+TAGS = {
+    "breakfast": ("breakfast", "brunch", "morning"),
+    "lunch/dinner": ("dinner", "lunch", "main course", "main dish", "entree", "entrée", "supper", "main"),
+    "dessert": ("dessert", "desserts", "baking", "cake", "cookies", "pastry", "sweet"),
+    "snacks": ("snack", "snacks", "appetizer", "appetizers", "starter", "starters", "side dish", "side"),
+    "crockpot": ("slow cooker", "crock pot", "crockpot", "crock-pot"),
+    "soups": ("soup", "soups", "stew", "stews", "chili", "bisque", "chowder"),
+    "kid-friendly": ("kid-friendly", "kid friendly", "kids", "family", "family-friendly", "family friendly", "child-friendly"),
+}
+#: Whole words, and beginnings of words, with which no instruction starts.
+NO_STEP_WORDS = ("i", "just", "this", "the", "my", "we", "you", "it", "these", "those", "here", "there", "please", "also", "btw", "fyi", "serve", "serves")
+NO_STEP_STARTS = ("note:", "disclaimer", "adapted", "originally", "inspired", "source", "credit", "photo", "image", "video", "recipe by", "recipe from")
+#: Units behind a number, and words that tell an ingredient without one.
+LINE_UNITS = (
+    "cups?", "tbsps?", "tsps?", "tbs", "tbl", "tablespoons?", "teaspoons?", "oz", "ounces?", "lbs?", "pounds?", "g", "grams?", "gm", "kg", "kgs?", "ml", "mls?",
+    "liters?", "litres?", "pints?", "quarts?", "gallons?", "fl *oz", "pinch(?:es)?", "dash(?:es)?", "handfuls?", "cloves?", "bunch(?:es)?", "sprigs?", "stalks?",
+    "cans?", "heads?", "packages?", "pkg", "sticks?", "pieces?", "pcs?", "slices?", "bags?", "bottles?", "jars?", "boxes?", "drops?", "whole", "large", "medium", "small",
+)
+QUALIFIERS = ("to +taste", "(?:to|for) +garnish(?:ing)?", "as +needed")
+#: What stands beside a word; engines differ in what their own word boundary knows of letters.
+NO_WORD = r"[^\p{L}0-9_]"
 VERBS = "add|bake|beat|blend|boil|bring|chop|combine|cook|cover|cut|drain|fold|fry|grill|heat|mix|place|pour|preheat|reduce|remove|roast|season|serve|simmer|slice|spread|sprinkle|stir|toss|transfer|whisk"
 
 
@@ -157,12 +185,23 @@ def named_entities(d: Dialect, t: str) -> str:
 
 
 def is_instruction(d: Dialect, t: str) -> str:
-    """P10: long enough and no commentary."""
-    return f"(length(trim({t})) >= 5 and not ({d.like(f'lower(trim({t}))', f'^({COMMENTARY})\\b')} and not {d.like(f'lower(trim({t}))', '^serves? immediately')}))"
+    """P10: long enough, and no commentary by its first word; "serve" only stands before "immediately"."""
+    low = f"lower(trim({t}))"
+    starts = "|".join([f"(?:{'|'.join(NO_STEP_WORDS)})(?:$|{NO_WORD})", *(s.replace(" ", " +") for s in NO_STEP_STARTS)])
+    return f"(length(trim({t})) >= 5 and not ({d.like(low, f'^(?:{starts})')} and not {d.like(low, '^serves? +immediately')}))"
+
+
+def likely_ingredient(d: Dialect, t: str) -> str:
+    """A number with a unit, a short line from a fraction or number to a word without a cooking verb, or a qualifier."""
+    amount, low = "[0-9½¼¾⅓⅔]", f"lower({t})"
+    measured = d.like(low, rf"^{amount}[0-9/.½¼¾⅓⅔-]* *(?:{'|'.join(LINE_UNITS)})(?:$|{NO_WORD})")
+    counted = f"({d.like(low, rf'^(?:{amount}[0-9/.½¼¾⅓⅔-]+|[0-9]+) +[a-z]')} and not {has_verb(d, t)} and length({t}) < 60)"
+    qualified = f"({d.like(low, rf'(?:^|{NO_WORD})(?:{chr(124).join(QUALIFIERS)})(?:$|{NO_WORD})')} and length({t}) < 80)"
+    return f"({measured} or {counted} or {qualified})"
 
 
 def has_verb(d: Dialect, t: str) -> str:
-    return d.like(f"lower({t})", rf"\b({VERBS})\b")
+    return d.like(f"lower({t})", rf"(?:^|{NO_WORD})(?:{VERBS})(?:$|{NO_WORD})")
 
 
 def is_ad(d: Dialect, t: str) -> str:

@@ -1,7 +1,6 @@
 """Recipes from crawled pages: JSON-LD by Spark's own functions, then microdata and headings by a small parser.
 
-A row's own flag says which layer it needs, so that no layer joins back to the pages, and
-the parser sees only pages without usable JSON-LD.
+The parser sees only pages whose JSON-LD gives no recipe with content.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.dialect import SPARK
+from larder.functions.text import is_instruction
+
 SCRIPT = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 STOP = re.compile(r"notes?|nutrition|comments?|related|video|reviews?|equipment", re.I)
@@ -133,24 +135,43 @@ def parsed_layers(pages: DataFrame) -> DataFrame:
 
 
 def best_layer(pages: DataFrame) -> DataFrame:
-    """(page_id, layer, title, ingredients, steps): JSON-LD with ingredients or steps, else the parser's layers."""
-    usable = F.regexp_like("html", F.lit(r'(?is)ld\+json[^>]*>.*?"recipeI(ngredient|nstructions)"\s*:\s*\[\s*[^\]\s]'))
-    marked = pages.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    first = jsonld_recipes(marked.where("usable")).groupBy("page_id").agg(F.min_by("json", F.struct("block", "item")).alias("json")).withColumn("layer", F.lit("jsonld"))
-    rest = parsed_layers(marked.where("not usable"))
-    return normalized(first.select("page_id", "layer", "json").unionByName(rest))
-
-
-def normalized(raw: DataFrame) -> DataFrame:
-    """Fixed columns of raw recipes in JSON: names and lists may be strings, arrays or objects with text."""
+    """(page_id, layer, title, ingredients, steps): the first JSON-LD recipe with ingredients or steps, else what the parser's layers find.
+
+    A page is known by its page_id. Pages with JSON-LD that gives nothing (broken, no recipe,
+    an empty one) go on to the other layers; pages without any are not joined at all.
+    """
+    marked = pages.withColumn("ld", F.coalesce(F.regexp_like("html", F.lit(SCRIPT)), F.lit(False)))
+    told = jsonld_recipes(marked.where("ld")).withColumn("layer", F.lit("jsonld"))
+    full = normalized(told, "block", "item").where("size(ingredients) > 0 or size(steps) > 0")
+    first = full.groupBy("page_id").agg(F.min_by(F.struct("layer", "title", "ingredients", "steps"), F.struct("block", "item")).alias("r")).select("page_id", "r.*")
+    rest = marked.where("ld").join(first.select("page_id"), "page_id", "left_anti").select("page_id", "html").union(marked.where("not ld").select("page_id", "html"))
+    return first.unionByName(normalized(parsed_layers(rest)).where("size(ingredients) > 0 or size(steps) > 0"))
+
+
+def normalized(raw: DataFrame, *keys: str) -> DataFrame:
+    """(page_id, keys, layer, title, ingredients, steps) of raw recipes in JSON.
+
+    Names and lists may be strings, arrays or objects with text. Of instructions, a section
+    gives its name in brackets and then its own steps; one string alone is cut into lines,
+    or if it is one line into sentences.
+    """
     v = raw.withColumn("v", F.try_parse_json("json"))
     text = lambda k: f"coalesce(try_variant_get(v, '$.{k}[0]', 'string'), try_variant_get(v, '$.{k}', 'string'))"
-    many = lambda k: f"coalesce(try_variant_get(v, '$.{k}', 'array<variant>'), case when try_variant_get(v, '$.{k}', 'string') is not null then array(try_variant_get(v, '$.{k}', 'variant')) end, cast(array() as array<variant>))"
-    plain = lambda k: F.expr(f"filter(transform({many(k)}, x -> trim(coalesce(try_variant_get(x, '$.text', 'string'), try_variant_get(x, '$', 'string')))), x -> x <> '')")
-    return v.select("page_id", "layer", F.expr(text("name")).alias("title"), plain("recipeIngredient").alias("ingredients"), plain("recipeInstructions").alias("steps"))
+    many = lambda x, k: f"coalesce(try_variant_get({x}, '$.{k}', 'array<variant>'), case when try_variant_get({x}, '$.{k}', 'variant') is not null then array(try_variant_get({x}, '$.{k}', 'variant')) end, cast(array() as array<variant>))"
+    said = lambda x: f"coalesce(try_variant_get({x}, '$.text', 'string'), try_variant_get({x}, '$.name', 'string'), case when schema_of_variant({x}) not like 'OBJECT%' then try_variant_get({x}, '$', 'string') end, '')"
+    plain = lambda items: f"filter(transform({items}, x -> trim({said('x')})), x -> x <> '')"
+    own = plain(many("x", "itemListElement")).replace("x -> trim", "y -> trim").replace(said("x"), said("y")).replace("x -> x <> ''", "y -> y <> ''")
+    section = f"case when try_variant_get(x, '$.itemListElement', 'variant') is not null then concat(filter(array(concat('[', try_variant_get(x, '$.name', 'string'), ']')), n -> n is not null), {own}) else array(trim({said('x')})) end"
+    steps_ = F.expr(f"filter(flatten(transform({many('v', 'recipeInstructions')}, x -> {section})), s -> s <> '')")
+    one = F.get("steps", F.lit(0))
+    lines = F.split(one, r"\s*[\r\n]+\s*")
+    cut = F.when(F.size(lines) > 1, lines).otherwise(F.split(one, r"(?<=[.!?])\s+(?=\p{Lu})"))
+    alone = (F.size("steps") == 1) & ~one.startswith("[")
+    read = v.select("page_id", *keys, "layer", F.expr(text("name")).alias("title"), F.expr(plain(many("v", "recipeIngredient"))).alias("ingredients"), steps_.alias("steps"))
+    return read.withColumn("steps", F.when(alone, F.filter(F.transform(cut, F.trim), lambda s: s != "")).otherwise(F.col("steps")))
 
 
 def steps(recipes: DataFrame) -> DataFrame:
-    """Step rows, short and commentary ones left out, numbered anew."""
-    kept = F.filter("steps", lambda s: (F.length(s) >= 5) & ~F.lower(s).rlike(r"^(note|tip|enjoy|source|adapted|photo)\b"))
+    """Step rows, without commentary (P10), numbered anew; section names stay, in brackets."""
+    kept = F.expr(f"filter(steps, s -> startswith(s, '[') or {is_instruction(SPARK, 's')})")
     return recipes.select("page_id", F.posexplode(kept).alias("pos", "text")).select("page_id", (F.col("pos") + 1).alias("ord"), "text")

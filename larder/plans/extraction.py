@@ -15,12 +15,21 @@ MICRODATA = """concat('<div itemscope itemtype="https://schema.org/Recipe"><h2 i
 HEADINGS = """concat('<h1>Recipe ', n, '</h1><h2>Ingredients</h2><ul><li>1 cup milk</li><li>2 eggs</li></ul><h2>Directions</h2><p>Mix the milk.</p><h2>Notes</h2>')"""
 
 
+#: JSON-LD that is no JSON before microdata that is good; and instructions as one string, without ingredients, in a section and with a name alone.
+BROKEN = "concat('<script type=\"application/ld+json\">{\"@type\": \"Recipe\", \"recipeIngredient\": [\"x\", }</script>', " + MICRODATA + ")"
+STRING = """concat('<script type="application/ld+json">[{"@type": "Recipe", "name": "Empty"}, {"@type": "https://schema.org/Recipe", "name": "Recipe ', n, '", "recipeInstructions": "Mix the milk. Heat it well! Serve immediately."}]</script>')"""
+SECTIONS = """concat('<script type="application/ld+json">{"@type": "Recipe", "name": ["Recipe ', n, '"], "recipeIngredient": "1 cup milk", "recipeInstructions": [{"@type": "HowToSection", "name": "Dough", "itemListElement": [{"text": "Mix the milk."}, "The rest is easy"]}, {"@type": "HowToStep", "name": "Heat it well"}]}</script>')"""
+KINDS = (("jsonld", JSONLD), ("microdata", MICRODATA), ("heuristic", HEADINGS), ("microdata", BROKEN), ("jsonld", STRING), ("jsonld", SECTIONS))
+PART = f"page_id % {len(KINDS)}"
+
+
 def built(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("n", F.col("page_id").cast("string"))
-    return pages.select("page_id", "url", F.expr(f"concat(case page_id % 3 when 0 then {JSONLD} when 1 then {MICRODATA} else {HEADINGS} end, html)").alias("html"))
+    recipe = " ".join(f"when {k} then {text}" for k, (_, text) in enumerate(KINDS))
+    return pages.select("page_id", "url", F.expr(f"concat(case {PART} {recipe} end, html)").alias("html"))
 
 
-LAYER = "case page_id % 3 when 0 then 'jsonld' when 1 then 'microdata' else 'heuristic' end"
+LAYER = f"case {PART} " + " ".join(f"when {k} then '{layer}'" for k, (layer, _) in enumerate(KINDS)) + " end"
 
 
 def x1_jsonld_blocks(spark, sf_dir):
@@ -28,19 +37,19 @@ def x1_jsonld_blocks(spark, sf_dir):
 
 
 def x2_jsonld_recipes(spark, sf_dir):
-    return P.jsonld_recipes(built(spark, sf_dir)).select("page_id", F.get_json_object("json", "$.name").alias("title"))
+    return P.jsonld_recipes(built(spark, sf_dir)).select("page_id", F.expr("coalesce(get_json_object(json, '$.name[0]'), get_json_object(json, '$.name'))").alias("title"))
 
 
 def x3_microdata(spark, sf_dir):
-    return P.normalized(P.parsed_layers(built(spark, sf_dir).where("page_id % 3 = 1"))).select("page_id", "title", F.array_join("ingredients", "|").alias("ingredients"))
+    return P.normalized(P.parsed_layers(built(spark, sf_dir)).where("layer = 'microdata'")).select("page_id", "title", F.array_join("ingredients", "|").alias("ingredients"))
 
 
 def x4_headings(spark, sf_dir):
-    return P.normalized(P.parsed_layers(built(spark, sf_dir).where("page_id % 3 = 2"))).select("page_id", "title", F.array_join("ingredients", "|").alias("ingredients"))
+    return P.normalized(P.parsed_layers(built(spark, sf_dir)).where("layer = 'heuristic'")).select("page_id", "title", F.array_join("ingredients", "|").alias("ingredients"))
 
 
 def x5_best_layer(spark, sf_dir):
-    return P.best_layer(built(spark, sf_dir)).select("page_id", "layer", "title", F.array_join("ingredients", "|").alias("ingredients"), F.size("steps").cast("long").alias("n_steps"))
+    return P.best_layer(built(spark, sf_dir)).select("page_id", "layer", "title", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("steps", "|").alias("steps"))
 
 
 def x9_steps(spark, sf_dir):
@@ -79,7 +88,7 @@ def x22_chat_recipes(spark, sf_dir):
 
 
 def x21_caption_text(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn < 2")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     xml = turns.withColumn("xml", F.concat(F.lit("<t><text start='0'>"), F.regexp_replace("text", "[<>&]", ""), F.lit("</text><text> a &amp; b</text></t>")))
     parts = F.regexp_extract_all("xml", F.lit(r"(?s)<text[^>]*>(.*?)</text>"), F.lit(1))
     return xml.select("conv_id", "turn", F.trim(F.regexp_replace(F.replace(F.array_join(parts, " "), F.lit("&amp;"), F.lit("&")), r"[ \t\n\r\f]+", " ")).alias("caption"))
@@ -88,14 +97,16 @@ def x21_caption_text(spark, sf_dir):
 QUERIES |= {f.__name__: f for f in (x1_jsonld_blocks, x2_jsonld_recipes, x3_microdata, x4_headings, x5_best_layer, x9_steps, s8_share_round_trip, s15_fit_share_link, s14_import_inbox, x22_chat_recipes, x21_caption_text)}
 _TITLE = "'Recipe ' || page_id as title"
 ORACLE_SQL |= {
-    "x1_jsonld_blocks": "select page_id, 0::bigint as block from pages where page_id % 3 = 0",
-    "x2_jsonld_recipes": f"select page_id, {_TITLE} from pages where page_id % 3 = 0",
-    "x3_microdata": f"select page_id, {_TITLE}, '1 cup milk|2 eggs' as ingredients from pages where page_id % 3 = 1",
-    "x4_headings": f"select page_id, {_TITLE}, '1 cup milk|2 eggs' as ingredients from pages where page_id % 3 = 2",
-    "x5_best_layer": f"select page_id, {LAYER} as layer, {_TITLE}, '1 cup milk|2 eggs' as ingredients, case when page_id % 3 = 0 then 2 else 1 end as n_steps from pages",
-    "x9_steps": "select page_id, 1 as ord, 'Mix the milk.' as text from pages",
+    "x1_jsonld_blocks": f"select page_id, 0::bigint as block from pages where {PART} in (0, 4, 5)",
+    "x2_jsonld_recipes": f"select page_id, {_TITLE} from pages where {PART} in (0, 4, 5) union all select page_id, 'Empty' from pages where {PART} = 4",
+    "x3_microdata": f"select page_id, {_TITLE}, '1 cup milk|2 eggs' as ingredients from pages where {PART} in (1, 3)",
+    "x4_headings": f"select page_id, {_TITLE}, '1 cup milk|2 eggs' as ingredients from pages where {PART} = 2",
+    "x5_best_layer": f"""select page_id, {LAYER} as layer, {_TITLE}, case {PART} when 4 then '' when 5 then '1 cup milk' else '1 cup milk|2 eggs' end as ingredients,
+case {PART} when 0 then 'Mix the milk.|Tip: chill' when 4 then 'Mix the milk.|Heat it well!|Serve immediately.' when 5 then '[Dough]|Mix the milk.|The rest is easy|Heat it well' else 'Mix the milk.' end as steps from pages""",
+    "x9_steps": f"""with s as (select page_id, unnest(case {PART} when 0 then ['Mix the milk.', 'Tip: chill'] when 4 then ['Mix the milk.', 'Heat it well!', 'Serve immediately.'] when 5 then ['[Dough]', 'Mix the milk.', 'Heat it well'] else ['Mix the milk.'] end) as text,
+generate_subscripts(case {PART} when 0 then [1, 2] when 4 then [1, 2, 3] when 5 then [1, 2, 3] else [1] end, 1) as ord from pages) select page_id, ord::bigint as ord, text from s""",
     "s8_share_round_trip": r"select doc_id, 'Recipe ' || doc_id as title, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') as ingredients from documents",
     "s14_import_inbox": "select doc_id, case when doc_id % 5 <> 0 and doc_id % 3 <> 0 then source end as title, doc_id % 5 <> 0 and doc_id % 3 <> 0 as accepted from documents",
     "x22_chat_recipes": "select conv_id, turn, 'T' || conv_id as title, 'a|b' as ingredients from conversations where role = 'assistant' and conv_id % 2 = 0",
-    "x21_caption_text": r"select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[<>&]', '', 'g') || '  a & b', '[ \t\n\r\f]+', ' ', 'g')) as caption from conversations where turn < 2",
+    "x21_caption_text": r"select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[<>&]', '', 'g') || '  a & b', '[ \t\n\r\f]+', ' ', 'g')) as caption from conversations",
 }

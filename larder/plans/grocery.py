@@ -8,6 +8,10 @@ from larder.functions import quantities as Q
 from larder.operators import grocery as G
 
 from .bindings import bound, with_tables
+from .nutrition import SHELF_WORDS
+
+#: The categories in the order of a list.
+SHELVES = ("produce", "meat", "seafood", "dairy", "pantry", "spices", "frozen", "beverages")
 
 
 def _r(x: str) -> str:
@@ -58,9 +62,13 @@ def s13_grocery_text(spark, sf_dir):
     return G.list_text(_items(spark, sf_dir))
 
 
+def shelf_rank(name: str) -> str:
+    """O3: the rank of a name's category (I8: the first shelf word that it holds), 99 without one; the same SQL in both engines."""
+    return "case " + " ".join(f"when contains(lower({name}), '{w}') then {SHELVES.index(shelf)}" for w, shelf in SHELF_WORDS) + " else 99 end"
+
+
 def o3_grocery_order(spark, sf_dir):
-    shelf = F.when(F.col("system") == "volume", 4).when(F.col("system") == "weight", 0).otherwise(99)
-    ranked = _items(spark, sf_dir).withColumn("shelf", shelf)
+    ranked = _items(spark, sf_dir).withColumn("shelf", F.expr(shelf_rank("display_name")))
     rows = ranked.groupBy("user_id", "week_start").agg(F.array_sort(F.collect_list(F.struct("shelf", F.lower("display_name").alias("l"), "display_name"))).alias("rows"))
     return rows.select("user_id", "week_start", F.array_join(F.transform("rows", lambda r: r["display_name"]), "|").alias("names"))
 
@@ -122,7 +130,7 @@ ORACLE_SQL = {
     "a1_grocery_list": _sql(f"select user_id, week_start, name_key, system, display_name, {_r('qty')} as qty, unit, notes, optional, n_sources from items"),
     "q11_line_items": _sql(f"select user_id, week_start, name_key, system, case when qty > 0 then {_r('qty')} else 1 end as item_qty, case when qty > 0 then {Q.shopping_unit('unit')} else 'each' end as item_unit from items"),
     "s13_grocery_text": _sql(f"select user_id, week_start, string_agg('[ ] ' || {Q.duck(Q.format_item('qty', 'unit', 'display_name', 'notes', 'optional'))}, chr(10) order by display_name, coalesce(system, ''), n_sources) as text from items group by all"),
-    "o3_grocery_order": _sql("select user_id, week_start, string_agg(display_name, '|' order by case system when 'volume' then 4 when 'weight' then 0 else 99 end, lower(display_name), display_name) as names from items group by all"),
+    "o3_grocery_order": _sql("select user_id, week_start, string_agg(display_name, '|' order by " + shelf_rank("display_name") + ", lower(display_name), display_name) as names from items group by all"),
     "a17_line_item_counts": _sql("select i.user_id, i.week_start, count(*) as n_items, any_value(c.n) as n_recipes from items i join (select user_id, week_start, count(*) as n from meals group by all) c on i.user_id = c.user_id and i.week_start = c.week_start group by 1, 2"),
     "a11_list_progress": _sql("select user_id, week_start, count_if(qty is null or optional) as n_checked, count(*) as n_items from items group by all"),
     "p12_unchecked": _sql("select user_id, week_start, name_key, system from items where not optional"),

@@ -7,7 +7,7 @@ from larder.functions import quantities as Q
 from larder.functions import text as T
 from larder.functions.dialect import DUCK, SPARK
 
-from .bindings import FOOD, TABLES, bound
+from .bindings import TABLES, bound
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -98,19 +98,37 @@ def grams(qty: str, unit: str, food: str) -> str:
     )
 
 
+def weighed(d) -> str:
+    """The lines with their food, action and grams (g), by the rules of A3 and default grams."""
+    known = f"select l.*, m.food, case when l.name = 'kosher salt' then 'SKIP' when l.name = 'rice' then 'ESTIMATE_QUANTITY' else 'MATCH' end as action, {grams('((qty_min + qty_max) / 2)', 'unit', 'm.food')} as g0 from lines l left join ({matched(d)}) m on l.name = m.name"
+    return f"select *, case when coalesce(g0, 0) <= 0 and action = 'ESTIMATE_QUANTITY' and qty_min is null then 180.0 else g0 end as g from ({known}) k"
+
+
 def per_line(d) -> str:
     """A4: what each line adds, rounded; salt is skipped and counts as matched, without any."""
     tenth = lambda c: f"floor(f.{c} * g / 100 * 10 + 0.500001) / 10"
-    known = f"select l.*, m.food, case when l.name = 'kosher salt' then 'SKIP' when l.name = 'rice' then 'ESTIMATE_QUANTITY' else 'MATCH' end as action, {grams('((qty_min + qty_max) / 2)', 'unit', 'm.food')} as g0 from lines l left join ({matched(d)}) m on l.name = m.name"
-    filled = f"select *, case when coalesce(g0, 0) <= 0 and action = 'ESTIMATE_QUANTITY' and qty_min is null then 180.0 else g0 end as g from ({known}) k"
     zero = lambda e: f"case when action = 'SKIP' then 0.0 when g > 0 then {e} end"
-    return f"select recipe_id, line_no, part_no, supp_no, l.food, {zero('floor(f.kcal * g / 100 + 0.500001)')} as kcal, {zero(tenth('protein'))} as protein, {zero(tenth('carbs'))} as carbs from ({filled}) l left join food f on l.food = f.food"
+    macros = ", ".join(f"{zero(tenth(c))} as {c}" for c in ("protein", "fat", "carbs", "fiber"))
+    return f"select recipe_id, line_no, part_no, supp_no, l.food, {zero('floor(f.kcal * g / 100 + 0.500001)')} as kcal, {macros} from ({weighed(d)}) l left join food f on l.food = f.food"
+
+
+def lite(d) -> str:
+    """Sums of what the lines add, rounded only at the end; servings of 1 at least; nothing matched is zero."""
+    line = f"select l.recipe_id, case when action = 'SKIP' then 0.0 when g0 > 0 then f.kcal * g0 / 100 end as kcal from ({weighed(d)}) l left join food f on l.food = f.food"
+    return f"select p.recipe_id, cast(floor(sum(coalesce(kcal, 0)) / greatest(coalesce(max(r.servings), 1), 1) + 0.500001) as bigint) as kcal, count(kcal) as n_matched, count(*) as n_lines from ({line}) p join recipes r on p.recipe_id = r.recipe_id group by p.recipe_id"
 
 
 def per_recipe(d) -> str:
-    """Sums of the matched lines for one serving, with confidence."""
-    sums = f"select recipe_id, sum(kcal) as kcal, sum(protein) as protein, count(kcal) as n_matched, count(*) as n_lines from ({per_line(d)}) p group by recipe_id"
-    return f"select s.recipe_id, floor(kcal / coalesce(r.servings, 1) + 0.500001) as kcal, floor(protein / coalesce(r.servings, 1) * 10 + 0.500001) / 10 as protein, n_matched, n_lines, case when n_matched >= 0.8 * n_lines then 'high' when n_matched >= 0.5 * n_lines then 'medium' else 'low' end as confidence from ({sums}) s join recipes r on s.recipe_id = r.recipe_id where n_matched > 0"
+    """Sums of the matched lines for one serving, with confidence.
+
+    Only matches with the food table are of high confidence in the rule, and there are no
+    others here, so that its test of 0.7 on them is implied by the one of 0.8 on all.
+    """
+    macros = ("protein", "fat", "carbs", "fiber")
+    totals = ", ".join(f"sum({c}) as {c}" for c in macros)
+    served = ", ".join(f"floor({c} / coalesce(r.servings, 1) * 10 + 0.500001) / 10 as {c}" for c in macros)
+    sums = f"select recipe_id, sum(kcal) as kcal, {totals}, count(kcal) as n_matched, count(*) as n_lines from ({per_line(d)}) p group by recipe_id"
+    return f"select s.recipe_id, floor(kcal / coalesce(r.servings, 1) + 0.500001) as kcal, {served}, n_matched, n_lines, case when n_matched >= 0.8 * n_lines then 'high' when n_matched >= 0.5 * n_lines then 'medium' else 'low' end as confidence from ({sums}) s join recipes r on s.recipe_id = r.recipe_id where n_matched > 0"
 
 
 def per_day(d) -> str:
@@ -130,9 +148,8 @@ register("a4_ingredient_nutrition", per_line, "lines", "food")
 register("a5_recipe_nutrition", per_recipe, "lines", "food", "recipes")
 register("a7_day_nutrition", per_day, "lines", "food", "recipes", "meals")
 register("a8_day_source_first", lambda d: f"select m.user_id, m.week_start, m.day_no, floor(sum(coalesce(r.declared_calories, n.kcal)) + 0.5) as kcal from meals m join recipes r on m.recipe_id = r.recipe_id left join ({per_recipe(d)}) n on m.recipe_id = n.recipe_id group by m.user_id, m.week_start, m.day_no", "lines", "food", "recipes", "meals")
-register("a9_nutrition_lite", lambda d: f"select p.recipe_id, floor(sum(coalesce(kcal, 0)) / greatest(coalesce(max(r.servings), 1), 1) * 1000 + 0.500001) / 1000 as kcal, count(kcal) as n_matched from ({per_line(d)}) p join recipes r on p.recipe_id = r.recipe_id group by p.recipe_id", "lines", "food", "recipes")
+register("a9_nutrition_lite", lite, "lines", "food", "recipes")
 register("j2_meals_with_nutrition", lambda d: f"select m.user_id, m.week_start, m.recipe_id, coalesce(n.kcal, r.declared_calories) as kcal from meals m join recipes r on m.recipe_id = r.recipe_id left join ({per_recipe(d)}) n on m.recipe_id = n.recipe_id", "lines", "food", "recipes", "meals")
 register("o4_nutrition_sort", lambda d: f"select recipe_id, line_no, part_no, supp_no, row_number() over (partition by recipe_id order by coalesce(kcal, -1) desc, line_no, part_no, supp_no) as place from ({per_line(d)}) p", "lines", "food")
 register("d9_nutrition_line", lambda d: f"select user_id, week_start, day_no, concat('day:', cast(cast(kcal as bigint) as {d.text_type}), 'cal|', cast(n_meals as {d.text_type}), 'meals') as line from ({per_day(d)}) t", "lines", "food", "recipes", "meals")
 register("q12_rescale", lambda d: f"select recipe_id, floor(kcal * 4 / 6.0 + 0.500001) as kcal from ({per_recipe(d)}) t", "lines", "food", "recipes")
-assert FOOD

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-MOST_FAILURES, LOCK_SECONDS = 2, 900
+MOST_FAILURES, LOCK_SECONDS = 5, 900
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -31,15 +31,33 @@ def counts(stream: DataFrame, seconds: int, *keys: str) -> DataFrame:
     return grouped.select(F.col("window.start").alias("win"), *keys, "n")
 
 
-def distinct_in_a_day(stream: DataFrame, *keys: str) -> DataFrame:
-    """The first row of each key within 24 hours."""
-    return stream.withWatermark("ts", "24 hours").dropDuplicatesWithinWatermark(list(keys))
+def once_a_day(stream: DataFrame, first: str, second: str) -> DataFrame:
+    """(first, second, taken): a row of a key is taken, at that second, if none of its key was taken in the 24 hours before."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    day = 86_400_000_000
+
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        taken = []
+        for now in sorted(t for f in frames for t in f["at"]):
+            if last is None or now >= last + day:
+                last = now
+                taken.append(now // 1_000_000)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + day // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({first: [key[0]] * len(taken), second: [key[1]] * len(taken), "taken": taken})
+
+    timed = stream.withWatermark("ts", "24 hours").select(first, second, "ts", F.unix_micros("ts").alias("at"))
+    return timed.groupBy(first, second).applyInPandasWithState(step, f"{first} {kinds[first]}, {second} {kinds[second]}, taken long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 LOCK = "user_id long, failures long, locked boolean"
 
 
-def lockouts(stream: DataFrame) -> DataFrame:
+def lockouts(stream: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
     """Per user the failures since the first one in a row; a success, or 15 minutes since that first one, clears them."""
 
     def step(key, frames, state: GroupState):
@@ -56,7 +74,7 @@ def lockouts(stream: DataFrame) -> DataFrame:
             if kind == "error":
                 since = now if n == 0 else since
                 n += 1
-            locked = locked or n >= MOST_FAILURES
+            locked = locked or n >= most
         if n:
             state.update((n, since))
             state.setTimeoutTimestamp(max((since + LOCK_SECONDS) * 1000, state.getCurrentWatermarkMs() + 1))
