@@ -21,12 +21,12 @@ STRING = """concat('<script type="application/ld+json">[{"@type": "Recipe", "nam
 SECTIONS = """concat('<script type="application/ld+json">{"@type": "Recipe", "name": ["Recipe ', n, '"], "recipeIngredient": "1 cup milk", "recipeInstructions": [{"@type": "HowToSection", "name": "Dough", "itemListElement": [{"text": "Mix the milk."}, "The rest is easy"]}, {"@type": "HowToStep", "name": "Heat it well"}]}</script>')"""
 KINDS = (("jsonld", JSONLD), ("microdata", MICRODATA), ("heuristic", HEADINGS), ("microdata", BROKEN), ("jsonld", STRING), ("jsonld", SECTIONS))
 PART = f"page_id % {len(KINDS)}"
+RECIPE = f"case {PART} " + " ".join(f"when {k} then {text}" for k, (_, text) in enumerate(KINDS)) + " end"
 
 
 def built(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("n", F.col("page_id").cast("string"))
-    recipe = " ".join(f"when {k} then {text}" for k, (_, text) in enumerate(KINDS))
-    return pages.select("page_id", "url", F.expr(f"concat(case {PART} {recipe} end, html)").alias("html"))
+    return pages.select("page_id", "url", F.expr(f"concat({RECIPE}, html)").alias("html"))
 
 
 LAYER = f"case {PART} " + " ".join(f"when {k} then '{layer}'" for k, (layer, _) in enumerate(KINDS)) + " end"

@@ -9,7 +9,7 @@ from larder.sources import payloads as S
 from larder.sources.folders import shared
 from larder.streaming import jobs as J
 
-from .extraction import HEADINGS, JSONLD, LAYER, MICRODATA
+from .extraction import LAYER, RECIPE
 
 
 def _read(spark, sf_dir, name):
@@ -67,7 +67,7 @@ def s3_archives(spark, sf_dir):
 def r1_stream_extract(spark, sf_dir):
     path = f"{sf_dir}/pages.parquet"
     pages = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("n", F.col("page_id").cast("string"))
-    built = pages.select("page_id", F.expr(f"concat(case page_id % 3 when 0 then {JSONLD} when 1 then {MICRODATA} else {HEADINGS} end, html)").alias("html"))
+    built = pages.select("page_id", F.expr(f"concat({RECIPE}, html)").alias("html"))
     return J.extract(built, shared(spark)).select("page_id", "layer", "title")
 
 
