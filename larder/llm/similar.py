@@ -28,7 +28,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -212,17 +212,32 @@ def crossing(met: DataFrame, similarity: float) -> DataFrame:
     sized = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - NEAR
     both = asked.alias("x").join(asked.alias("y"), apart & sized).select(F.col("x.rid").alias("x"), F.col("y.rid").alias("y"), F.col("x.size").alias("a"), F.col("y.size").alias("b"), (F.col("x.last") <= F.col("y.last")).alias("first"))
     found = both.groupBy("x", "y", "a", "b", "first").agg(F.count("*").alias("common"))
+    return found.where(_enough(similarity)).select("x", "y")
+
+
+def _enough(similarity: float) -> Column:
+    """Whether sets of sizes a and b with that many common first shingles can be similar; first: the prefix of a's set ends first."""
     size = F.when(F.col("first"), F.col("a")).otherwise(F.col("b"))
     rest = F.ceil(similarity * size - NEAR) - 1
-    return found.where(F.col("common") + rest >= similarity / (1 + similarity) * (F.col("a") + F.col("b")) - NEAR).select("x", "y")
+    return F.col("common") + rest >= similarity / (1 + similarity) * (F.col("a") + F.col("b")) - NEAR
 
 
-def leads(met: DataFrame, round_: int) -> DataFrame:
-    """Pairs (x, y): each row of met (rid, token, root) with the lead of another root that most of its tokens have; a token's lead is one of its rows."""
+def leads(met: DataFrame, ends: DataFrame, round_: int, similarity: float) -> DataFrame:
+    """Pairs (x, y): each row of met (rid, token, root) with the lead of another root that most of its tokens have; a token's lead is one of its rows.
+
+    Of ends (rid, size, last) come the sizes by which pairs that cannot be similar are left out. A
+    pair's tokens with other leads are not counted, so that one that is similar may be left out too;
+    crossing() has all of them.
+    """
     one = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(round_)).alias("h"), "root", "rid")).alias("lead"))
     led = met.join(one, "token").where("root <> lead.root").select("rid", F.col("lead.rid").alias("y"))
     most = led.groupBy("rid", "y").agg(F.count("*").alias("n")).groupBy("rid").agg(F.max(F.struct("n", "y")).alias("best"))
-    return most.select(F.col("rid").alias("x"), F.col("best.y").alias("y"))
+    pairs = most.select(F.col("rid").alias("x"), F.col("best.y").alias("y"), F.col("best.n").alias("common"))
+    sized = pairs
+    for side, size, last in (("x", "a", "last_x"), ("y", "b", "last_y")):
+        sized = sized.join(ends.select(F.col("rid").alias(side), F.col("size").alias(size), F.col("last").alias(last)), side)
+    fits = F.least("a", "b") >= similarity * F.greatest("a", "b") - NEAR
+    return sized.withColumn("first", F.col("last_x") <= F.col("last_y")).where(fits & _enough(similarity)).select("x", "y")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -277,8 +292,9 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     met = stage(rows.join(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token"), "met")
     rooted = lambda: met.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     merged = lambda more: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    ends = stage(rows.groupBy("rid").agg(F.first("size").alias("size"), F.first("last").alias("last")), "ends")
     for k in range(ROUNDS):
-        new = stage(alike(stage(leads(rooted(), k), "leads"), texts, words, similarity), "lead_links")
+        new = stage(alike(stage(leads(rooted(), ends, k, similarity), "leads"), texts, words, similarity), "lead_links")
         if new.isEmpty():
             break
         roots = merged(new)
