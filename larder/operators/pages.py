@@ -10,7 +10,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.dialect import SPARK
@@ -175,3 +175,13 @@ def steps(recipes: DataFrame) -> DataFrame:
     """Step rows, without commentary (P10), numbered anew; section names stay, in brackets."""
     kept = F.expr(f"filter(steps, s -> startswith(s, '[') or {is_instruction(SPARK, 's')})")
     return recipes.select("page_id", F.posexplode(kept).alias("pos", "text")).select("page_id", (F.col("pos") + 1).alias("ord"), "text")
+
+
+def caption_track_text(xml: Column) -> Column:
+    """The text of the paragraphs of a caption track, without the tags inside; of one without paragraphs, that of its text nodes."""
+    paragraphs = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), lambda p: F.regexp_replace(p, r"<[^>]*>", ""))
+    nodes = F.regexp_extract_all(xml, F.lit(r"(?s)<text(?:\s[^>]*)?>(.*?)</text>"), F.lit(1))
+    joined = F.array_join(F.when(F.size(paragraphs) > 0, paragraphs).otherwise(nodes), " ")
+    for name, plain in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        joined = F.replace(joined, F.lit(f"&{name};"), F.lit(plain))
+    return F.trim(F.regexp_replace(joined, r"[ \t\n\r\f]+", " "))

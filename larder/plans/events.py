@@ -39,7 +39,7 @@ ranked as (select event_id, event_type, day, hour, row_number() over (partition
 select event_id, cast(b + r as bigint) as n_day, b + r <= 40 as allowed
 from ranked join before on ranked.event_type = before.event_type and ranked.day = before.day and ranked.hour = before.hour""",
 )
-register("w7_quota", "select event_id, user_id, c as used, c < 3 as free from (select event_id, user_id, event_type, count(*) over (partition by user_id, event_type order by ts, event_id rows between unbounded preceding and current row) - 1 as c from events) q where event_type = 'view'")
+register("w7_quota", "select event_id, user_id, c as used, c < 3 as free, saves, saves < 25 as may_save from (select event_id, user_id, event_type, count(*) over (partition by user_id, event_type order by ts, event_id rows between unbounded preceding and current row) - 1 as c, count_if(event_type = 'click') over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as saves from events) q where event_type = 'view'")
 register(
     "w8_saves_since_export",
     """with islands as (select event_id, user_id, event_type, ts, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as island from events)
@@ -61,4 +61,4 @@ register("a14_campaign_conversions", f"select t.event_id % 5 as campaign, count(
 register("a15_saves_before_first", "select e.user_id, count_if(e.event_type = 'click' and (f.t is null or e.ts < f.t)) as saves from events e left join (select user_id, min(ts) as t from events where event_type = 'purchase' group by user_id) f on e.user_id = f.user_id group by e.user_id")
 register("a16_cap_cohort", "select count(*) as users, count_if(saves >= 10 and upgrades = 0) as capped, floor(count_if(saves >= 10 and upgrades = 0) * 10000.0 / count(*) + 0.5) / 10000 as share from (select user_id, count_if(event_type = 'click') as saves, count_if(event_type = 'purchase') as upgrades from events group by user_id) u")
 register("p16_fresh_only", "select event_id from events where ts > (select max(ts) from events) - {week}")
-register("o6_recent_k", "select user_id, max(ts) as last_seen from events group by user_id order by last_seen desc, user_id limit 100")
+register("o6_recent_k", "select user_id, max(ts) as last_seen from events group by user_id order by last_seen desc, user_id limit 10000")

@@ -58,12 +58,22 @@ def x9_steps(spark, sf_dir):
 
 def _recipes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.concat(F.lit("Recipe "), F.col("doc_id").cast("string")).alias("title"), F.slice(F.split("text", r"\s+"), 1, 8).alias("ingredients"), F.array(F.lit("Mix.")).alias("steps"), F.substring("text", 1, 9000).alias("description"))
+    return docs.select("doc_id", F.concat(F.lit("Recipe "), F.col("doc_id").cast("string")).alias("title"), F.slice(F.split("text", r"\s+"), 1, 8).alias("ingredients"), F.array(F.lit("Mix.")).alias("steps"), F.col("text").alias("description"))
+
+
+#: Words of a text in one recipe, so that whole texts go through payloads of bounded size.
+PIECE = 200
+
+
+def _pieces(spark, sf_dir):
+    words = _recipes(spark, sf_dir).withColumn("w", F.split("description", r"\s+"))
+    cut = F.expr(f"transform(sequence(0, (size(w) - 1) div {PIECE}), k -> slice(w, k * {PIECE} + 1, {PIECE}))")
+    return words.select("doc_id", "title", "steps", F.posexplode(cut).alias("piece", "ingredients"))
 
 
 def s8_share_round_trip(spark, sf_dir):
-    shared = S.decode_payloads(S.share_payloads(_recipes(spark, sf_dir).drop("description")))
-    return shared.select("doc_id", F.col("recipe.t").alias("title"), F.array_join("recipe.ig", " ").alias("ingredients"))
+    shared = S.decode_payloads(S.share_payloads(_pieces(spark, sf_dir)))
+    return shared.select("doc_id", F.col("piece").cast("long").alias("piece"), F.col("recipe.t").alias("title"), F.array_join("recipe.ig", " ").alias("ingredients"))
 
 
 def s15_fit_share_link(spark, sf_dir):
@@ -89,9 +99,8 @@ def x22_chat_recipes(spark, sf_dir):
 
 def x21_caption_text(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    xml = turns.withColumn("xml", F.concat(F.lit("<t><text start='0'>"), F.regexp_replace("text", "[<>&]", ""), F.lit("</text><text> a &amp; b</text></t>")))
-    parts = F.regexp_extract_all("xml", F.lit(r"(?s)<text[^>]*>(.*?)</text>"), F.lit(1))
-    return xml.select("conv_id", "turn", F.trim(F.regexp_replace(F.replace(F.array_join(parts, " "), F.lit("&amp;"), F.lit("&")), r"[ \t\n\r\f]+", " ")).alias("caption"))
+    xml = turns.withColumn("said", F.regexp_replace("text", "[<>&]", "")).withColumn("xml", F.expr("""case when turn % 2 = 0 then concat("<t><text start='0'>", said, "</text><text> a &amp; b</text></t>") else concat("<body><p t='0'><s>", said, "</s><s> a</s></p><p>&amp; b</p><text>no</text></body>") end"""))
+    return xml.select("conv_id", "turn", P.caption_track_text(F.col("xml")).alias("caption"))
 
 
 QUERIES |= {f.__name__: f for f in (x1_jsonld_blocks, x2_jsonld_recipes, x3_microdata, x4_headings, x5_best_layer, x9_steps, s8_share_round_trip, s15_fit_share_link, s14_import_inbox, x22_chat_recipes, x21_caption_text)}
@@ -105,7 +114,8 @@ ORACLE_SQL |= {
 case {PART} when 0 then 'Mix the milk.|Tip: chill' when 4 then 'Mix the milk.|Heat it well!|Serve immediately.' when 5 then '[Dough]|Mix the milk.|The rest is easy|Heat it well' else 'Mix the milk.' end as steps from pages""",
     "x9_steps": f"""with s as (select page_id, unnest(case {PART} when 0 then ['Mix the milk.', 'Tip: chill'] when 4 then ['Mix the milk.', 'Heat it well!', 'Serve immediately.'] when 5 then ['[Dough]', 'Mix the milk.', 'Heat it well'] else ['Mix the milk.'] end) as text,
 generate_subscripts(case {PART} when 0 then [1, 2] when 4 then [1, 2, 3] when 5 then [1, 2, 3] else [1] end, 1) as ord from pages) select page_id, ord::bigint as ord, text from s""",
-    "s8_share_round_trip": r"select doc_id, 'Recipe ' || doc_id as title, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') as ingredients from documents",
+    "s8_share_round_trip": rf"""select doc_id, k as piece, 'Recipe ' || doc_id as title, array_to_string(w[k * {PIECE} + 1:(k + 1) * {PIECE}], ' ') as ingredients
+from (select doc_id, w, unnest(range((len(w) + {PIECE} - 1) // {PIECE})) as k from (select doc_id, regexp_split_to_array(text, '\s+') as w from documents) s) p""",
     "s14_import_inbox": "select doc_id, case when doc_id % 5 <> 0 and doc_id % 3 <> 0 then source end as title, doc_id % 5 <> 0 and doc_id % 3 <> 0 as accepted from documents",
     "x22_chat_recipes": "select conv_id, turn, 'T' || conv_id as title, 'a|b' as ingredients from conversations where role = 'assistant' and conv_id % 2 = 0",
     "x21_caption_text": r"select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[<>&]', '', 'g') || '  a & b', '[ \t\n\r\f]+', ' ', 'g')) as caption from conversations",

@@ -23,7 +23,7 @@ def p2_drop_blocked(spark, sf_dir):
 
 def x16_post_text_by_code(spark, sf_dir):
     code = F.concat(F.lit("Q"), F.col("page_id").cast("string"), F.lit("Q"))
-    html = F.expr("""concat('<script>{"text": "other"}</script><script>', case when page_id % 2 = 0 then concat('{"id": "Q', page_id, 'Q", "text": "bean soup ', page_id, '"}') else '' end, '</script>')""")
+    html = F.expr("""concat('<script>{"text": "other"}</script><script>', case when page_id % 2 = 0 then concat('{"id": "Q', page_id, 'Q", "text": "bean soup ', page_id, '"}') else '' end, '</script>', html)""")
     return _read(spark, sf_dir, "pages").select("page_id", P.post_text_by_code(html, code).alias("text"))
 
 
@@ -47,14 +47,14 @@ def x24_image_recipe(spark, sf_dir):
 
 
 def x26_caption_track(spark, sf_dir):
-    html = F.expr("""concat('x = {}; playerResponse = {"about": "', repeat('so good ', 12), '", "captions": {"tracks": [', case page_id % 3 when 0 then '{"lang": "fr", "url": "f}"}, {"lang": "en", "url": "e"}' when 1 then '{"lang": "de", "url": "d"}' else '' end, ']}}; more {')""")
+    html = F.expr("""concat('x = {}; playerResponse = {"about": "', repeat('so good ', 12), '", "captions": {"tracks": [', case page_id % 3 when 0 then '{"lang": "fr", "url": "f}"}, {"lang": "en", "url": "e"}' when 1 then '{"lang": "de", "url": "d"}' else '' end, ']}}; more {', html)""")
     return P.pick_caption_track(_read(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id")
 
 
 def t6_tabular_export(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     text = F.expr("concat('* Exported from Kitchen *\\n\\n  Soup ', doc_id, '\\nRecipe By: x\\n2 cups beans -- dried\\n1 tsp salt\\nBoil the beans.\\nServe.\\n- - - - -\\nlater')")
-    return P.tabular_exports(docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.col("text")).alias("text"))).where("doc_id % 2 = 0")
+    return P.tabular_exports(docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.col("text")).alias("text")))
 
 
 def s3_archives(spark, sf_dir):

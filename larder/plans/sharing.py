@@ -61,7 +61,7 @@ def x27_model_recipe(spark, sf_dir):
 def x17_short_video_caption(spark, sf_dir):
     """The longest description of 50 characters or more in a page's data."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    html = F.expr("""concat('{"desc": "short"},{"desc": "', repeat('soup ', 12), page_id, '"},{"desc": "', repeat('pie ', 14), '"}')""")
+    html = F.expr("""concat('{"desc": "short"},{"desc": "', repeat('soup ', 12), page_id, '"},{"desc": "', repeat('pie ', 14), '"}', html)""")
     found = F.filter(F.regexp_extract_all(html, F.lit(r'"desc"\s*:\s*"((?:[^"\\]++|\\.)*+)"'), F.lit(1)), lambda s: F.length(s) >= 50)
     best = F.element_at(F.array_sort(F.transform(found, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), 1)
     return pages.select("page_id", best["s"].alias("caption"))

@@ -9,12 +9,14 @@ from larder.sources.folders import shared
 from larder.streaming import jobs as J
 
 
-def _counts(seconds: int, *keys: str):
+def _counts(seconds: int, most: int | None, *keys: str):
     def query(spark, sf_dir):
-        return J.finish(J.counts(J.events(spark, f"{sf_dir}/events.parquet"), seconds, *keys), shared(spark)).withColumn("win", F.unix_timestamp("win"))
+        written = J.finish(J.counts(J.events(spark, f"{sf_dir}/events.parquet"), seconds, *keys), shared(spark), "update")
+        return J.latest(written, *keys, most=most).withColumn("win", F.unix_timestamp("win"))
 
+    over = "" if most is None else f", n > {most} as over"
     sql = f"""with w as (select cast(floor(epoch(ts) / {seconds}) as bigint) * {seconds} as win, {', '.join(keys)}, count(*) as n from events group by all)
-select * from w where win + {seconds} <= (select max(epoch(ts)) from events) - {seconds}"""
+select *{over} from w"""
     return query, sql
 
 
@@ -38,11 +40,11 @@ def r8_upsert(spark, sf_dir):
 def _recipe_docs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     added = "concat('Soup ', cast(doc_id as string), '\\nIngredients:\\n1 cup milk\\n- salt\\nDirections\\n1. Heat the milk.\\n2) Serve.')"
-    return docs.select("doc_id", F.expr(f"case when doc_id % 2 = 0 then {added} else concat('Stew\\n2 cups beans\\n* oil\\nStir the beans over low heat.\\n', substring(replace(text, '\\n', ' '), 1, 10)) end").alias("text"))
+    return docs.select("doc_id", F.expr(f"case when doc_id % 2 = 0 then {added} else concat('Stew\\n2 cups beans\\n* oil\\nStir the beans over low heat.\\n', replace(replace(text, '\\n', ' '), '\\r', ' ')) end").alias("text"))
 
 
 def t1_text_recipes(spark, sf_dir):
-    return T.text_recipes(_recipe_docs(spark, sf_dir)).where("text rlike '(?i)soup|stew|milk|salt|serve|beans|oil'").select("doc_id", "kind", "text")
+    return T.text_recipes(_recipe_docs(spark, sf_dir)).select("doc_id", "kind", "text")
 
 
 def t2_split_blob(spark, sf_dir):
@@ -66,7 +68,7 @@ def x15_post_texts(spark, sf_dir):
 def x23_search_results(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     block = "concat('<div class=\"result', case when k % 4 = 0 then ' ad' else '' end, '\"><a href=\"//s/?uddg=https%3A%2F%2Fa.example%2F', k, '&r=1\">T', k, '</a></div>')"
-    built = pages.select("page_id", F.expr(f"array_join(transform(sequence(0, 19), k -> {block}), '')").alias("html"))
+    built = pages.select("page_id", F.expr(f"concat(array_join(transform(sequence(0, 19), k -> {block}), ''), html)").alias("html"))
     return T.search_results(built).select("page_id", F.col("place").cast("long").alias("place"), "url", "title")
 
 
@@ -79,12 +81,15 @@ ORACLE_SQL = {
 select user_id, event_type, cast(floor(us / 1000000) as bigint) as taken from taken""",
     "r6_first_touch": "select user_id, arg_min(event_id, ts) as event_id from events where event_type = 'view' and user_id % 3 <> 0 group by user_id",
     "r8_upsert": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id",
-    "t1_text_recipes": """select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step', 'step']) as kind, unnest(['Soup ' || doc_id, '1 cup milk', 'salt', 'Heat the milk.', 'Serve.']) as text from documents where doc_id % 2 = 0
-union all select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step']), unnest(['Stew', '2 cups beans', 'oil', 'Stir the beans over low heat.']) from documents where doc_id % 2 = 1""",
+    "t1_text_recipes": f"""select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step', 'step']) as kind, unnest(['Soup ' || doc_id, '1 cup milk', 'salt', 'Heat the milk.', 'Serve.']) as text from documents where doc_id % 2 = 0
+union all select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step']), unnest(['Stew', '2 cups beans', 'oil', 'Stir the beans over low heat.']) from documents where doc_id % 2 = 1
+union all select doc_id, kind, regexp_replace(regexp_replace(line, '{T.BULLET}', ''), '{T.NUMBERED}', '') from (select doc_id, line, case when regexp_matches(line, '{T.QUANTITY}') or regexp_matches(line, '{T.BULLET}') then 'ingredient'
+  when regexp_matches(line, '{T.NUMBERED}') or length(line) > 20 and regexp_matches(line, '{T.VERB}') then 'step' end as kind
+  from (select doc_id, trim(replace(replace(text, chr(10), ' '), chr(13), ' ')) as line from documents where doc_id % 2 = 1) l where line <> '') k where kind is not null""",
     "t2_split_blob": "select p_partkey, 4::bigint as n from part",
     "q7_step_timers": "select o_orderkey, '10-' || (o_orderkey % 40 + 11) || ' minutes|1 hour and 5 minutes|90 secs' as timers from orders",
     "x15_post_texts": "select doc_id, 103 + length(regexp_replace(text, '[^a-z ]', '', 'g')) as size from documents",
     "x23_search_results": "select page_id, row_number() over (partition by page_id order by k) as place, 'https://a.example/' || k as url, 'T' || k as title from pages, (select unnest(range(20)) as k) where k % 4 <> 0 qualify place <= 12",
 }
-for _name, _seconds, *_keys in (("r2_rate_counts", 600, "event_type", "user_id"), ("r3_daily_ceiling", 86400, "event_type"), ("r7_event_counts", 3600, "event_type")):
-    QUERIES[_name], ORACLE_SQL[_name] = _counts(_seconds, *_keys)
+for _name, _seconds, _most, *_keys in (("r2_rate_counts", 600, 1, "event_type", "user_id"), ("r3_daily_ceiling", 86400, 40, "event_type"), ("r7_event_counts", 3600, None, "event_type")):
+    QUERIES[_name], ORACLE_SQL[_name] = _counts(_seconds, _most, *_keys)

@@ -25,12 +25,18 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def counts(stream: DataFrame, seconds: int, *keys: str) -> DataFrame:
-    """Rows per key and tumbling window; a window comes out when the watermark, one window late, has passed it."""
+    """Rows per key and tumbling window. In update mode each batch gives the new counts of the windows that it changed; latest() reads them."""
     width = f"{seconds} seconds"
     grouped = stream.withWatermark("ts", width).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"))
     return grouped.select(F.col("window.start").alias("win"), *keys, "n")
 
 
+def latest(written: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """The last count, which is the largest, of each window and key that counts() wrote, open windows too; over: more than most."""
+    rows = written.groupBy("win", *keys).agg(F.max("n").alias("n"))
+    return rows if most is None else rows.withColumn("over", F.col("n") > most)
+
+
 def once_a_day(stream: DataFrame, first: str, second: str) -> DataFrame:
     """(first, second, taken): a row of a key is taken, at that second, if none of its key was taken in the 24 hours before."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
@@ -92,12 +98,13 @@ def first_touches(stream: DataFrame) -> DataFrame:
     return visits.groupBy("user_id").agg(F.min_by("event_id", "ts").alias("event_id"), F.min("ts").alias("touched"))
 
 
-def finish(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def finish(stream: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
     """Runs a stream over what there is and returns the rows that it wrote to folder.
 
-    In complete mode the last batch's table counts.
+    In complete mode the last batch's table counts. A run of a name goes on where the last one of
+    that name ended, and returns the rows of both; without a name it starts anew.
     """
-    spark, at = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    spark, at = stream.sparkSession, f"{folder}/{name or uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={0 if mode == 'complete' else number}")
@@ -106,20 +113,23 @@ def finish(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out").drop("batch")
 
 
-def upsert(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
-    """A table with the latest row of each key, rewritten with each batch under a new version."""
-    spark, at = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}"
-    versions: list[str] = []
+def upsert(stream: DataFrame, folder: str, key: str, order: str, name: str | None = None) -> DataFrame:
+    """A table with the latest row of each key, rewritten with each batch under the batch's number.
+
+    A batch that is run again writes its own version again, from the one before. A run of a name goes on with the table of the last one.
+    """
+    spark, at = stream.sparkSession, f"{folder}/{name or uuid.uuid4().hex}"
+    version = lambda number: spark.read.schema(stream.schema).parquet(f"{at}/table/version={number}")
 
     def merge(batch: DataFrame, number: int) -> None:
         own = batch.select(*stream.columns)
-        rows = spark.read.schema(stream.schema).parquet(versions[-1]).unionByName(own) if versions else own
+        rows = version(number - 1).unionByName(own) if number else own
         best = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), F.col(order)).alias("row")).select("row.*")
-        best.write.mode("overwrite").parquet(f"{at}/v{number}")
-        versions.append(f"{at}/v{number}")
+        best.write.mode("overwrite").parquet(f"{at}/table/version={number}")
 
     stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1])
+    last = spark.read.parquet(f"{at}/table").agg(F.max("version")).first()[0]
+    return version(last)
 
 
 def extract(stream: DataFrame, folder: str) -> DataFrame:
