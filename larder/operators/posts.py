@@ -35,6 +35,13 @@ def post_text_by_code(html: Column, code: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.get(scripts, F.lit(0)), pattern, 1), F.lit("")), F.nullif(F.regexp_extract(near, pattern, 1), F.lit("")))
 
 
+def short_video_caption(html: Column) -> Column:
+    """The longest "desc" of 50 characters or more in a page's data, of equal ones the first in order; else its og:description."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(r'"desc"\s*:\s*"((?:[^"\\]++|\\.)*+)"'), F.lit(1)), lambda s: F.length(s) >= 50)
+    best = F.get(F.array_sort(F.transform(found, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), F.lit(0))
+    return F.coalesce(best["s"], F.nullif(F.regexp_extract(html, r'<meta property="og:description" content="([^"]*)"', 1), F.lit("")))
+
+
 def best_text(df: DataFrame, key: str) -> DataFrame:
     """(key, source, text) of the best of a post's texts (caption, transcript, ocr).
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
-from larder.functions.dialect import DUCK, SPARK
+from larder.operators import posts as P
 
 from . import scalars
-from .bindings import TABLES, bound, with_tables
+from .bindings import bound, with_tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -59,12 +59,10 @@ def x27_model_recipe(spark, sf_dir):
 
 
 def x17_short_video_caption(spark, sf_dir):
-    """The longest description of 50 characters or more in a page's data."""
+    """The longest description of 50 characters or more in a page's data, else its og:description."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    html = F.expr("""concat('{"desc": "short"},{"desc": "', repeat('soup ', 12), page_id, '"},{"desc": "', repeat('pie ', 14), '"}', html)""")
-    found = F.filter(F.regexp_extract_all(html, F.lit(r'"desc"\s*:\s*"((?:[^"\\]++|\\.)*+)"'), F.lit(1)), lambda s: F.length(s) >= 50)
-    best = F.element_at(F.array_sort(F.transform(found, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), 1)
-    return pages.select("page_id", best["s"].alias("caption"))
+    html = F.expr("""concat('{"desc": "short"},', case when page_id % 3 = 0 then concat('<meta property="og:description" content="pie ', page_id, '">') else concat('{"desc": "', repeat('soup ', 12), page_id, '"},{"desc": "', repeat('pie ', 14), '"}') end, html)""")
+    return pages.select("page_id", P.short_video_caption(html).alias("caption"))
 
 
 def p13_valid_normalized(spark, sf_dir):
@@ -134,7 +132,7 @@ _TEXT = "array_to_string(names[1:3], ', ') || case when len(names) > 3 then ', a
 ORACLE_SQL |= {
     "s4_export_library": with_tables("select user_id, cast(json_object('version', 1, 'recipeCount', count(*), 'recipes', list(json_object('title', title, 'url', source_url) order by recipe_id)) as varchar) as envelope from recipes group by user_id", "recipes"),
     "x27_model_recipe": "select o_orderkey, 'R' || o_orderkey as title from orders where o_orderkey % 4 = 1",
-    "x17_short_video_caption": "select page_id, repeat('soup ', 12) || page_id as caption from pages",
+    "x17_short_video_caption": "select page_id, case when page_id % 3 = 0 then 'pie ' else repeat('soup ', 12) end || page_id as caption from pages",
     "p13_valid_normalized": "select o_orderkey, 'a' || o_orderkey as raw, case o_orderkey % 3 when 0 then 'MATCH' else 'SKIP' end as action, cast(o_orderkey % 90 as double) as grams from orders where o_orderkey % 3 < 2",
     "j11_enrich_results": "select p.page_id, k.image, k.rating from pages p left join (select url, min('https://i/' || page_id || '.png') as image, min(page_id % 5) as rating from pages group by url) k on p.page_id % 3 <> 0 and p.url = k.url",
     "s12_markdown": with_tables(_CARDS + "select recipe_id, concat_ws(chr(10), '# ' || title, 'Serves ' || servings, array_to_string(list_transform(names, lambda n: '- ' || n), chr(10)), case when source_url <> '' then '[' || title || '](' || source_url || ')' end) as markdown from cards", "recipes", "lines"),
@@ -142,4 +140,3 @@ ORACLE_SQL |= {
     "d6_share_description": with_tables(_CARDS + f"select recipe_id, case when length({_TEXT}) > 125 then regexp_extract(substring({_TEXT}, 1, 125), '^(.*)\\s', 1) else {_TEXT} end as description from cards", "recipes", "lines"),
     "s2_import_library": "select sha256(o_orderkey || '|' || title) as id, title from (select o_orderkey, unnest(case o_orderkey % 3 when 0 then ['A' || o_orderkey, 'B'] else ['C' || o_orderkey] end) as title from orders where o_orderkey % 3 < 2) q",
 }
-assert TABLES and SPARK and DUCK

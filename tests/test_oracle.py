@@ -10,7 +10,7 @@ import pytest
 
 from larder.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("LARDER_DATA", "/root/testdata/sf0.001")
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
