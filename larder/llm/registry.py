@@ -7,7 +7,7 @@ from importlib import import_module
 
 from .staging import small_batches
 
-MODULES = ("bpe", "language", "chat", "simhash", "pii", "decontaminate", "html", "neighbours", "urls", "repeats", "infill", "centroids")
+MODULES = ("bpe", "language", "chat", "simhash", "pii", "decontaminate", "html", "neighbours", "urls", "repeats", "infill", "centroids", "packing")
 
 
 def bounded(query):
