@@ -43,7 +43,7 @@ from .staging import stage
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Words and pieces of words that a worker remembers: two generations of so many.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 48
+CACHE_WORDS, CACHE_PIECES, CACHE_LENGTH = 250_000, 100_000, 48
 #: Pieces of words with more bytes go to the library.
 LONGEST = 64
 #: Bytes of text that a worker encodes together.
@@ -111,7 +111,7 @@ class Words:
         self.rank_of = np.argsort(keys)
         self.keys = np.append(keys[self.rank_of], np.iinfo(np.int64).max)
         self.rank_of = np.append(self.rank_of, len(pairs))
-        self.words, self.pieces = Memory(CACHE_WORDS), Memory(CACHE_WORDS)
+        self.words, self.pieces = Memory(CACHE_WORDS), Memory(CACHE_PIECES)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; the number of merges where there is none."""
