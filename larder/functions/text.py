@@ -177,13 +177,6 @@ def auto_tags(d: Dialect, *terms: str) -> str:
     return "concat_ws(',', " + ", ".join(f"case when {' or '.join(f'contains({text}, {w!r})' for w in ws)} then '{t}' end" for t, ws in TAGS.items()) + ")"
 
 
-def named_entities(d: Dialect, t: str) -> str:
-    """The named references that captions use."""
-    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
-        t = f"replace({t}, '&{name};', '{c}')"
-    return t if d.name == "duck" else t.replace("''''", '"\'"')
-
-
 def is_instruction(d: Dialect, t: str) -> str:
     """P10: long enough, and no commentary by its first word; "serve" only stands before "immediately"."""
     low = f"lower(trim({t}))"

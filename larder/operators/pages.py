@@ -1,24 +1,36 @@
 """Recipes from crawled pages: JSON-LD by Spark's own functions, then microdata and headings by a small parser.
 
-The parser sees only pages whose JSON-LD gives no recipe with content.
+Each page is read once. Its JSON-LD is parsed inside its row, and html goes on to the parser
+only where that gave no recipe with content.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from larder.functions import text as T
 from larder.functions.dialect import SPARK
-from larder.functions.text import is_instruction
+from larder.operators import trees
+from larder.operators.entities import decoded
 
 SCRIPT = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-STOP = re.compile(r"notes?|nutrition|comments?|related|video|reviews?|equipment", re.I)
+NONE = "cast(array() as array<variant>)"
+
+
+def _items(v: str) -> str:
+    """The objects of a parsed block: itself or its entries, and what their @graph lists."""
+    tops = f"case when schema_of_variant({v}) like 'ARRAY%' then cast({v} as array<variant>) else array({v}) end"
+    return f"flatten(transform({tops}, t -> concat(array(t), coalesce(try_variant_get(t, '$[\"@graph\"]', 'array<variant>'), {NONE}))))"
+
+
+def _is_recipe(v: str) -> str:
+    kind = f"lower(regexp_replace(to_json(try_variant_get({v}, '$[\"@type\"]', 'variant')), r'[\\[\\]\"]', ''))".replace("\\\\", "\\")
+    return f"coalesce({kind} rlike '(^|,|/)recipe(,|$)', false)"
 
 
 def jsonld_blocks(pages: DataFrame) -> DataFrame:
@@ -29,152 +41,187 @@ def jsonld_blocks(pages: DataFrame) -> DataFrame:
 
 def jsonld_recipes(pages: DataFrame) -> DataFrame:
     """(page_id, block, item, json): recipes at the top, in a top array, or in @graph of either."""
-    parsed = jsonld_blocks(pages).withColumn("v", F.try_parse_json("json"))
-    top = parsed.select("page_id", "block", "v", F.expr("case when schema_of_variant(v) like 'ARRAY%' then cast(v as array<variant>) else array(v) end").alias("a"))
-    one = top.select("page_id", "block", F.posexplode("a").alias("i", "x"))
-    graph = F.expr("try_variant_get(x, '$[\"@graph\"]', 'array<variant>')")
-    items = one.select("page_id", "block", "i", F.posexplode(F.concat(F.array("x"), F.coalesce(graph, F.expr("cast(array() as array<variant>)")))).alias("j", "r"))
-    kind = F.lower(F.regexp_replace(F.expr("to_json(try_variant_get(r, '$[\"@type\"]', 'variant'))"), r'[\[\]"]', ""))
-    return items.where(kind.rlike("(^|,|/)recipe(,|$)")).select("page_id", "block", (F.col("i") * 1000 + F.col("j")).alias("item"), F.to_json("r").alias("json"))
-
-
-class Events(HTMLParser):
-    """Elements as (open or close, tag, attributes) and texts, in order; void elements open only."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list = []
-
-    def handle_starttag(self, tag, attrs):
-        self.out.append(("<", tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag):
-        if tag not in VOID:
-            self.out.append((">", tag, None))
-
-    def handle_data(self, data):
-        self.out.append(("t", data, None))
-
-
-def events(html: str) -> list:
-    p = Events()
-    p.feed(html or "")
-    p.close()
-    return p.out
-
-
-def microdata(html: str) -> dict | None:
-    """The first schema.org/Recipe scope, each property a list of values, by tag."""
-    recipe, depth, open_props = None, 0, []
-    for kind, tag, attrs in events(html):
-        if kind == "<":
-            if recipe is None:
-                if re.search(r"schema\.org/recipe", attrs.get("itemtype", ""), re.I):
-                    recipe, depth = {}, 0
-                continue
-            prop = attrs.get("itemprop")
-            value = attrs.get("content") or {"img": attrs.get("src"), "a": attrs.get("href"), "link": attrs.get("href"), "time": attrs.get("datetime"), "data": attrs.get("value")}.get(tag)
-            if prop and value:
-                recipe.setdefault(prop, []).append(value)
-            elif prop and tag not in VOID:
-                open_props.append((depth + 1, prop, []))
-            depth += tag not in VOID
-        elif recipe is not None and kind == "t":
-            for _, _, texts in open_props:
-                texts.append(tag)
-        elif recipe is not None:
-            while open_props and open_props[-1][0] >= depth:
-                _, prop, texts = open_props.pop()
-                if text := " ".join("".join(texts).split()):
-                    recipe.setdefault(prop, []).append(text)
-            depth -= 1
-            if depth < 0:
-                break
-    return recipe
-
-
-def headings(html: str) -> dict | None:
-    """List items and paragraphs after an ingredients and an instructions heading, up to a stop heading."""
-    title, section, held, found = "", None, None, {"ingredients": [], "steps": []}
-    for kind, tag, _ in events(html):
-        if kind == "<" and tag in ("h1", "h2", "h3", "h4", "li", "p"):
-            held = (tag, [])
-        elif kind == "t" and held:
-            held[1].append(tag)
-        elif kind == ">" and held and tag == held[0]:
-            text = " ".join("".join(held[1]).split())
-            if tag[0] == "h":
-                title = title or (text if tag == "h1" else "")
-                if re.search("ingredients", text, re.I):
-                    section = "ingredients"
-                elif re.search("instructions|directions|method|preparation", text, re.I):
-                    section = "steps"
-                elif STOP.search(text) or tag in ("h1", "h2"):
-                    section = None
-            elif section and text:
-                found[section].append(text)
-            held = None
-    return {"name": [title], "recipeIngredient": found["ingredients"], "recipeInstructions": found["steps"]} if found["ingredients"] and found["steps"] else None
-
-
-def parsed_layers(pages: DataFrame) -> DataFrame:
-    """(page_id, layer, json) of pages by microdata, else by headings; a page that fails gives no row."""
+    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1))).alias("block", "text"))
+    parsed = blocks.withColumn("v", F.try_parse_json("text")).where("v is not null")
+    items = parsed.select("page_id", "block", F.posexplode(F.expr(_items("v"))).alias("item", "r"))
+    return items.where(_is_recipe("r")).select("page_id", "block", "item", F.to_json("r").alias("json"))
+
+
+def _read(pages: DataFrame, read, columns: str) -> DataFrame:
+    """A row for each tuple that read(html) gives."""
+    schema = StructType([pages.schema["page_id"], *StructType.fromDDL(columns).fields])
 
     def run(frames):
         for frame in frames:
-            rows = []
-            for page_id, html in zip(frame["page_id"], frame["html"]):
-                for rank, (layer, read) in enumerate((("microdata", microdata), ("heuristic", headings))):
-                    found = read(html or "")
-                    if found and (found.get("recipeIngredient") or found.get("recipeInstructions")):
-                        rows.append((page_id, layer, json.dumps(found, ensure_ascii=False)))
-                        break
-            yield pd.DataFrame(rows, columns=["page_id", "layer", "json"])
+            rows = [(page_id, *told) for page_id, html in zip(frame["page_id"], frame["html"]) for told in read(trees.tree(html))]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return pages.select("page_id", "html").mapInPandas(run, schema)
+
+
+def microdata_recipes(pages: DataFrame) -> DataFrame:
+    """(page_id, item, json) of all recipe scopes; nested scopes are objects in them."""
+    return _read(pages, lambda page: [(i, json.dumps(x, ensure_ascii=False)) for i, x in enumerate(trees.microdata(page))], "item int, json string")
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, layer string, json string")
+
+def heading_recipes(pages: DataFrame) -> DataFrame:
+    """(page_id, json) of pages with an ingredients or an instructions heading that something follows."""
+    return _read(pages, lambda page: [(json.dumps(x, ensure_ascii=False),) for x in [trees.headings(page)] if x], "json string")
+
+
+def parsed(html: str) -> tuple[str, str] | None:
+    """(layer, json) of a page without JSON-LD: its first microdata recipe with content, else what its headings give."""
+    page = trees.tree(html)
+    for item in trees.microdata(page):
+        if item.get("recipeIngredient") or item.get("recipeInstructions"):
+            return "microdata", json.dumps(item, ensure_ascii=False)
+    found = trees.headings(page)
+    return found and ("heuristic", json.dumps(found, ensure_ascii=False))
 
 
 def best_layer(pages: DataFrame) -> DataFrame:
-    """(page_id, layer, title, ingredients, steps): the first JSON-LD recipe with ingredients or steps, else what the parser's layers find.
+    """normalized() recipes of the first JSON-LD recipe with ingredients or steps, else of what the parser's layers find.
 
-    A page is known by its page_id. Pages with JSON-LD that gives nothing (broken, no recipe,
-    an empty one) go on to the other layers; pages without any are not joined at all.
+    Pages with JSON-LD that gives nothing (broken, no recipe, an empty one) go on to the other
+    layers. Rows are independent: a page_id that stands twice gives a recipe for each row. Nothing is shuffled.
     """
-    marked = pages.withColumn("ld", F.coalesce(F.regexp_like("html", F.lit(SCRIPT)), F.lit(False)))
-    told = jsonld_recipes(marked.where("ld")).withColumn("layer", F.lit("jsonld"))
-    full = normalized(told, "block", "item").where("size(ingredients) > 0 or size(steps) > 0")
-    first = full.groupBy("page_id").agg(F.min_by(F.struct("layer", "title", "ingredients", "steps"), F.struct("block", "item")).alias("r")).select("page_id", "r.*")
-    rest = marked.where("ld").join(first.select("page_id"), "page_id", "left_anti").select("page_id", "html").union(marked.where("not ld").select("page_id", "html"))
-    return first.unionByName(normalized(parsed_layers(rest)).where("size(ingredients) > 0 or size(steps) > 0"))
+    blocks = F.expr(f"filter(transform(regexp_extract_all(html, r'{SCRIPT}', 1), b -> try_parse_json(b)), v -> v is not null)")
+    marked = pages.select("page_id", "html", og_image(F.col("html")).alias("og"), blocks.alias("blocks"))
+    full = f"{_is_recipe('r')} and (size({_ingredients('r')}) > 0 or size({_steps('r')}) > 0)"
+    chosen = marked.select("page_id", "html", "og", F.expr(f"get(filter(flatten(transform(blocks, k -> {_items('k')})), r -> {full}), 0)").alias("r"))
+    told = chosen.select("page_id", "og", F.to_json("r").alias("json"), F.when(F.col("r").isNull(), F.col("html")).alias("html"))
+    schema = StructType([told.schema["page_id"], *[StructField(c, StringType()) for c in ("og", "layer", "json")]])
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for page_id, og, told_json, html in frame.itertuples(index=False):
+                found = ("jsonld", told_json) if told_json is not None else parsed(html) if html else None
+                if found:
+                    rows.append((page_id, og, *found))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return normalized(told.mapInPandas(run, schema)).where("size(ingredients) > 0 or size(steps) > 0")
+
+
+def og_image(html: Column) -> Column:
+    """The page's own picture, by either order of attributes."""
+    name, told = r"""property\s*=\s*["']og:image["']""", r"""content\s*=\s*["']([^"']+)["']"""
+    found = [F.nullif(F.regexp_extract(html, f"(?i)<meta[^>]*{a}[^>]*{b}[^>]*>", 1), F.lit("")) for a, b in ((name, told), (told, name))]
+    return F.coalesce(*found)
+
+
+def _trim(x: str) -> str:
+    return rf"regexp_replace({x}, r'(?U)^\s+|\s+$', '')"
+
+
+def _string(v: str, path: str) -> str:
+    return f"try_variant_get({v}, '$.{path}', 'string')"
+
+
+def _first(v: str, field: str) -> str:
+    """A field's text, or that of its first entry."""
+    return f"coalesce({_string(v, field + '[0]')}, {_string(v, field)})"
+
+
+def _list(v: str, field: str) -> str:
+    return f"coalesce(try_variant_get({v}, '$.{field}', 'array<variant>'), {NONE})"
+
+
+def _ingredients(v: str, field: str = "recipeIngredient") -> str:
+    """Lines of a list, or a string alone; objects by their text or name; without empty ones."""
+    line = "coalesce(try_variant_get(i, '$.text', 'string'), try_variant_get(i, '$.name', 'string'), try_variant_get(i, '$', 'string'), '')"
+    alone = f"coalesce({_string(v, field)}, '')"
+    kind = f"coalesce(schema_of_variant(try_variant_get({v}, '$.{field}', 'variant')), '')"
+    lines = f"case when {kind} = 'STRING' then array({alone}) else transform({_list(v, field)}, i -> {line}) end"
+    return f"filter(transform({lines}, l -> {_trim('l')}), l -> l <> '')"
+
+
+def _sentences(one: str) -> str:
+    """A text's lines, or if it is one line its sentences; numbers in front go."""
+    bare = lambda x: rf"regexp_replace({_trim(x)}, r'^\d+\.\s*', '')"
+    lines = rf"filter(split({one}, r'\n+'), y -> {_trim('y')} <> '')"
+    return rf"case when size({lines}) > 1 then transform({lines}, y -> {bare('y')}) else transform(split({one}, r'(?<=[.!?])\s+(?=[A-Z])'), y -> {bare('y')}) end"
+
+
+def _steps(v: str) -> str:
+    """Instructions as lines: a string, or an array's only string, is cut; sections give [name] and their own steps; objects give their text. P10 decides what stays."""
+    field = f"try_variant_get({v}, '$.recipeInstructions', 'variant')"
+    kind = f"coalesce(schema_of_variant({field}), '')"
+    every = _list(v, "recipeInstructions")
+    is_text = lambda x: f"(schema_of_variant({x}) = 'STRING')"
+    text = lambda x: f"try_variant_get({x}, '$', 'string')"
+    said = lambda x: f"case when {is_text(x)} then {text(x)} else try_variant_get({x}, '$.text', 'string') end"
+    name = "try_variant_get(s, '$.name', 'string')"
+    inner = f"transform({_list('s', 'itemListElement')}, e -> {said('e')})"
+    section = f"concat(case when coalesce({name}, '') <> '' then array(concat('[', {name}, ']')) else cast(array() as array<string>) end, {inner})"
+    is_section = "coalesce(try_variant_get(s, '$[\"@type\"]', 'string') rlike '(^|/)HowToSection$', false)"
+    alone = f"(size({every}) = 1 and {is_text(f'get({every}, 0)')})"
+    many = f"flatten(transform({every}, s -> case when {is_section} then {section} else array({said('s')}) end))"
+    lines = f"case when {kind} = 'STRING' then {_sentences(text(field))} when {alone} then {_sentences(text(f'get({every}, 0)'))} else {many} end"
+    return f"filter(transform({lines}, z -> {_trim('z')}), z -> coalesce({T.is_instruction(SPARK, 'z')}, false))"
+
+
+def _strings(v: str, field: str) -> str:
+    """Parts of a comma list, trimmed, or the entries of an array; without empty ones."""
+    kind = f"coalesce(schema_of_variant(try_variant_get({v}, '$.{field}', 'variant')), '')"
+    parts = f"case when {kind} = 'STRING' then transform(split({_string(v, field)}, ','), p -> {_trim('p')}) else transform({_list(v, field)}, p -> try_variant_get(p, '$', 'string')) end"
+    return f"filter({parts}, p -> coalesce(p, '') <> '')"
+
+
+#: Fields of a source's nutrition, and ours.
+NUTRITION = {"calories": "calories", "fatContent": "fat_g", "saturatedFatContent": "saturated_fat_g", "carbohydrateContent": "carbohydrate_g", "fiberContent": "fiber_g", "sugarContent": "sugar_g", "proteinContent": "protein_g", "cholesterolContent": "cholesterol_mg", "sodiumContent": "sodium_mg"}
+
+
+def _image(v: str) -> str:
+    """A string, the first of a list, or the url or contentUrl of an object."""
+    paths = ("image[0].url", "image[0].contentUrl", "image.url", "image.contentUrl")
+    plain = lambda path: f"case when schema_of_variant(try_variant_get({v}, '$.{path}', 'variant')) = 'STRING' then {_string(v, path)} end"
+    return "coalesce(" + ", ".join(f"nullif({x}, '')" for x in (plain("image"), plain("image[0]"), *(_string(v, p) for p in paths))) + ")"
 
 
-def normalized(raw: DataFrame, *keys: str) -> DataFrame:
-    """(page_id, keys, layer, title, ingredients, steps) of raw recipes in JSON.
+def normalized(raw: DataFrame, lite: bool = False) -> DataFrame:
+    """Recipes of raw ones in JSON, their other columns kept (og, if there, is the picture of last resort).
 
-    Names and lists may be strings, arrays or objects with text. Of instructions, a section
-    gives its name in brackets and then its own steps; one string alone is cut into lines,
-    or if it is one line into sentences.
+    title, author, description, image, servings_text, servings, prep_minutes, cook_minutes, total_minutes,
+    ingredients, steps, nutrition (null where the source has none), keywords, cuisines, categories, tags.
+    Names and lists may be strings, arrays or objects. The lite form also reads headline and ingredients.
+    Character references are decoded in texts, not in addresses.
     """
+    kept = [c for c in raw.columns if c not in ("json", "og")]
     v = raw.withColumn("v", F.try_parse_json("json"))
-    text = lambda k: f"coalesce(try_variant_get(v, '$.{k}[0]', 'string'), try_variant_get(v, '$.{k}', 'string'))"
-    many = lambda x, k: f"coalesce(try_variant_get({x}, '$.{k}', 'array<variant>'), case when try_variant_get({x}, '$.{k}', 'variant') is not null then array(try_variant_get({x}, '$.{k}', 'variant')) end, cast(array() as array<variant>))"
-    said = lambda x: f"coalesce(try_variant_get({x}, '$.text', 'string'), try_variant_get({x}, '$.name', 'string'), case when schema_of_variant({x}) not like 'OBJECT%' then try_variant_get({x}, '$', 'string') end, '')"
-    plain = lambda items: f"filter(transform({items}, x -> trim({said('x')})), x -> x <> '')"
-    own = plain(many("x", "itemListElement")).replace("x -> trim", "y -> trim").replace(said("x"), said("y")).replace("x -> x <> ''", "y -> y <> ''")
-    section = f"case when try_variant_get(x, '$.itemListElement', 'variant') is not null then concat(filter(array(concat('[', try_variant_get(x, '$.name', 'string'), ']')), n -> n is not null), {own}) else array(trim({said('x')})) end"
-    steps_ = F.expr(f"filter(flatten(transform({many('v', 'recipeInstructions')}, x -> {section})), s -> s <> '')")
-    one = F.get("steps", F.lit(0))
-    lines = F.split(one, r"\s*[\r\n]+\s*")
-    cut = F.when(F.size(lines) > 1, lines).otherwise(F.split(one, r"(?<=[.!?])\s+(?=\p{Lu})"))
-    alone = (F.size("steps") == 1) & ~one.startswith("[")
-    read = v.select("page_id", *keys, "layer", F.expr(text("name")).alias("title"), F.expr(plain(many("v", "recipeIngredient"))).alias("ingredients"), steps_.alias("steps"))
-    return read.withColumn("steps", F.when(alone, F.filter(F.transform(cut, F.trim), lambda s: s != "")).otherwise(F.col("steps")))
+    duration = lambda field: F.expr(T.iso_minutes(SPARK, _string("v", field)))
+    source = "try_variant_get(v, '$.nutrition', 'variant')"
+    numbers = ", ".join(f"'{own}', {T.leading_number(SPARK, _string('v', f'nutrition.{name}'))}" for name, own in NUTRITION.items())
+    title = f"coalesce(nullif({_first('v', 'name')}, ''), {_first('v', 'headline')}, 'Untitled Recipe')" if lite else f"coalesce(nullif({_first('v', 'name')}, ''), 'Untitled Recipe')"
+    ingredients = _ingredients("v")
+    if lite:
+        ingredients = f"case when size({ingredients}) > 0 then {ingredients} else {_ingredients('v', 'ingredients')} end"
+    named = "coalesce(try_variant_get(v, '$.author[0].name', 'string'), try_variant_get(v, '$.author.name', 'string'))"
+    bare = "case when schema_of_variant(try_variant_get(v, '$.author[0]', 'variant')) = 'STRING' or schema_of_variant(try_variant_get(v, '$.author', 'variant')) = 'STRING' then " + _first("v", "author") + " end"
+    read = v.select(
+        *kept,
+        F.expr(title).alias("title"),
+        F.expr(f"nullif(coalesce({named}, {bare}), '')").alias("author"),
+        F.expr(f"nullif({_first('v', 'description')}, '')").alias("description"),
+        F.coalesce(F.expr(_image("v")), F.col("og") if "og" in raw.columns else F.lit(None)).alias("image"),
+        F.expr(f"nullif({_first('v', 'recipeYield')}, '')").alias("servings_text"),
+        duration("prepTime").alias("prep_minutes"),
+        duration("cookTime").alias("cook_minutes"),
+        duration("totalTime").alias("total_minutes"),
+        F.expr(ingredients).alias("ingredients"),
+        F.expr(_steps("v")).alias("steps"),
+        F.expr(f"case when schema_of_variant({source}) like 'OBJECT%' then named_struct({numbers}) end").alias("nutrition"),
+        *[F.expr(_strings("v", field)).alias(own) for field, own in (("keywords", "keywords"), ("recipeCuisine", "cuisines"), ("recipeCategory", "categories"))],
+    )
+    done = decoded(read, "title", "author", "description", "ingredients", "steps", "keywords", "cuisines", "categories")
+    tags = T.auto_tags(SPARK, "array_join(categories, '|')", "array_join(keywords, '|')", "title")
+    return done.withColumn("servings", F.expr(T.servings(SPARK, "servings_text"))).withColumn("tags", F.expr(tags))
 
 
 def steps(recipes: DataFrame) -> DataFrame:
-    """Step rows, without commentary (P10), numbered anew; section names stay, in brackets."""
-    kept = F.expr(f"filter(steps, s -> startswith(s, '[') or {is_instruction(SPARK, 's')})")
-    return recipes.select("page_id", F.posexplode(kept).alias("pos", "text")).select("page_id", (F.col("pos") + 1).alias("ord"), "text")
+    """Step rows, numbered anew."""
+    return recipes.select("page_id", F.posexplode("steps").alias("pos", "text")).select("page_id", (F.col("pos") + 1).alias("ord"), "text")
 
 
 def caption_track_text(xml: Column) -> Column:

@@ -49,7 +49,6 @@ project("x10_sentences", "documents", "doc_id", lambda d: {"n": d.size(T.sentenc
 project("x11_source_nutrition", "orders", "o_orderkey", lambda d: {"kcal": T.leading_number(d, "s")}, prepare=lambda d: f"select o_orderkey, case when o_orderkey % 6 = 0 then 'none' else concat(' ', cast(o_orderkey % 800 as {d.text_type}), '.5 calories') end as s")
 project("x12_string_list", "orders", "o_orderkey", lambda d: {"words": d.join(T.string_list(d, "s"), "|")}, prepare="select o_orderkey, concat(o_orderpriority, ', ,', o_orderstatus, ' , ') as s")
 project("x13_auto_tag", "orders", "o_orderkey", lambda d: {"tags": T.auto_tags(d, "o_orderpriority", "s")}, prepare="select o_orderkey, o_orderpriority, case o_orderkey % 5 when 0 then 'Quick dinner' when 1 then 'Cheesecake' when 2 then 'Light lunch' else 'Soup' end as s")
-project("x14_decode_entities", "pages", PAGE, lambda d: {"plain": T.named_entities(d, "t")}, prepare=lambda d: f"select page_id, {d.extract('html', '<title>([^<]*)</title>')} as t")
 project("x19_clean_caption", "documents", "doc_id", lambda d: {"clean": T.clean_caption(d, "t")}, prepare="select doc_id, concat(text, ' #yum #food Follow me for more! end') as t")
 project(
     "t3_likely_ingredient",

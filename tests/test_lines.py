@@ -4,7 +4,6 @@ import pytest
 
 from larder.functions import lines, quantities as Q, text as T
 from larder.functions.dialect import SPARK
-from larder.operators import pages
 from larder.sources import payloads
 
 LINES = [
@@ -54,13 +53,6 @@ def test_unsafe_urls(spark):
         assert spark.sql(f"select {T.is_unsafe(SPARK, repr(url))}").first()[0] is unsafe
 
 
-def test_microdata_and_headings():
-    found = pages.microdata("<div itemscope itemtype='http://schema.org/Recipe'><h1 itemprop=name>Pie</h1><img itemprop=image src=a.png><p>x<b>y<li itemprop=recipeIngredient>1 egg</div>")
-    assert found["name"] == ["Pie"] and found["image"] == ["a.png"]
-    assert pages.headings("<h1>Pie</h1><h2>Ingredients</h2><li>1 egg</li><h2>Method</h2><p>Bake.</p><h2>Notes</h2><p>no</p>")["recipeInstructions"] == ["Bake."]
-    assert pages.microdata("") is None and pages.headings("<p>nothing") is None
-
-
 def test_archives_skip_bad_members():
     import gzip
 
