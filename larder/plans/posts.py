@@ -9,7 +9,7 @@ from larder.sources import payloads as S
 from larder.sources.folders import shared
 from larder.streaming import jobs as J
 
-from .extraction import LAYER, RECIPE
+from .extraction import LAYER, RECIPE, WORDS
 
 
 def _read(spark, sf_dir, name):
@@ -66,7 +66,7 @@ def s3_archives(spark, sf_dir):
 
 def r1_stream_extract(spark, sf_dir):
     path = f"{sf_dir}/pages.parquet"
-    pages = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("n", F.col("page_id").cast("string"))
+    pages = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("n", F.col("page_id").cast("string")).withColumn("w", F.expr(WORDS))
     built = pages.select("page_id", F.expr(f"concat({RECIPE}, html)").alias("html"))
     return J.extract(built, shared(spark)).select("page_id", "layer", "title")
 
@@ -81,5 +81,5 @@ ORACLE_SQL = {
     "x26_caption_track": "select page_id, case page_id % 3 when 0 then 'e' when 1 then 'd' else repeat('so good ', 12) end as track from pages",
     "t6_tabular_export": "select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step', 'step']) as kind, unnest(['Soup ' || doc_id, '2 cups beans, dried', '1 tsp salt', 'Boil the beans.', 'Serve.']) as text from documents where doc_id % 2 = 0",
     "s3_archives": "select cast(doc_id as varchar) as path, source as name from documents union all select cast(doc_id as varchar), source from documents",
-    "r1_stream_extract": f"select page_id, {LAYER} as layer, 'Recipe ' || page_id as title from pages",
+    "r1_stream_extract": f"select page_id, {LAYER} as layer, 'Recipe ' || page_id || ' & more' as title from pages",
 }

@@ -21,7 +21,10 @@ select *{over} from w"""
 
 
 def r4_lockout(spark, sf_dir):
-    return J.finish(J.lockouts(J.events(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "event_type"), most=2), shared(spark))
+    """Attempts of ten accounts, a minute for an hour of the events, so that some accounts are locked."""
+    events = J.events(spark, f"{sf_dir}/events.parquet")
+    attempts = events.selectExpr("concat('account ', cast(user_id % 10 as string)) as subject", "event_id as id", "event_type <> 'purchase' as failed", "timestamp_micros(unix_micros(ts) div 60) as ts")
+    return J.finish(J.lockouts(attempts), shared(spark)).withColumn("failures", F.col("failures").cast("long"))
 
 
 def r5_dedupe(spark, sf_dir):
@@ -74,6 +77,16 @@ def x23_search_results(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (r4_lockout, r5_dedupe, r6_first_touch, r8_upsert, t1_text_recipes, t2_split_blob, q7_step_timers, x15_post_texts, x23_search_results)}
 ORACLE_SQL = {
+    # all accounts' attempts one by one, k for k
+    "r4_lockout": """with recursive a as (select 'account ' || (user_id % 10) as subject, event_id as id, epoch_us(ts) // 60 as us, event_type <> 'purchase' as failed,
+  row_number() over (partition by user_id % 10 order by epoch_us(ts) // 60, event_id) as k from events),
+replay as (
+  select subject, 0::bigint as k, 0::bigint as n, 0::bigint as since, null::bigint as id, null::varchar as outcome from (select distinct subject from a) s
+  union all
+  select subject, k, case when outcome = 'failed' then held + 1 when outcome = 'cleared' then 0 else held end, case when outcome = 'failed' and held = 0 then us else since end, id, outcome
+  from (select *, case when held >= 5 then 'blocked' when failed then 'failed' else 'cleared' end as outcome
+    from (select a.subject, a.k, a.id, a.us, a.failed, r.since, case when r.n > 0 and a.us >= r.since + 900000000 then 0 else r.n end as held from replay r join a on a.subject = r.subject and a.k = r.k + 1) h) o)
+select subject, id, outcome, n as failures from replay where id is not null""",
     "r5_dedupe": """with recursive taken as (
   select user_id, event_type, min(epoch_us(ts)) as us from events group by all
   union all

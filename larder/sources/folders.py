@@ -14,5 +14,8 @@ def _own() -> str:
 
 
 def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own()).rstrip("/") + "/larder"
+    """spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, a folder of our own."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (told or _own()).rstrip("/") + "/larder"

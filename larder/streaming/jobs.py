@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larder.streaming.store import Store, keep_up
+
 MOST_FAILURES, LOCK_SECONDS = 5, 900
 
 
@@ -60,36 +62,44 @@ def once_a_day(stream: DataFrame, first: str, second: str) -> DataFrame:
     return timed.groupBy(first, second).applyInPandasWithState(step, f"{first} {kinds[first]}, {second} {kinds[second]}, taken long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-LOCK = "user_id long, failures long, locked boolean"
+LOCK = "subject string, id long, outcome string, failures int"
+
 
+def lockouts(stream: DataFrame, most: int = MOST_FAILURES, seconds: int = LOCK_SECONDS) -> DataFrame:
+    """What becomes of each attempt (subject string, id long, ts, failed boolean), and the subject's failures after it.
 
-def lockouts(stream: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
-    """Per user the failures since the first one in a row; a success, or 15 minutes since that first one, clears them."""
+    Failures count from the first one in a row; a success clears them, and so does the time limit from that first
+    one. With most failures every attempt is blocked: it neither counts nor clears. State is one row a
+    subject with failures, which a timer removes. Attempts of a batch are taken by time and id.
+    """
 
     def step(key, frames, state: GroupState):
-        n, since = state.get if state.exists else (0, 0)
-        locked = False
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"]) if not state.hasTimedOut else pd.DataFrame({"ts": [], "event_type": []})
         if state.hasTimedOut:
             state.remove()
             return
-        for ts, kind in zip(rows["ts"], rows["event_type"]):
-            now = int(ts.timestamp())
-            if kind != "error" or (n and now - since > LOCK_SECONDS):
+        n, since = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        told = []
+        for now, own, failed in zip(rows["at"], rows["id"], rows["failed"]):
+            if n and now >= since + seconds * 1_000_000:
                 n = 0
-            if kind == "error":
-                since = now if n == 0 else since
-                n += 1
-            locked = locked or n >= most
+            if n >= most:
+                outcome = "blocked"
+            elif not failed:
+                n, outcome = 0, "cleared"
+            else:
+                since = since if n else now
+                n, outcome = n + 1, "failed"
+            told.append((key[0], own, outcome, n))
         if n:
             state.update((n, since))
-            state.setTimeoutTimestamp(max((since + LOCK_SECONDS) * 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(since // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "failures": [n], "locked": [locked]})
+        yield pd.DataFrame(told, columns=["subject", "id", "outcome", "failures"])
 
-    timed = stream.withWatermark("ts", f"{LOCK_SECONDS} seconds")
-    return timed.groupBy("user_id").applyInPandasWithState(step, LOCK, "n long, since long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = stream.withWatermark("ts", f"{seconds} seconds").select("subject", "id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    return timed.groupBy("subject").applyInPandasWithState(step, LOCK, "n long, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_touches(stream: DataFrame) -> DataFrame:
@@ -113,33 +123,19 @@ def finish(stream: DataFrame, folder: str, mode: str = "append", name: str | Non
     return spark.read.schema(stream.schema).parquet(f"{at}/out").drop("batch")
 
 
-def upsert(stream: DataFrame, folder: str, key: str, order: str, name: str | None = None) -> DataFrame:
-    """A table with the latest row of each key, rewritten with each batch under the batch's number.
+def upsert(stream: DataFrame, folder: str, key: str, order: str, name: str | None = None, **sizes: int) -> DataFrame:
+    """A table with the latest row of each key; a batch writes its own rows only. A run of a name goes on with the table of the last one."""
+    return keep_up(stream, Store(stream.sparkSession, f"{folder}/{name or uuid.uuid4().hex}", stream.schema, key, order, **sizes))
 
-    A batch that is run again writes its own version again, from the one before. A run of a name goes on with the table of the last one.
-    """
-    spark, at = stream.sparkSession, f"{folder}/{name or uuid.uuid4().hex}"
-    version = lambda number: spark.read.schema(stream.schema).parquet(f"{at}/table/version={number}")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        own = batch.select(*stream.columns)
-        rows = version(number - 1).unionByName(own) if number else own
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), F.col(order)).alias("row")).select("row.*")
-        best.write.mode("overwrite").parquet(f"{at}/table/version={number}")
+def extract(stream: DataFrame, folder: str, name: str | None = None, **sizes: int) -> DataFrame:
+    """New pages are read by the best layer as they come and saved by page_id, the last one of a page wins.
 
-    stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    last = spark.read.parquet(f"{at}/table").agg(F.max("version")).first()[0]
-    return version(last)
-
-
-def extract(stream: DataFrame, folder: str) -> DataFrame:
-    """New pages are read by the best layer as they come; each batch writes its own recipes."""
+    A run of a name goes on where the last one ended; without new pages it returns what is saved.
+    """
     from larder.operators.pages import best_layer
 
-    spark, at = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, number: int) -> None:
-        best_layer(batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
-
-    stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").drop("batch")
+    recipes = lambda batch, number: best_layer(batch).withColumn("batch", F.lit(number).cast("long"))
+    schema = recipes(stream.sparkSession.createDataFrame([], stream.schema), 0).schema
+    store = Store(stream.sparkSession, f"{folder}/{name or uuid.uuid4().hex}", schema, "page_id", "batch", **sizes)
+    return keep_up(stream, store, recipes).drop("batch")
