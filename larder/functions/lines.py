@@ -8,21 +8,49 @@ from .dialect import Dialect
 FRACTIONS = {"¼": "1/4", "½": "1/2", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
 #: Units and their other spellings; the plain plural with s is understood.
 UNITS = {
-    "teaspoon": "tsp tsps t", "tablespoon": "tbsp tbsps tbs tbl", "cup": "c", "fluid ounce": "fl_oz floz", "pint": "pt", "quart": "qt qts", "gallon": "gal",
-    "milliliter": "ml mls", "liter": "litre litres l", "ounce": "oz", "pound": "lb lbs", "gram": "g gm", "kilogram": "kg kgs", "piece": "pc pcs", "pinch": "pinches",
-    "dash": "dashes", "bunch": "bunches", "sprig": "", "clove": "", "slice": "", "head": "", "stalk": "", "stick": "", "can": "", "jar": "", "package": "pkg", "bag": "",
-    "box": "boxes", "bottle": "", "handful": "", "drop": "",
-}
+    "teaspoon": ("tsp", "tsps", "t"),
+    "tablespoon": ("tbsp", "tbsps", "tbs", "tbl"),
+    "cup": ("c",),
+    "fluid ounce": ("fl oz", "floz"),
+    "pint": ("pt",),
+    "quart": ("qt", "qts"),
+    "gallon": ("gal",),
+    "milliliter": ("ml", "mls"),
+    "liter": ("litre", "litres", "l"),
+    "ounce": ("oz",),
+    "pound": ("lb", "lbs"),
+    "gram": ("g", "gm"),
+    "kilogram": ("kg", "kgs"),
+    "piece": ("pc", "pcs"),
+    "pinch": ("pinches",),
+    "dash": ("dashes",),
+    "bunch": ("bunches",),
+    "sprig": (),
+    "clove": (),
+    "slice": (),
+    "head": (),
+    "stalk": (),
+    "stick": (),
+    "can": (),
+    "jar": (),
+    "package": ("pkg",),
+    "bag": (),
+    "box": ("boxes",),
+    "bottle": (),
+    "handful": (),
+    "drop": (),
+}
 SIZES = ("whole", "large", "medium", "small")
 NO_PLURAL = ("pinch", "dash", "bunch", "box")
 #: What is done to an ingredient, as phrases after its name.
 PREPARED = (
-    "chopped, diced, minced, sliced, crushed, grated, shredded, julienned, cubed, halved, quartered, torn, crumbled, ground, mashed, peeled, cored, seeded, deveined, trimmed,"
-    " pitted, zested, sifted, finely chopped, finely diced, finely minced, finely sliced, roughly chopped, coarsely chopped, thinly sliced, freshly ground, freshly grated,"
-    " freshly squeezed, lightly packed, firmly packed, melted, softened, room temperature, toasted, roasted, sauteed, blanched, drained, rinsed, drained and rinsed,"
-    " peeled and deveined, beaten, whisked, lightly beaten, well beaten, cut into wedges, cut into chunks, cut into cubes, at room temperature, thawed, frozen, cooked, uncooked,"
-    " raw, divided, plus more, plus more for serving, for garnish, for serving, to taste, as needed, warmed, cooled, chilled"
-).split(", ")
+    "chopped", "diced", "minced", "sliced", "crushed", "grated", "shredded", "julienned", "cubed", "halved", "quartered", "torn", "crumbled", "ground", "mashed",
+    "peeled", "cored", "seeded", "deveined", "trimmed", "pitted", "zested", "sifted", "finely chopped", "finely diced", "finely minced", "finely sliced",
+    "roughly chopped", "coarsely chopped", "thinly sliced", "freshly ground", "freshly grated", "freshly squeezed", "lightly packed", "firmly packed", "melted",
+    "softened", "room temperature", "toasted", "roasted", "sauteed", "blanched", "drained", "rinsed", "drained and rinsed", "peeled and deveined", "beaten", "whisked",
+    "lightly beaten", "well beaten", "cut into wedges", "cut into chunks", "cut into cubes", "at room temperature", "thawed", "frozen", "cooked", "uncooked", "raw",
+    "divided", "plus more", "plus more for serving", "for garnish", "for serving", "to taste", "as needed", "warmed", "cooled", "chilled",
+)
 NUMBER = r"[0-9]+\s+[0-9]+/[0-9]+|[0-9]+/[0-9]+|[0-9]+[.][0-9]+|[0-9]+"
 RANGE = rf"^({NUMBER})\s*(?:[-–—]|to)\s*({NUMBER})"
 
@@ -31,7 +59,7 @@ def spellings() -> dict[str, str]:
     """Every spelling and its unit, longest first."""
     out = {s: s for s in SIZES}
     for unit, others in UNITS.items():
-        out |= {x.replace("_", " "): unit for x in others.split()} | {unit: unit}
+        out |= {x: unit for x in (*others, unit)}
         if unit not in NO_PLURAL:
             out[unit + "s"] = unit
     return dict(sorted(out.items(), key=lambda x: (-len(x[0]), x[0])))

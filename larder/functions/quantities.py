@@ -20,14 +20,28 @@ NEAR = 0.02
 QUOTED_GRAM, QUOTED_TEASPOON = "'gram'", "'teaspoon'"
 #: The units that shopping requests know, and what other spellings become.
 SHOPPING_UNITS = (
-    "cup fluid_ounce gallon milliliter liter pint quart tablespoon teaspoon gram kilogram pound ounce each"
-    " bunch can ear ears head heads large medium small package packet"
-).split()
+    "cup", "fluid_ounce", "gallon", "milliliter", "liter", "pint", "quart", "tablespoon", "teaspoon", "gram", "kilogram", "pound", "ounce", "each",
+    "bunch", "can", "ear", "ears", "head", "heads", "large", "medium", "small", "package", "packet",
+)
 SHOPPING_NAMES = {
-    "cup": "cups c", "fluid_ounce": "fl oz,fluid ounce,fluid ounces", "gallon": "gal gallons", "milliliter": "ml milliliters", "liter": "l liters litres",
-    "pint": "pints pt", "quart": "quarts qt", "tablespoon": "tbsp tablespoons tbs", "teaspoon": "tsp teaspoons", "gram": "g grams", "kilogram": "kg kilograms",
-    "pound": "lb lbs pounds", "ounce": "oz ounces", "bunch": "bunches", "can": "cans", "package": "packages pkg", "packet": "packets pkt",
-}
+    "cup": ("cups", "c"),
+    "fluid_ounce": ("fl oz", "fluid ounce", "fluid ounces"),
+    "gallon": ("gal", "gallons"),
+    "milliliter": ("ml", "milliliters"),
+    "liter": ("l", "liters", "litres"),
+    "pint": ("pints", "pt"),
+    "quart": ("quarts", "qt"),
+    "tablespoon": ("tbsp", "tablespoons", "tbs"),
+    "teaspoon": ("tsp", "teaspoons"),
+    "gram": ("g", "grams"),
+    "kilogram": ("kg", "kilograms"),
+    "pound": ("lb", "lbs", "pounds"),
+    "ounce": ("oz", "ounces"),
+    "bunch": ("bunches",),
+    "can": ("cans",),
+    "package": ("packages", "pkg"),
+    "packet": ("packets", "pkt"),
+}
 
 
 def _double(x: float) -> str:
@@ -118,7 +132,7 @@ def scale(qty: str, servings: str, target: str) -> str:
 
 def shopping_unit(unit: str) -> str:
     plain = f"lower(trim({unit}))"
-    names = {n: k for k, v in SHOPPING_NAMES.items() for n in (v.split(",") if "," in v else v.split())}
+    names = {n: k for k, v in SHOPPING_NAMES.items() for n in v}
     cases = " ".join(f"when {plain} = '{n}' then '{k}'" for n, k in names.items())
     return f"case when {unit} is null or {unit} = '' then 'each' when {plain} in ({_quoted(SHOPPING_UNITS)}) then {plain} {cases} else 'each' end"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .dialect import Dialect
+from .lines import SIZES, spellings
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 #: Hosts that answer with pages no recipe can be read from.
@@ -35,16 +36,20 @@ TAGS = {
 #: Whole words, and beginnings of words, with which no instruction starts.
 NO_STEP_WORDS = ("i", "just", "this", "the", "my", "we", "you", "it", "these", "those", "here", "there", "please", "also", "btw", "fyi", "serve", "serves")
 NO_STEP_STARTS = ("note:", "disclaimer", "adapted", "originally", "inspired", "source", "credit", "photo", "image", "video", "recipe by", "recipe from")
-#: Units behind a number, and words that tell an ingredient without one.
-LINE_UNITS = (
-    "cups?", "tbsps?", "tsps?", "tbs", "tbl", "tablespoons?", "teaspoons?", "oz", "ounces?", "lbs?", "pounds?", "g", "grams?", "gm", "kg", "kgs?", "ml", "mls?",
-    "liters?", "litres?", "pints?", "quarts?", "gallons?", "fl *oz", "pinch(?:es)?", "dash(?:es)?", "handfuls?", "cloves?", "bunch(?:es)?", "sprigs?", "stalks?",
-    "cans?", "heads?", "packages?", "pkg", "sticks?", "pieces?", "pcs?", "slices?", "bags?", "bottles?", "jars?", "boxes?", "drops?", "whole", "large", "medium", "small",
-)
-QUALIFIERS = ("to +taste", "(?:to|for) +garnish(?:ing)?", "as +needed")
+#: What tells an ingredient without a number.
+QUALIFIERS = ("to taste", "to garnish", "to garnishing", "for garnish", "for garnishing", "as needed")
+#: An amount's digits and what may follow in it.
+AMOUNT = "[0-9½¼¾⅓⅔][0-9/.½¼¾⅓⅔-]*"
 #: What stands beside a word; engines differ in what their own word boundary knows of letters.
 NO_WORD = r"[^\p{L}0-9_]"
-VERBS = "add|bake|beat|blend|boil|bring|chop|combine|cook|cover|cut|drain|fold|fry|grill|heat|mix|place|pour|preheat|reduce|remove|roast|season|serve|simmer|slice|spread|sprinkle|stir|toss|transfer|whisk"
+#: Verbs that tell a cooking step.
+VERBS = (
+    "cook", "bake", "roast", "grill", "saute", "sauté", "fry", "simmer", "boil", "steam", "broil", "braise", "brown", "stir", "mix", "combine", "whisk", "fold", "blend", "chop", "dice", "slice",
+    "mince", "peel", "drain", "heat", "preheat", "melt", "pour", "add", "toss", "season", "marinate", "spread", "serve", "refrigerat", "chill", "freeze", "let sit", "set aside", "bring to", "stir in",
+    "fold in", "top with", "remove from", "place in", "transfer", "arrange",
+)
+#: A step is longer than this.
+STEP_LONGER = 20
 
 
 def host(d: Dialect, u: str) -> str:
@@ -184,17 +189,32 @@ def is_instruction(d: Dialect, t: str) -> str:
     return f"(length(trim({t})) >= 5 and not ({d.like(low, f'^(?:{starts})')} and not {d.like(low, '^serves? +immediately')}))"
 
 
+def any_of(words, space: str = " +") -> str:
+    return "|".join(w.replace(" ", space) for w in words)
+
+
+def units_after_number(sizes: bool = False) -> list[str]:
+    """Spellings of units that may follow a number, longest first; of single letters g only."""
+    return [s for s in spellings() if (len(s) > 1 or s == "g") and (sizes or s not in SIZES)]
+
+
 def likely_ingredient(d: Dialect, t: str) -> str:
     """A number with a unit, a short line from a fraction or number to a word without a cooking verb, or a qualifier."""
-    amount, low = "[0-9½¼¾⅓⅔]", f"lower({t})"
-    measured = d.like(low, rf"^{amount}[0-9/.½¼¾⅓⅔-]* *(?:{'|'.join(LINE_UNITS)})(?:$|{NO_WORD})")
-    counted = f"({d.like(low, rf'^(?:{amount}[0-9/.½¼¾⅓⅔-]+|[0-9]+) +[a-z]')} and not {has_verb(d, t)} and length({t}) < 60)"
-    qualified = f"({d.like(low, rf'(?:^|{NO_WORD})(?:{chr(124).join(QUALIFIERS)})(?:$|{NO_WORD})')} and length({t}) < 80)"
+    low = f"lower({t})"
+    measured = d.like(low, rf"^{AMOUNT} *(?:{any_of(units_after_number(True))})(?:$|{NO_WORD})")
+    counted = f"({d.like(low, rf'^(?:{AMOUNT[:-1]}+|[0-9]+) +[a-z]')} and not {has_verb(d, t)} and length({t}) < 60)"
+    qualified = f"({d.like(low, rf'(?:^|{NO_WORD})(?:{any_of(QUALIFIERS)})(?:$|{NO_WORD})')} and length({t}) < 80)"
     return f"({measured} or {counted} or {qualified})"
 
 
 def has_verb(d: Dialect, t: str) -> str:
-    return d.like(f"lower({t})", rf"(?:^|{NO_WORD})(?:{VERBS})(?:$|{NO_WORD})")
+    """T4: a cooking verb as a word."""
+    return d.like(f"lower({t})", rf"(?:^|{NO_WORD})(?:{any_of(VERBS)})(?:$|{NO_WORD})")
+
+
+def reads_like_step(d: Dialect, t: str) -> str:
+    """T4: long enough, with a cooking verb."""
+    return f"(length({t}) > {STEP_LONGER} and {has_verb(d, t)})"
 
 
 def is_ad(d: Dialect, t: str) -> str:
@@ -212,11 +232,19 @@ def sentences(d: Dialect, t: str) -> str:
     return d.filter(d.map(parts, "p", strip_number(d, "p")), "p", "p <> ''")
 
 
+#: Code points of decorated letters, of pictures, and of characters that rule a line off.
+DECORATED, PICTURES, RULES = "\U0001d400-\U0001d7ff", "\U0001f300-\U0001faff\u2600-\u27bf\ufe00-\ufeff", "•\\-=─━·"
+
+
 def clean_caption(d: Dialect, t: str) -> str:
-    """Without hashtags and calls to follow, blank lines folded."""
-    out = d.replace(t, r"#[A-Za-z0-9_]+")
-    out = d.replace(out, r"(?i)(follow me|link in bio|save this|double tap)[^.!?]*[.!?]?")
-    return f"trim({d.replace(out, chr(92) + 'n{3,}', chr(10) * 2)})"
+    """Without hashtags, calls to comment or follow, decorated letters, lines of pictures and ruled-off lines; blank lines folded."""
+    lines = "(?dm)" if d.name == "spark" else "(?m)"
+    out = d.replace(t, "#[A-Za-z0-9_]+")
+    for call in (r"\bcomment\s+[A-Za-z0-9_]+\s+and\s+I['’]ll\b.*$", r"\bcomment\s+[A-Za-z0-9_]+\b.*send\b.*$", r"^follow\s+(?:for|me|us)\b.*$"):
+        out = d.replace(out, f"{lines[:-1]}i){call}")
+    for gone in (f"[{DECORATED}]+", rf"{lines}^[\s{PICTURES}]+$", rf"{lines}^[{RULES}\s]{{5,}}$"):
+        out = d.replace(out, gone)
+    return d.replace(d.replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$")
 
 
 def primary_timer(d: Dialect, t: str) -> str:

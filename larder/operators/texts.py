@@ -2,56 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from larder.functions import text as T
+from larder.functions.dialect import SPARK
+
+#: How header lines of the two sections begin, and buttons and labels of pages that get into a text.
+INGREDIENT_HEADER = r"^(?:=\s*)?(?:ingredients|grocery\s*list)\b"
+STEP_HEADER = r"^(?:instructions|steps|directions|method)\b"
+ANY_HEADER = r"^(?:=\s*)?(?:ingredients|grocery\s*list|instructions|steps|directions|method)\b"
+ARTIFACT = r"^(?:[®<>\[\]]|do category|addo list|plan meal)"
+UNTITLED = "Pasted Recipe"
+BULLET, NUMBERED = r"^[-*•]\s", r"^[0-9]+\.\s"
+#: A line is cut only if it is longer, and has so many amounts with a unit.
+BLOB_LONGER, BLOB_AMOUNTS = 80, 3
+QUANTITY = rf"^\s*{T.AMOUNT}\s*(?:{T.any_of(T.units_after_number())})\b"
+VERB = rf"(?i)\b(?:{T.any_of(T.VERBS)})\b"
+TIMES = "degrees?|minutes?|mins?|hours?|hrs?|seconds?|secs?"
+
+
+def _trim(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
+def _pieces(x: Column) -> Column:
+    return F.filter(F.transform(F.split(x, "\n"), _trim), lambda p: p != "")
+
+
+def split_blob(line: Column) -> Column:
+    """The ingredients of a long line that has three amounts with a unit or more; else the line.
 
-HEADERS = r"(?i)^\s*(ingredients|instructions|directions|method|steps|preparation)\s*:?\s*$"
-QUANTITY = r"^\s*(?:[0-9]+(?:[./ ][0-9/]+)?)\s*(?:cups?|tbsp|tsp|tablespoons?|teaspoons?|g|grams?|kg|ml|oz|ounces?|lbs?|pounds?|cloves?)\b"
-BULLET = r"^\s*[-*•]\s+"
-NUMBERED = r"^\s*[0-9]+[.)]\s+"
-VERB = r"(?i)\b(add|bake|beat|boil|bring|chop|combine|cook|cover|fold|fry|heat|mix|place|pour|preheat|roast|season|serve|simmer|stir|toss|whisk)\b"
+    It is cut before amounts with a unit, fractions and numbers before a word (but for times and
+    temperatures), then pieces that do not begin with an amount before the words that are "to taste" and the like.
+    """
+    measured = rf"{T.AMOUNT}\s*(?:{T.any_of(T.units_after_number(), chr(92) + 's*')})\b"
+    cut = line
+    for found in (rf"({measured})", r"([0-9]+/[0-9]+\s+[a-z])", rf"([0-9]+[-0-9]*\s+(?!(?:{TIMES})\b)[a-z])"):
+        cut = F.regexp_replace(cut, rf"(?i)\s{found}", "\n$1")
+    qualified = rf"(?i)([A-Za-z0-9_])\s+(\S+(?:\s+and\s+\S+)?[,\s]+(?:{T.any_of(T.QUALIFIERS, chr(92) + 's+')}))"
+    parts = F.flatten(F.transform(_pieces(cut), lambda p: F.when(p.rlike("^[0-9½¼¾⅓⅔]"), F.array(p)).otherwise(_pieces(F.regexp_replace(p, qualified, "$1\n$2")))))
+    many = (F.length(line) > BLOB_LONGER) & (F.regexp_count(line, F.lit(f"(?i){measured}")) >= BLOB_AMOUNTS)
+    return F.when(many & (F.size(parts) > 1), parts).otherwise(F.array(line))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) of every line with text."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
-    return rows.withColumn("line", F.trim("line")).where("line <> ''")
+    """(doc_id, pos, part, line, bare) of every line with text, long ones cut; bare is trimmed."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.withColumn("bare", _trim(F.col("line"))).where("bare <> ''").withColumn("parts", split_blob(F.col("bare")))
+    cut = rows.select("doc_id", "pos", F.when(F.size("parts") > 1, F.col("parts")).otherwise(F.array("line")).alias("lines"))
+    return cut.select("doc_id", "pos", F.posexplode("lines").alias("part", "line")).withColumn("bare", _trim(F.col("line")))
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """Rows with section, the last header at or before them; a document's lines are sorted in its own partition group."""
-    header = F.lower(F.regexp_extract("line", HEADERS, 1))
-    own = F.when(header == "ingredients", "ingredients").when(header != "", "steps")
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("is_header", header != "").withColumn("section", F.last(own, ignorenulls=True).over(before))
+    """Rows with is_first, is_header and section, the last header at or before them; a document's lines are sorted in its own partition group."""
+    low = F.lower("bare")
+    ordered = Window.partitionBy("doc_id").orderBy("pos", "part")
+    placed = rows.withColumn("is_first", F.row_number().over(ordered) == 1)
+    titled = F.col("is_first") & ~low.rlike(ANY_HEADER)
+    own = F.when(titled, None).when(low.rlike(INGREDIENT_HEADER), "ingredients").when(low.rlike(STEP_HEADER), "steps")
+    marked = placed.withColumn("is_title", titled).withColumn("own", own).withColumn("is_header", own.isNotNull())
+    return marked.withColumn("section", F.last("own", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("own")
 
 
 def text_recipes(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, text): title, ingredient and step rows.
+    """(doc_id, pos, part, k, kind, text): title, ingredient and step rows of documents (doc_id, text), in the order of pos, part, k.
 
-    Under a header lines are what it says, but a long line with a verb under ingredients is a step;
-    before any header bullets and quantities are ingredients, numbers and verbs steps; the first line that is no header is the title.
+    The first line that is no header is the title. Under a header lines are what it says: steps that
+    are not numbered are cut into sentences, of which those with a cooking verb stay. Before any header bullets and likely ingredients are
+    ingredients, numbered lines and long ones with a verb steps. Labels and buttons are skipped.
     """
     known = sections(lines(docs))
-    place = F.row_number().over(Window.partitionBy("doc_id", "is_header").orderBy("pos"))
-    step = (F.length("line") > 20) & F.col("line").rlike(VERB)
-    kind = (
-        F.when(F.col("is_header"), None)
-        .when(place == 1, "title")
-        .when(F.col("section") == "ingredients", F.when((F.length("line") > 80) & F.col("line").rlike(VERB), "step").otherwise("ingredient"))
-        .when(F.col("section") == "steps", "step")
-        .when(F.col("line").rlike(QUANTITY) | F.col("line").rlike(BULLET), "ingredient")
-        .when(F.col("line").rlike(NUMBERED) | step, "step")
+    cleaned = _trim(F.regexp_replace(F.regexp_replace("line", r"^[-*•]\s*", ""), r"^[0-9]+\.\s*", ""))
+    title = _trim(F.regexp_replace(F.regexp_replace("line", r"^[<®=\-\[\]0-9.]+\s*", ""), r"(?i)^Title:\s*", ""))
+    rows = known.withColumn("clean", cleaned).withColumn("title", title)
+    verb = lambda x: F.expr(T.has_verb(SPARK, x))
+    cut = F.filter(F.transform(F.split("clean", r"\.\s+(?=[A-Z])"), lambda s: _trim(F.regexp_replace(_trim(s), r"\.$", ""))), lambda s: s != "")
+    rows = rows.withColumn("sentences", F.when(F.size(cut) > 0, cut).otherwise(F.array("clean"))).withColumn("told", F.expr(f"filter(sentences, s -> {T.has_verb(SPARK, 's')})"))
+    numbered, bullet = F.col("bare").rlike(NUMBERED), F.col("bare").rlike(BULLET)
+    likely = F.expr(T.likely_ingredient(SPARK, "clean"))
+    said = lambda kind, texts: F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    none = F.expr("cast(array() as array<struct<kind: string, text: string>>)")
+    content = (
+        F.when(F.col("is_title") | F.col("is_header") | F.lower("bare").rlike(ARTIFACT) | (F.col("clean") == ""), none)
+        .when(F.col("section") == "ingredients", said("ingredient", F.array("clean")))
+        .when(F.col("section") == "steps", said("step", F.when(numbered, F.array("clean")).otherwise(F.col("told"))))
+        .when(bullet | likely, said("ingredient", F.array("clean")))
+        .when(numbered, said("step", F.array("clean")))
+        .when((F.length("clean") > T.STEP_LONGER) & verb("clean"), said("step", F.col("told")))
+        .otherwise(none)
     )
-    plain = F.regexp_replace(F.regexp_replace("line", BULLET, ""), NUMBERED, "")
-    return known.withColumn("kind", kind).where("kind is not null").select("doc_id", "pos", "kind", plain.alias("text"))
-
-
-def split_blob(line):
-    """A long line with three quantities or more is cut before each quantity."""
-    many = (F.length(line) > 80) & (F.regexp_count(line, F.lit(r"[0-9]+\s*(?:cups?|tbsp|tsp|g|oz)\b")) >= 3)
-    cut = F.regexp_replace(line, r"\s+(?=[0-9]+(?:/[0-9]+)?\s*(?:cups?|tbsp|tsp|g|oz)\b)", "\n")
-    return F.when(many, F.split(cut, "\n")).otherwise(F.array(line))
+    heading = F.when(F.col("is_title"), said("title", F.array("title"))).when(F.col("is_first"), said("title", F.array(F.lit(UNTITLED)))).otherwise(none)
+    return rows.select("doc_id", "pos", "part", F.posexplode(F.concat(heading, content)).alias("k", "x")).select("doc_id", "pos", "part", "k", "x.kind", "x.text")
 
 
 def captions(html):
@@ -62,9 +108,59 @@ def captions(html):
     return F.transform(F.array_sort(F.transform(long, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
 
 
-def timers(text):
-    """Q7: times in a step, in order, as the text of each."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]+\s+hours?\s+(?:and\s+)?[0-9]+\s+(?:minutes?|mins?)|[0-9]+\s*(?:to|-)\s*[0-9]+\s+(?:hours?|hrs?|minutes?|mins?|seconds?|secs?)|[0-9]+\s+(?:hours?|hrs?|minutes?|mins?|seconds?|secs?))"), F.lit(1))
+#: Seconds by the first letter of a unit, units, words that say "about", and the forms of a time, the stronger one first.
+SECONDS = {"h": 3600, "m": 60, "s": 1}
+UNIT = "minutes?|mins?|hours?|hrs?|seconds?|secs?"
+ABOUT = re.compile(r"(?:about|approximately|around)\s+", re.I)
+TIME_FORMS = (
+    re.compile(rf"([0-9]+)\s+hours?\s+(?:and\s+)?([0-9]+)\s+(?:{UNIT})", re.I),
+    re.compile(rf"([0-9]+)\s*(?:to|-)\s*([0-9]+)\s+({UNIT})", re.I),
+    re.compile(rf"([0-9]+)\s+({UNIT})", re.I),
+)
+
+
+def number(digits: str) -> int:
+    """What digits mean, 10 ** 14 at most."""
+    return int(digits) if len(digits) < 15 else 10**14
+
+
+def times(text: str) -> list[tuple[int, str, int, int]]:
+    """(seconds, label, start, end) of the times in a text, by place in code points.
+
+    Hours with minutes come before ranges, which mean their upper end, and those before single times;
+    a time that shares a character with one found before is left out.
+    """
+    plain = ABOUT.sub(lambda m: " " * len(m[0]), text)
+    taken, found = bytearray(len(plain)), []
+    for form, pattern in enumerate(TIME_FORMS):
+        for m in pattern.finditer(plain):
+            start, end = m.span()
+            if any(taken[start:end]):
+                continue
+            if form == 0:
+                seconds = number(m[1]) * 3600 + number(m[2]) * 60
+            else:  # the last number counts, the unit stands behind it
+                seconds = number(m[pattern.groups - 1]) * SECONDS[m[pattern.groups][0].lower()]
+            if seconds > 0:
+                taken[start:end] = b"\1" * (end - start)
+                found.append((seconds, text[start:end].strip(), start, end))
+    return sorted(found, key=lambda t: t[2])
+
+
+TIMERS = "array<struct<seconds: bigint, label: string, start: int, end: int>>"
+
+
+def timers(df: DataFrame, text: str, name: str = "timers") -> DataFrame:
+    """Q7: df with its texts' times(). Texts without a digit and a unit do not go to a worker."""
+
+    @F.pandas_udf(StructType.fromDDL(f"t {TIMERS}")["t"].dataType)
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else times(t))
+
+    maybe = F.col(text).rlike("[0-9]") & F.col(text).rlike(f"(?i)(?:{UNIT})")
+    found = read(F.when(maybe, F.col(text)))
+    empty = F.expr(f"cast(array() as {TIMERS})")
+    return df.withColumn(name, F.when(F.col(text).isNotNull(), F.coalesce(found, empty)))
 
 
 def search_results(pages: DataFrame, most: int = 12) -> DataFrame:

@@ -49,7 +49,8 @@ project("x10_sentences", "documents", "doc_id", lambda d: {"n": d.size(T.sentenc
 project("x11_source_nutrition", "orders", "o_orderkey", lambda d: {"kcal": T.leading_number(d, "s")}, prepare=lambda d: f"select o_orderkey, case when o_orderkey % 6 = 0 then 'none' else concat(' ', cast(o_orderkey % 800 as {d.text_type}), '.5 calories') end as s")
 project("x12_string_list", "orders", "o_orderkey", lambda d: {"words": d.join(T.string_list(d, "s"), "|")}, prepare="select o_orderkey, concat(o_orderpriority, ', ,', o_orderstatus, ' , ') as s")
 project("x13_auto_tag", "orders", "o_orderkey", lambda d: {"tags": T.auto_tags(d, "o_orderpriority", "s")}, prepare="select o_orderkey, o_orderpriority, case o_orderkey % 5 when 0 then 'Quick dinner' when 1 then 'Cheesecake' when 2 then 'Light lunch' else 'Soup' end as s")
-project("x19_clean_caption", "documents", "doc_id", lambda d: {"clean": T.clean_caption(d, "t")}, prepare="select doc_id, concat(text, ' #yum #food Follow me for more! end') as t")
+_CAPTION = ["#yum #food", "Follow me for more! end", "you should Comment SOUP and I'll send it", "x comment recipe, and I send", "𝐅𝐨𝐥𝐥𝐨𝐰 all", "😀 🍲", "•••───", "== a ==", "", "", "", "end"]
+project("x19_clean_caption", "documents", "doc_id", lambda d: {"clean": T.clean_caption(d, "t")}, prepare="select doc_id, concat_ws(chr(10), text, " + ", ".join("'" + c.replace("'", "’") + "'" for c in _CAPTION) + ") as t")
 project(
     "t3_likely_ingredient",
     "documents",
@@ -57,6 +58,6 @@ project(
     lambda d: {"likely": T.likely_ingredient(d, "t")},
     prepare="select doc_id, case doc_id % 8 when 0 then '2 cups rice' when 1 then '1/2 yellow onion' when 2 then '3 tomatoes' when 3 then 'Salt and pepper, to taste' when 4 then '1lb chicken' when 5 then '3 stir the pot' else text end as t",
 )
-project("t4_cooking_verb", "documents", "doc_id", lambda d: {"verb": T.has_verb(d, "t")}, prepare="select doc_id, case when doc_id % 3 = 0 then concat(text, ' stir well') else text end as t")
+project("t4_cooking_verb", "documents", "doc_id", lambda d: {"verb": T.has_verb(d, "t"), "step": T.reads_like_step(d, "t")}, prepare="select doc_id, case when doc_id % 3 = 0 then concat(text, ' stir well') else text end as t")
 project("q8_primary_timer", "orders", "o_orderkey", lambda d: {"seconds": T.primary_timer(d, "s")}, prepare=lambda d: f"select o_orderkey, case o_orderkey % 4 when 0 then concat('Bake 10-', cast(o_orderkey % 40 as {d.text_type}), ' minutes, rest 90 seconds') when 1 then 'Chill 2 hours and 15 minutes, then 30 mins' when 2 then 'Eat' else concat('about ', cast(o_orderkey % 7 as {d.text_type}), ' hrs') end as s")
 project("s4_recipe_slug", "part", "p_partkey", lambda d: {"slug": T.slug(d, "p_name")})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larder.functions import text as X
+from larder.functions.dialect import DUCK, SPARK
 from larder.operators import texts as T
 from larder.sources.folders import shared
 from larder.streaming import jobs as J
@@ -40,26 +43,63 @@ def r8_upsert(spark, sf_dir):
     return J.upsert(J.events(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type"), shared(spark), "user_id", "event_id")
 
 
-def _recipe_docs(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    added = "concat('Soup ', cast(doc_id as string), '\\nIngredients:\\n1 cup milk\\n- salt\\nDirections\\n1. Heat the milk.\\n2) Serve.')"
-    return docs.select("doc_id", F.expr(f"case when doc_id % 2 = 0 then {added} else concat('Stew\\n2 cups beans\\n* oil\\nStir the beans over low heat.\\n', replace(replace(text, '\\n', ' '), '\\r', ' ')) end").alias("text"))
+#: Lines before and behind whole texts: those of sections, labels, sentences, and a long line of ingredients, here as its pieces.
+BEFORE = {
+    0: ["Title: Soup", "= Ingredients:", "1 cup milk", "- salt", "* 2. pepper", "Addo List", "Method", "1. Heat the milk.", "Stir it well. It is good. Serve it hot. "],
+    1: ["[1] Stew", "2 cups beans", "• oil", "3 tomatoes", "Salt, to taste", "1. Wash.", "Stir the beans over low heat. Enjoy. Chill them."],
+    2: ["Directions for all", "Place in a bowl", "grocery list", "eggs"],
+    3: ["<- 4. Pasta"],
+}
+BLOB = ["All you want for a good pasta for the four of us", "Salt and pepper, to taste", "1lb pasta of choice", "1/2 cup oil, to taste", "1/2 yellow onion", "3 eggs", "2 tbsp butter at 350 degrees for 20 minutes of baking"]
+
+
+def _doc_text(d, kind: int) -> str:
+    lines = BEFORE[kind] + ([" ".join(BLOB)] if kind == 3 and d.name == "spark" else BLOB if kind == 3 else [])
+    return f"concat({d.text(chr(10).join(lines))}, chr(10), text)" if d.name == "duck" else f"concat({d.text(chr(10).join(lines)).replace(chr(10), chr(92) + 'n')}, '\\n', text)"
+
+
+def _texts(d) -> str:
+    return "case doc_id % 4 " + " ".join(f"when {k} then {_doc_text(d, k)}" for k in BEFORE) + " end"
 
 
 def t1_text_recipes(spark, sf_dir):
-    return T.text_recipes(_recipe_docs(spark, sf_dir)).select("doc_id", "kind", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_texts(SPARK)).alias("text"))
+    return T.text_recipes(docs).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "part", "k")).cast("long").alias("place"), "kind", "text")
+
+
+#: Pieces of a long line; a name from the table stands in one of them.
+_BLOB_PIECES = ["concat('Of ', p_name, ' take')", "'Pepper and salt, to taste'", "'2 cups flour'", "concat('3 tbsp ', p_brand, ' sugar')", "'1 tsp salt'", "'4 oz of dark chocolate'", "'1/2 red onion'", "'2 eggs baked at 200 degrees for 30 mins'"]
 
 
 def t2_split_blob(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    line = F.concat(F.lit("2 cups flour "), F.col("p_name"), F.lit(" 3 tbsp of the very best sugar 1 tsp salt 4 oz of dark chocolate in small pieces"))
-    return parts.select("p_partkey", F.size(T.split_blob(line)).cast("long").alias("n"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("line", F.expr(f"concat_ws(' ', {', '.join(_BLOB_PIECES)})"))
+    return parts.select("p_partkey", F.array_join(T.split_blob(F.col("line")), "|").alias("pieces"))
+
+
+_TIMED = "concat(text, ' Bake about 10 to around ', doc_id % 40 + 11, ' minutes, rest 1 Hour and 5 mins; 5-1 hours 20 min, then 90 Secs or 2 hr')"
 
 
 def q7_step_timers(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    text = F.concat(F.lit("Bake 10-"), (F.col("o_orderkey") % 40 + 11).cast("string"), F.lit(" minutes, rest 1 hour and 5 minutes, then 90 Secs"))
-    return orders.select("o_orderkey", F.array_join(T.timers(text), "|").alias("timers"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_TIMED).alias("t"))
+    found = T.timers(docs, "t").select("doc_id", F.inline("timers"))
+    return found.select("doc_id", "seconds", "label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+
+
+def _time_phase(k: int, pattern: str, seconds: str) -> str:
+    """SQL of one form of times: its matches in what the forms before left, and the text with them blotted out."""
+    return f"""c{k} as (select doc_id, said, regexp_extract_all(t, '(?i){pattern}', 0) as ms, regexp_split_to_array(t, '(?i){pattern}') as ps from b{k}),
+b{k + 1} as (select doc_id, said, array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce(repeat(chr(1), length(ms[i])), '')), '') as t from c{k}),
+h{k} as (select doc_id, said, ms[i] as m, {seconds} as seconds, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as start
+  from (select *, unnest(range(1, len(ms) + 1)) as i from c{k}) x)"""
+
+
+_UNIT = "(?:minutes?|mins?|hours?|hrs?|seconds?|secs?)"
+_BY_UNIT = r"regexp_extract(ms[i], '([0-9]+)\s+[A-Za-z]+$', 1)::bigint * case lower(regexp_extract(ms[i], '([A-Za-z])[A-Za-z]*$', 1)) when 'h' then 3600 when 'm' then 60 else 1 end"
+_PHASES = (
+    (rf"[0-9]+\s+hours?\s+(?:and\s+)?[0-9]+\s+{_UNIT}", r"regexp_extract(ms[i], '^[0-9]+')::bigint * 3600 + regexp_extract(ms[i], '\s([0-9]+)\s+[A-Za-z]+$', 1)::bigint * 60"),
+    (rf"[0-9]+\s*(?:to|-)\s*[0-9]+\s+{_UNIT}", _BY_UNIT),
+    (rf"[0-9]+\s+{_UNIT}", _BY_UNIT),
+)
 
 
 def x15_post_texts(spark, sf_dir):
@@ -94,13 +134,25 @@ select subject, id, outcome, n as failures from replay where id is not null""",
 select user_id, event_type, cast(floor(us / 1000000) as bigint) as taken from taken""",
     "r6_first_touch": "select user_id, arg_min(event_id, ts) as event_id from events where event_type = 'view' and user_id % 3 <> 0 group by user_id",
     "r8_upsert": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id",
-    "t1_text_recipes": f"""select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step', 'step']) as kind, unnest(['Soup ' || doc_id, '1 cup milk', 'salt', 'Heat the milk.', 'Serve.']) as text from documents where doc_id % 2 = 0
-union all select doc_id, unnest(['title', 'ingredient', 'ingredient', 'step']), unnest(['Stew', '2 cups beans', 'oil', 'Stir the beans over low heat.']) from documents where doc_id % 2 = 1
-union all select doc_id, kind, regexp_replace(regexp_replace(line, '{T.BULLET}', ''), '{T.NUMBERED}', '') from (select doc_id, line, case when regexp_matches(line, '{T.QUANTITY}') or regexp_matches(line, '{T.BULLET}') then 'ingredient'
-  when regexp_matches(line, '{T.NUMBERED}') or length(line) > 20 and regexp_matches(line, '{T.VERB}') then 'step' end as kind
-  from (select doc_id, trim(replace(replace(text, chr(10), ' '), chr(13), ' ')) as line from documents where doc_id % 2 = 1) l where line <> '') k where kind is not null""",
-    "t2_split_blob": "select p_partkey, 4::bigint as n from part",
-    "q7_step_timers": "select o_orderkey, '10-' || (o_orderkey % 40 + 11) || ' minutes|1 hour and 5 minutes|90 secs' as timers from orders",
+    "t1_text_recipes": rf"""with raw as (select doc_id, string_split({_texts(DUCK)}, chr(10)) as ls from documents),
+lined as (select doc_id, line, regexp_replace(line, '^\s+|\s+$', '', 'g') as bare, row_number() over (partition by doc_id order by k) as place from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as k from raw) r where regexp_matches(line, '\S')),
+told as (select *, lower(bare) as low, place = 1 and not regexp_matches(lower(bare), '^(?:=\s*)?(?:ingredients|grocery\s*list|instructions|steps|directions|method)\b') as titled,
+  trim(regexp_replace(regexp_replace(line, '^[-*•]\s*', ''), '^[0-9]+\.\s*', '')) as clean from lined),
+heads as (select *, case when titled then null when regexp_matches(low, '^(?:=\s*)?(?:ingredients|grocery\s*list)\b') then 'i' when regexp_matches(low, '^(?:instructions|steps|directions|method)\b') then 's' end as head from told),
+under as (select *, last_value(head ignore nulls) over (partition by doc_id order by place rows between unbounded preceding and current row) as sec,
+  list_filter(list_transform(string_split(regexp_replace(clean, '\.\s+([A-Z])', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(regexp_replace(trim(x), '\.$', ''))), lambda x: x <> '') as sent from heads),
+kinds as (select *, regexp_matches(bare, '^[0-9]+\.\s') as num, list_filter(sent, lambda s: {X.has_verb(DUCK, 's')}) as good from under where not titled and head is null and clean <> '' and not regexp_matches(low, '^(?:[®<>\[\]]|do category|addo list|plan meal)')),
+rows as (select doc_id, place, 0 as k, 'title' as kind, case when titled then trim(regexp_replace(regexp_replace(line, '^[<®=\-\[\]0-9.]+\s*', ''), '(?i)^Title:\s*', '')) else 'Pasted Recipe' end as text from told where place = 1
+  union all select doc_id, place, 1, case when sec = 'i' then 'ingredient' else 'step' end, clean from kinds where sec = 'i' or sec = 's' and num
+  union all select doc_id, place, generate_subscripts(good, 1), 'step', unnest(good) from kinds where sec = 's' and not num
+  union all select doc_id, place, 1, 'ingredient', clean from kinds where sec is null and (regexp_matches(bare, '^[-*•]\s') or {X.likely_ingredient(DUCK, 'clean')})
+  union all select doc_id, place, 1, 'step', clean from kinds where sec is null and num and not (regexp_matches(bare, '^[-*•]\s') or {X.likely_ingredient(DUCK, 'clean')})
+  union all select doc_id, place, generate_subscripts(good, 1), 'step', unnest(good) from kinds where sec is null and not num and not (regexp_matches(bare, '^[-*•]\s') or {X.likely_ingredient(DUCK, 'clean')}) and length(clean) > 20)
+select doc_id, row_number() over (partition by doc_id order by place, k) as place, kind, text from rows""",
+    "t2_split_blob": f"select p_partkey, concat_ws('|', {', '.join(_BLOB_PIECES)}) as pieces from part",
+    "q7_step_timers": rf"""with b0 as (select doc_id, {_TIMED} as said, regexp_replace(regexp_replace(regexp_replace({_TIMED}, '(?i)about(\s)', '     \1', 'g'), '(?i)around(\s)', '      \1', 'g'), '(?i)approximately(\s)', '             \1', 'g') as t from documents),
+{", ".join(_time_phase(k, *p) for k, p in enumerate(_PHASES))}
+select doc_id, seconds, substr(said, start::bigint + 1, length(m)) as label, start::bigint as start, start::bigint + length(m) as stop from (select * from h0 union all select * from h1 union all select * from h2) h where seconds > 0""",
     "x15_post_texts": "select doc_id, 103 + length(regexp_replace(text, '[^a-z ]', '', 'g')) as size from documents",
     "x23_search_results": "select page_id, row_number() over (partition by page_id order by k) as place, 'https://a.example/' || k as url, 'T' || k as title from pages, (select unnest(range(20)) as k) where k % 4 <> 0 qualify place <= 12",
 }

@@ -14,24 +14,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 ENCODED_MOST, INFLATED_MOST = 12_000, 256 << 10
 LINK_MOST = 6_000
 PAYLOAD = "t string, ig array<string>, st array<string>, d string, img string, sv bigint, tt bigint"
 
 
+def packed(text: str) -> str:
+    c = zlib.compressobj(9, zlib.DEFLATED, 31)
+    return base64.urlsafe_b64encode(c.compress(text.encode()) + c.flush()).rstrip(b"=").decode()
+
+
 @pandas_udf(StringType())
 def pack(texts: pd.Series) -> pd.Series:
     """gzip, then base64 for URLs without padding; the same text gives the same bytes."""
-
-    def one(text):
-        if text is None:
-            return None
-        c = zlib.compressobj(9, zlib.DEFLATED, 31)
-        return base64.urlsafe_b64encode(c.compress(text.encode()) + c.flush()).rstrip(b"=").decode()
-
-    return texts.map(one)
+    return texts.map(packed, na_action="ignore")
 
 
 @pandas_udf(StringType())
@@ -52,10 +50,19 @@ def unpack(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+#: The short keys of a payload, and the columns that they stand for.
+KEYS = {
+    "t": "title", "a": "author", "d": "description", "img": "image_url", "sv": "servings", "pt": "prep_minutes", "ct": "cook_minutes", "tt": "total_minutes",
+    "ig": "ingredients", "st": "steps", "n": "nutrition", "kw": "keywords", "cu": "cuisines", "cat": "categories", "src": "source_url",
+}
+#: What a link drops first, what a link of any sort may drop in all, and the lengths of links and of those in square codes.
+DROPPED, LINK_DROPS, CODE_MOST = ("d", "n", "img", "kw", "cu", "cat", "src", "a"), 3, 2_900
+
+
 def payload(df: DataFrame) -> Column:
-    """The compact JSON of a recipe's columns; missing ones are left out."""
-    named = {"t": "title", "ig": "ingredients", "st": "steps", "d": "description", "img": "image_url", "sv": "servings", "tt": "total_minutes"}
-    return F.to_json(F.struct(*[F.col(c).alias(k) for k, c in named.items() if c in df.columns]))
+    """The compact JSON of a recipe's columns; missing ones, and empty lists of words, are left out."""
+    plain = lambda k, c: F.when(F.size(c) > 0, F.col(c)) if k in ("kw", "cu", "cat") else F.col(c)
+    return F.to_json(F.struct(*[plain(k, c).alias(k) for k, c in KEYS.items() if c in df.columns]))
 
 
 def share_payloads(recipes: DataFrame) -> DataFrame:
@@ -70,17 +77,31 @@ def decode_payloads(df: DataFrame, encoded: str = "encoded") -> DataFrame:
     return df.withColumn("recipe", read).withColumn("recipe", F.when(fine, some))
 
 
-def fit_share_link(recipes: DataFrame, base: str, most: int = LINK_MOST) -> DataFrame:
-    """The longest link within most characters, leaving out the description, then the image too; null if none fits."""
-    out = recipes
-    names = []
-    for k, gone in enumerate(((), ("description",), ("description", "image_url"))):
-        small = recipes
-        fields = F.to_json(F.struct(*[F.col(c).alias(a) for a, c in {"t": "title", "ig": "ingredients", "st": "steps", "d": "description", "img": "image_url"}.items() if c in small.columns and c not in gone]))
-        out = out.withColumn(f"_link{k}", F.concat(F.lit(base), pack(fields)))
-        names.append(f"_link{k}")
-    fitting = F.coalesce(*[F.when(F.length(n) <= most, F.col(n)) for n in names])
-    return out.withColumn("link", fitting).drop(*names)
+def fit_share_link(recipes: DataFrame, base: str, most: int | None = None, short: bool = False) -> DataFrame:
+    """Recipes with link and dropped: the link that leaves out the fewest of DROPPED, from its start, and fits.
+
+    A link may leave out three fields and be 6,000 characters long; one that does not fit even so is given as it is. The
+    short form, for square codes, may leave out all eight and be 2,900 long; if it does not fit there is none.
+    """
+    most, drops = most or (CODE_MOST if short else LINK_MOST), len(DROPPED) if short else LINK_DROPS
+
+    @pandas_udf(StructType.fromDDL("x struct<link: string, dropped: int>")["x"].dataType)
+    def fit(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            fields, link, k = json.loads(text), None, None
+            for k in range(drops + 1):
+                if k and fields.pop(DROPPED[k - 1], None) is None:
+                    continue  # as long as before
+                link = base + packed(json.dumps(fields, ensure_ascii=False, separators=(",", ":")))
+                if len(link) <= most:
+                    break
+            else:
+                link, k = (None, None) if short else (link, drops)
+            rows.append((link, k))
+        return pd.DataFrame(rows, columns=["link", "dropped"]).astype({"dropped": "Int32"})
+
+    return recipes.withColumn("_fit", fit(payload(recipes))).withColumns({"link": F.col("_fit.link"), "dropped": F.col("_fit.dropped")}).drop("_fit")
 
 
 ARCHIVE = "path string, member int, json string"
@@ -99,18 +120,30 @@ def read_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ARCHIVE)
 
 
+#: Bytes that an archive's reader takes at a time.
+CHUNK = 1 << 16
+
+
 def members(content: bytes) -> list[str]:
-    """The JSON texts of the gzip members of content, wherever they start."""
-    out, at = [], content.find(b"\x1f\x8b")
+    """The JSON texts of the gzip members of content, wherever they start and however long they are.
+
+    A member is read in chunks, so that a place that only looks like a start costs one chunk.
+    """
+    out, view, at = [], memoryview(content), content.find(b"\x1f\x8b")
     while at >= 0:
-        d = zlib.decompressobj(31)
+        d, parts, place = zlib.decompressobj(31), [], at
+        after = at + 2
         try:
-            text = d.decompress(content[at:], 16 << 20).decode()
+            while not d.eof and place < len(content):
+                parts.append(d.decompress(view[place : place + CHUNK]))
+                place += CHUNK
+            text = b"".join(parts).decode()
             json.loads(text)
             out.append(text)
-            after = len(content) - len(d.unused_data) if d.eof else at + 2
+            if d.eof:
+                after = min(place, len(content)) - len(d.unused_data)
         except (ValueError, zlib.error):
-            after = at + 2
+            pass
         at = content.find(b"\x1f\x8b", after)
     return out
 
