@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from larder.functions import text as T
 from larder.functions.dialect import SPARK
+from larder.operators.entities import decode
 
 #: How header lines of the two sections begin, and buttons and labels of pages that get into a text.
 INGREDIENT_HEADER = r"^(?:=\s*)?(?:ingredients|grocery\s*list)\b"
@@ -163,10 +164,45 @@ def timers(df: DataFrame, text: str, name: str = "timers") -> DataFrame:
     return df.withColumn(name, F.when(F.col(text).isNotNull(), F.coalesce(found, empty)))
 
 
-def search_results(pages: DataFrame, most: int = 12) -> DataFrame:
-    """The first results of each page's result list, adverts left out before counting."""
-    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?s)<div class="result([^"]*)">(.*?)</div>'), F.lit(0))).alias("pos", "block"))
-    fine = blocks.where(~F.col("block").contains('class="result ad"'))
+#: Results that count, and characters of a snippet.
+MOST_RESULTS, SNIPPET = 12, 200
+#: What begins a result, marks an advert, and holds the parts of a result, in the list form and in the table form.
+RESULT, ADVERT = r'class="result\s', "result--ad"
+LIST_FORM = {
+    "link": r'(?s)class="result__a"[^>]*href="([^"]*)"[^>]*>.*?</a>',
+    "title": r'(?s)class="result__a"[^>]*href="[^"]*"[^>]*>(.*?)</a>',
+    "snippet": r'(?s)class="result__snippet"[^>]*>(.*?)</a>',
+    "site": r'(?s)class="result__url"[^>]*>(.*?)<',
+}
+TABLE_FORM = {
+    "link": r'(?s)<a[^>]*href="([^"]+)"[^>]*class="result-link"[^>]*>.*?</a>',
+    "title": r'(?s)<a[^>]*href="[^"]+"[^>]*class="result-link"[^>]*>(.*?)</a>',
+    "snippet": r'(?s)class="result-snippet"[^>]*>(.*?)</td>',
+}
+
+
+def _plain(x: Column) -> Column:
+    """Text without tags and references, white space as one space."""
+    return _trim(F.regexp_replace(decode(F.regexp_replace(x, "<[^>]*>", "")), r"(?U)\s+", " "))
+
+
+def search_results(pages: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
+    """(page_id, place, url, title, snippet, site): the first results of each page, adverts and such without title or address left out before counting.
+
+    Results are blocks of a list; on a page without any, rows of a table. The address is that behind a redirect, the site
+    what the result shows, else the address' host.
+    """
+    listed = pages.select("page_id", F.split("html", RESULT).alias("blocks"), "html").withColumn("form", F.when(F.size("blocks") > 1, "list").otherwise("table"))
+    cut = F.when(F.col("form") == "list", F.slice("blocks", 2, 1 << 30)).otherwise(F.split("html", "<tr>"))
+    blocks = listed.select("page_id", "form", F.posexplode(cut).alias("pos", "block")).where(~((F.col("form") == "list") & F.col("block").contains(ADVERT)))
+    part = lambda name: F.when(F.col("form") == "list", F.regexp_extract("block", LIST_FORM[name], 1)).otherwise(F.regexp_extract("block", TABLE_FORM[name], 1))
+    shown = F.when(F.col("form") == "list", F.regexp_replace(F.regexp_extract("block", LIST_FORM["site"], 1), r"\s+", ""))
+    read = blocks.select("page_id", "form", "pos", part("link").alias("link"), part("title").alias("title"), part("snippet").alias("snippet"), shown.alias("shown")).where("link <> ''")
+    behind = F.regexp_extract("link", "uddg=([^&]+)", 1)
+    url = F.when((F.col("form") == "list") & (behind != ""), F.try_url_decode(behind)).when(F.col("link").startswith("http"), F.col("link"))
+    read = read.withColumn("url", url).withColumn("title", _plain(F.col("title"))).where("url is not null and title <> ''")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    target = F.coalesce(F.try_url_decode(F.regexp_extract("block", r"uddg=([^&\"]+)", 1)), F.lit(""))
-    return fine.withColumn("place", place).where(F.col("place") <= most).select("page_id", "place", target.alias("url"), F.trim(F.regexp_extract("block", r"<a[^>]*>([^<]*)</a>", 1)).alias("title"))
+    first = read.withColumn("place", place).where(F.col("place") <= most)
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    site = F.coalesce(F.nullif(F.regexp_extract("shown", "^([^/]*)", 1), F.lit("")), host)
+    return first.select("page_id", "place", "url", "title", F.substring(_plain(F.col("snippet")), 1, SNIPPET).alias("snippet"), site.alias("site"))

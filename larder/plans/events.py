@@ -60,7 +60,7 @@ _ADDRESS = """concat('https://x.example/', event_type, '?k=', value, case event_
 
 def first_touch_sql(d, events: str) -> str:
     """(user_id, first_utm_..., first_landing_path, first_touch_at): the first visit of a user whose address has any campaign parameter."""
-    query = d.extract("address", "[?]([^#]*)")
+    query = d.extract("address", "^[^?#]*[?]([^#]*)")
     param = lambda name: f"nullif(substring({'try_url_decode' if d.name == 'spark' else 'url_decode'}(replace({d.extract(query, f'(?:^|&){name}=([^&]*)')}, '+', ' ')), 1, {LONGEST}), '')"
     path = f"substring({d.extract('address', '^[a-z]+://[^/?#]*([^?#]*)')}, 1, {LONGEST})"
     read = f"select user_id, ts, event_id, {', '.join(f'{param(u)} as {u}' for u in UTM)}, {path} as landing_path from ({events}) visits"

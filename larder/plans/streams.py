@@ -108,11 +108,17 @@ def x15_post_texts(spark, sf_dir):
     return docs.select("doc_id", F.length(F.get(T.captions(page), F.lit(0))).cast("long").alias("size"))
 
 
+#: Result pages of both forms before the real page: adverts, redirects, bare addresses, entries without an address or title; w is a word of the page.
+_RESULT = """concat('<div class="result results_links', case when k % 4 = 0 then ' result--ad' else '' end, '"><h2><a rel="x" class="result__a" href="', case when k % 5 = 1 then concat('https://www.b.example/', k) when k % 7 = 2 then '/relative' else concat('//s/?uddg=https%3A%2F%2Fa.example%2F', k, '%3Fq%3D1&r=1') end, '">',
+case when k = 9 then '<b> </b>' else concat('<b>T', k, '</b> &amp; ', w) end, '</a></h2>', case when k % 3 = 0 then concat('<a class="result__url" href="x"> shown', k, '.example / path</a>') else '' end, '<a class="result__snippet" href="y">S ', repeat(concat(w, ' '), k * 5), '<b>end</b></a></div>')"""
+_ROW = """concat('<tr><td><a rel="nofollow" href="', case when k % 5 = 2 then 'ftp://c' else concat('http://www.c.example/', k) end, '" class="result-link">R', k, ' ', w, '</a></td><td class="result-snippet">about <i>', w, '</i></td>')"""
+
+
 def x23_search_results(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    block = "concat('<div class=\"result', case when k % 4 = 0 then ' ad' else '' end, '\"><a href=\"//s/?uddg=https%3A%2F%2Fa.example%2F', k, '&r=1\">T', k, '</a></div>')"
-    built = pages.select("page_id", F.expr(f"concat(array_join(transform(sequence(0, 19), k -> {block}), ''), html)").alias("html"))
-    return T.search_results(built).select("page_id", F.col("place").cast("long").alias("place"), "url", "title")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("w", F.regexp_extract("html", "<title>([A-Za-z]*)", 1))
+    every = lambda item, n: f"array_join(transform(sequence(0, {n}), k -> {item}), '')"
+    built = pages.select("page_id", F.expr(f"concat(case when page_id % 2 = 0 then {every(_RESULT, 24)} else {every(_ROW, 19)} end, html)").alias("html"))
+    return T.search_results(built).withColumn("place", F.col("place").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (r4_lockout, r5_dedupe, r6_first_touch, r8_upsert, t1_text_recipes, t2_split_blob, q7_step_timers, x15_post_texts, x23_search_results)}
@@ -154,7 +160,11 @@ select doc_id, row_number() over (partition by doc_id order by place, k) as plac
 {", ".join(_time_phase(k, *p) for k, p in enumerate(_PHASES))}
 select doc_id, seconds, substr(said, start::bigint + 1, length(m)) as label, start::bigint as start, start::bigint + length(m) as stop from (select * from h0 union all select * from h1 union all select * from h2) h where seconds > 0""",
     "x15_post_texts": "select doc_id, 103 + length(regexp_replace(text, '[^a-z ]', '', 'g')) as size from documents",
-    "x23_search_results": "select page_id, row_number() over (partition by page_id order by k) as place, 'https://a.example/' || k as url, 'T' || k as title from pages, (select unnest(range(20)) as k) where k % 4 <> 0 qualify place <= 12",
+    "x23_search_results": """with p as (select page_id, regexp_extract(html, '<title>([A-Za-z]*)', 1) as w from pages),
+results as (select page_id, k, case when k % 5 = 1 then 'https://www.b.example/' || k else 'https://a.example/' || k || '?q=1' end as url, trim('T' || k || ' & ' || w) as title, regexp_replace('S ' || repeat(w || ' ', k * 5) || 'end', '\\s+', ' ', 'g') as snippet,
+  case when k % 3 = 0 then 'shown' || k || '.example' when k % 5 = 1 then 'b.example' else 'a.example' end as site from p, (select unnest(range(25)) as k) n where page_id % 2 = 0 and k % 4 <> 0 and k <> 9 and not (k % 7 = 2 and k % 5 <> 1)
+  union all select page_id, k, 'http://www.c.example/' || k, trim('R' || k || ' ' || w), trim('about ' || w), 'c.example' from p, (select unnest(range(20)) as k) n where page_id % 2 = 1 and k % 5 <> 2)
+select page_id, row_number() over (partition by page_id order by k) as place, url, title, snippet[1:200] as snippet, site from results qualify place <= 12""",
 }
 for _name, _seconds, _most, *_keys in (("r2_rate_counts", 600, 1, "event_type", "user_id"), ("r3_daily_ceiling", 86400, 40, "event_type"), ("r7_event_counts", 3600, None, "event_type")):
     QUERIES[_name], ORACLE_SQL[_name] = _counts(_seconds, _most, *_keys)
