@@ -69,8 +69,25 @@ def shopping_requests(items: DataFrame) -> DataFrame:
     return rows.select("user_id", "week_start", F.size("line_items").alias("n_items"), F.to_json(F.struct(F.lit("Shopping List").alias("title"), "line_items")).alias("request"))
 
 
-def list_text(items: DataFrame) -> DataFrame:
-    """A list as text, lines in name order."""
-    line = F.concat(F.lit("[ ] "), Q.column(Q.format_item("qty", "unit", "display_name", "notes", "optional")))
-    rows = items.groupBy("user_id", "week_start").agg(F.array_sort(F.collect_list(F.struct("display_name", F.coalesce("system", F.lit("")).alias("s"), line.alias("line")))).alias("rows"))
-    return rows.select("user_id", "week_start", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
+#: Heads of the categories; that of custom items.
+HEADS = {"produce": "Produce", "meat": "Meat & Poultry", "seafood": "Seafood", "dairy": "Dairy", "pantry": "Pantry", "spices": "Spices", "frozen": "Frozen", "beverages": "Beverages", "other": "Other"}
+CUSTOM = "Custom Items"
+
+
+def list_text(items: DataFrame, manual: DataFrame) -> DataFrame:
+    """(user_id, week_start, text): lists by category, in the order in which categories come first, then custom items; [x] before checked ones.
+
+    items has category (null: other) and checked besides a list's columns, and is taken in the order of names;
+    manual (user_id, week_start, item, checked) comes last. A list's lines are put together by category first.
+    """
+    mark = F.when(F.col("checked"), F.lit("[x] ")).otherwise("[ ] ")
+    own = items.select(
+        "user_id", "week_start", F.lit(False).alias("custom"), F.coalesce("category", F.lit("other")).alias("category"),
+        F.struct(F.col("display_name").alias("a"), F.coalesce("system", F.lit("")).alias("b")).alias("place"), F.concat(mark, Q.column(Q.format_item("qty", "unit", "display_name", "notes", "optional"))).alias("line"),
+    )
+    hand = manual.select("user_id", "week_start", F.lit(True).alias("custom"), F.lit(CUSTOM).alias("category"), F.struct(F.col("item").alias("a"), F.lit("").alias("b")).alias("place"), F.concat(mark, "item").alias("line"))
+    groups = own.unionByName(hand).groupBy("user_id", "week_start", "custom", "category").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("rows"))
+    head = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HEADS.items() for x in kv]), F.col("category")), F.concat(F.upper(F.substring("category", 1, 1)), F.substring("category", 2, 1 << 20)))
+    text = F.concat_ws("\n", F.when(F.col("custom"), F.lit(CUSTOM)).otherwise(head), F.lit("---"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    parts = groups.select("user_id", "week_start", F.struct("custom", F.get("rows", F.lit(0))["place"].alias("place"), text.alias("text")).alias("part"))
+    return parts.groupBy("user_id", "week_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"]), "\n\n").alias("text"))

@@ -59,7 +59,15 @@ def s7_shopping_requests(spark, sf_dir):
 
 
 def s13_grocery_text(spark, sf_dir):
-    return G.list_text(_items(spark, sf_dir))
+    """Lists with categories by shelf word; every other source count is checked, and meals without a serving count are custom items."""
+    items = _items(spark, sf_dir).withColumn("category", F.expr(shelf_name("display_name"))).withColumn("checked", F.col("n_sources") % 2 == 0)
+    hand = bound(spark, sf_dir, "meals").where("serving_override is null").select("user_id", "week_start", F.concat(F.lit("Note "), F.col("recipe_id").cast("string")).alias("item"), (F.col("recipe_id") % 2 == 0).alias("checked"))
+    return G.list_text(items, hand)
+
+
+def shelf_name(name: str) -> str:
+    """The category's name (I8), null without one; the same SQL in both engines."""
+    return "case " + " ".join(f"when contains(lower({name}), '{w}') then '{shelf}'" for w, shelf in SHELF_WORDS) + " end"
 
 
 def shelf_rank(name: str) -> str:
@@ -129,7 +137,11 @@ QUERIES = {
 ORACLE_SQL = {
     "a1_grocery_list": _sql(f"select user_id, week_start, name_key, system, display_name, {_r('qty')} as qty, unit, notes, optional, n_sources from items"),
     "q11_line_items": _sql(f"select user_id, week_start, name_key, system, case when qty > 0 then {_r('qty')} else 1 end as item_qty, case when qty > 0 then {Q.shopping_unit('unit')} else 'each' end as item_unit from items"),
-    "s13_grocery_text": _sql(f"select user_id, week_start, string_agg('[ ] ' || {Q.duck(Q.format_item('qty', 'unit', 'display_name', 'notes', 'optional'))}, chr(10) order by display_name, coalesce(system, ''), n_sources) as text from items group by all"),
+    "s13_grocery_text": _sql(f"""select user_id, week_start, string_agg(head || chr(10) || '---' || chr(10) || body, chr(10) || chr(10) order by custom, first_name, first_system) as text from (
+  select user_id, week_start, false as custom, case shelf {' '.join(f"when '{k}' then '{v}'" for k, v in G.HEADS.items())} end as head, arg_min(display_name, (display_name, sys)) as first_name, arg_min(sys, (display_name, sys)) as first_system,
+    string_agg(case when n_sources % 2 = 0 then '[x] ' else '[ ] ' end || line, chr(10) order by display_name, sys, line) as body
+  from (select *, coalesce({shelf_name('display_name')}, 'other') as shelf, coalesce(system, '') as sys, {Q.duck(Q.format_item('qty', 'unit', 'display_name', 'notes', 'optional'))} as line from items) i group by user_id, week_start, shelf
+  union all select user_id, week_start, true, 'Custom Items', '', '', string_agg(case when recipe_id % 2 = 0 then '[x] ' else '[ ] ' end || 'Note ' || recipe_id, chr(10) order by 'Note ' || recipe_id, recipe_id % 2) from meals where serving_override is null group by user_id, week_start) g group by user_id, week_start"""),
     "o3_grocery_order": _sql("select user_id, week_start, string_agg(display_name, '|' order by " + shelf_rank("display_name") + ", lower(display_name), display_name) as names from items group by all"),
     "a17_line_item_counts": _sql("select i.user_id, i.week_start, count(*) as n_items, any_value(c.n) as n_recipes from items i join (select user_id, week_start, count(*) as n from meals group by all) c on i.user_id = c.user_id and i.week_start = c.week_start group by 1, 2"),
     "a11_list_progress": _sql("select user_id, week_start, count_if(qty is null or optional) as n_checked, count(*) as n_items from items group by all"),

@@ -151,5 +151,20 @@ register("a8_day_source_first", lambda d: f"select m.user_id, m.week_start, m.da
 register("a9_nutrition_lite", lite, "lines", "food", "recipes")
 register("j2_meals_with_nutrition", lambda d: f"select m.user_id, m.week_start, m.recipe_id, coalesce(n.kcal, r.declared_calories) as kcal from meals m join recipes r on m.recipe_id = r.recipe_id left join ({per_recipe(d)}) n on m.recipe_id = n.recipe_id", "lines", "food", "recipes", "meals")
 register("o4_nutrition_sort", lambda d: f"select recipe_id, line_no, part_no, supp_no, row_number() over (partition by recipe_id order by coalesce(kcal, -1) desc, line_no, part_no, supp_no) as place from ({per_line(d)}) p", "lines", "food")
-register("d9_nutrition_line", lambda d: f"select user_id, week_start, day_no, concat('day:', cast(cast(kcal as bigint) as {d.text_type}), 'cal|', cast(n_meals as {d.text_type}), 'meals') as line from ({per_day(d)}) t", "lines", "food", "recipes", "meals")
-register("q12_rescale", lambda d: f"select recipe_id, floor(kcal * 4 / 6.0 + 0.500001) as kcal from ({per_recipe(d)}) t", "lines", "food", "recipes")
+def nutrition_line(d) -> str:
+    """A planned day in one line: calories, protein, fat and carbohydrate of its meals, and their number."""
+    part = lambda c: f"coalesce(n.{c}, 0) * coalesce(m.serving_override, 1)"
+    meals = f"select m.user_id, m.week_start, m.day_no, coalesce(n.kcal, r.declared_calories) * coalesce(m.serving_override, 1) as kcal, {', '.join(f'{part(c)} as {c}' for c in ('protein', 'fat', 'carbs'))} from meals m join recipes r on m.recipe_id = r.recipe_id left join ({per_recipe(d)}) n on m.recipe_id = n.recipe_id"
+    whole = lambda c: f"cast(cast(floor(sum({c}) + 0.500001) as bigint) as {d.text_type})"
+    return f"select user_id, week_start, day_no, concat('day:', {whole('kcal')}, 'cal|', {whole('protein')}, 'p|', {whole('fat')}, 'f|', {whole('carbs')}, 'c|', cast(count(*) as {d.text_type}), 'meals') as line from ({meals}) t group by user_id, week_start, day_no having count(kcal) > 0"
+
+
+def rescaled(d, original: int = 4, shown: int = 6) -> str:
+    """Q12: a serving's values when its recipe is told for another number of servings, macros to a tenth; net carbohydrate is without fibre."""
+    tenth = lambda x: f"floor(({x}) * 10 + 0.500001) / 10"
+    adjusted = f"select recipe_id, floor(kcal * {original} / {shown}.0 + 0.500001) as kcal, {', '.join(f'{tenth(f'{c} * {original} / {shown}.0')} as {c}' for c in ('protein', 'fat', 'carbs', 'fiber'))} from ({per_recipe(d)}) t"
+    return f"select *, {tenth('carbs - fiber')} as net_carbs from ({adjusted}) a"
+
+
+register("d9_nutrition_line", nutrition_line, "lines", "food", "recipes", "meals")
+register("q12_rescale", rescaled, "lines", "food", "recipes")

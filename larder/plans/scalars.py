@@ -39,7 +39,7 @@ project("p15_first_url", "pages", PAGE, lambda d: {"found": T.first_url(d, "t")}
 project("d1_iso_minutes", "orders", "o_orderkey", lambda d: {"minutes": T.iso_minutes(d, "s")}, prepare=lambda d: f"select o_orderkey, concat('P', case when o_orderkey % 11 = 0 then '1D' else '' end, 'T', case when o_orderkey % 3 = 0 then concat(cast(o_orderkey % 5 as {d.text_type}), 'H') else '' end, cast(o_orderkey % 60 as {d.text_type}), 'M', case when o_orderkey % 7 = 0 then '45S' else '' end) as s")
 project("d2_informal_minutes", "orders", "o_orderkey", lambda d: {"minutes": T.informal_minutes(d, "s")}, prepare=lambda d: f"select o_orderkey, case o_orderkey % 4 when 0 then concat(cast(o_orderkey % 9 as {d.text_type}), '.5 hrs ', cast(o_orderkey % 50 as {d.text_type}), ' min') when 1 then cast(o_orderkey % 90 as {d.text_type}) when 2 then 'a while' else concat(cast(o_orderkey % 9 as {d.text_type}), ' Hours') end as s")
 project("d3_week_start", "orders", "o_orderkey", lambda d: {"week": "cast(date_trunc('week', o_orderdate) as date)", "next_week": "cast(date_trunc('week', o_orderdate) as date) + " + ("7" if d.name == "duck" else "interval 7 days")})
-project("d4_day_code", "orders", "o_orderkey", lambda d: {"day": "case " + ("dayofweek(o_orderdate) - 1" if d.name == "spark" else "dayofweek(o_orderdate)") + " when 0 then 'sun' when 1 then 'mon' when 2 then 'tue' when 3 then 'wed' when 4 then 'thu' when 5 then 'fri' else 'sat' end", "label": ("date_format(date_trunc('week', o_orderdate), \"'Week of' MMM d\")" if d.name == "spark" else "strftime(date_trunc('week', o_orderdate), 'Week of %b %-d')")})
+project("d4_day_code", "orders", "o_orderkey", lambda d: {"day": "case " + ("dayofweek(o_orderdate) - 1" if d.name == "spark" else "dayofweek(o_orderdate)") + " when 0 then 'sun' when 1 then 'mon' when 2 then 'tue' when 3 then 'wed' when 4 then 'thu' when 5 then 'fri' else 'sat' end", "label": ("concat(date_format(date_trunc('week', o_orderdate), \"'Week of' MMM d\"), date_format(date_trunc('week', o_orderdate) + interval 6 days, \"' - 'MMM d\"))" if d.name == "spark" else "strftime(date_trunc('week', o_orderdate), 'Week of %b %-d') || strftime(date_trunc('week', o_orderdate) + interval 6 day, ' - %b %-d')")})
 project("d5_strip_cost", "part", "p_partkey", lambda d: {"plain": T.strip_cost(d, "s")}, prepare=lambda d: f"select p_partkey, concat('2 cups ', p_name, ' ($', cast(p_partkey % 9 as {d.text_type}), '.50)') as s")
 project("d8_client_ip", "events", "event_id", lambda d: {"ip": T.client_ip(d, "h", "p")}, prepare=lambda d: f"select event_id, case when event_id % 3 = 0 then concat(' 10.0.0.', cast(user_id % 250 as {d.text_type}), ' , 1.1.1.1') when event_id % 3 = 1 then '' end as h, case when event_id % 2 = 0 then '9.9.9.9' end as p")
 project("d10_clean_food_name", "part", "p_partkey", lambda d: {"food": T.clean_food_name(d, "s")}, prepare="select p_partkey, concat(' ', p_name, case p_partkey % 3 when 0 then ' (ripe), sliced' when 1 then ' / other' else '' end) as s")
