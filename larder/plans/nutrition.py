@@ -63,22 +63,26 @@ _SHELF = f"select n.name, min_by(shelf, rank) as shelf from (select distinct low
 register("i8_category", lambda d: f"select {KEYS}, s.shelf from lines l left join ({_SHELF}) s on lower(l.name) = s.name", "lines")
 
 
-def candidates(d, name: str) -> str:
-    """Keys under which a food may be known, best first; empty ones find nothing."""
-    n = T.clean_food_name(d, name)
-    less = lambda x: f"case when endswith({x}, 's') then substring({x}, 1, length({x}) - 1) else '' end"
+def candidates(d, names: str) -> str:
+    """(name, keys) of (name) rows: keys under which a food may be known, best first; empty ones find nothing.
+
+    Each step is a projection of its own, so that no pattern is matched twice.
+    """
+    ends = "endswith" if d is SPARK else "ends_with"
+    less = lambda x: f"case when {ends}({x}, 's') then substring({x}, 1, length({x}) - 1) else '' end"
     alias = lambda x: f"case {x} " + " ".join(f"when '{a}' then '{b}'" for a, b in ALIASES.items()) + " else '' end"
-    cut = d.extract(n, rf"^(.*) (?:{'|'.join(BEHIND)})$")
-    rest = d.extract(n, rf"^(?:{'|'.join(BEFORE)}) (.*)$")
-    text = d.array(n, less(n), f"case when endswith({n}, 's') then '' else concat({n}, 's') end", alias(n), cut, less(cut), rest, less(rest), alias(rest), d.extract(rest, rf"^(.*) (?:{'|'.join(BEHIND)})$"))
-    return text.replace("endswith(", "ends_with(") if d is DUCK else text
+    behind = rf"^(.*) (?:{'|'.join(BEHIND)})$"
+    clean = f"select name, {T.clean_food_name(d, 'name')} as n from ({names}) given"
+    parts = f"select name, n, {d.extract('n', behind)} as cut, {d.extract('n', rf'^(?:{chr(124).join(BEFORE)}) (.*)$')} as rest from ({clean}) c"
+    keys = d.array("n", less("n"), f"case when {ends}(n, 's') then '' else concat(n, 's') end", alias("n"), "cut", less("cut"), "rest", less("rest"), alias("rest"), d.extract("rest", behind))
+    return f"select name, {keys} as keys from ({parts}) p"
 
 
 def matched(d) -> str:
     """(name, food): the first candidate key that the food table has, for distinct names."""
-    keyed = f"select name, {candidates(d, 'name')} as keys from (select distinct name from lines) n"
+    keyed = candidates(d, "select distinct name from lines")
     if d is SPARK:
-        each = f"select name, pos, key from ({keyed}) k lateral view posexplode(keys) e as pos, key"
+        each = f"select name, pos, key from ({keyed}) k lateral view outer posexplode(keys) e as pos, key"  # outer: else a filter on all keys goes down to every line
     else:
         each = f"select name, pos, keys[pos] as key from ({keyed}) k, unnest(range(1, len(keys) + 1)) u(pos)"
     return f"select name, min_by(food, pos) as food from ({each}) c join food f on c.key = f.food group by name"
