@@ -79,26 +79,27 @@ def parsed(html: str) -> tuple[str, str] | None:
     return found and ("heuristic", json.dumps(found, ensure_ascii=False))
 
 
-def best_layer(pages: DataFrame) -> DataFrame:
+def best_layer(pages: DataFrame, *keep: str) -> DataFrame:
     """normalized() recipes of the first JSON-LD recipe with ingredients or steps, else of what the parser's layers find.
 
     Pages with JSON-LD that gives nothing (broken, no recipe, an empty one) go on to the other
-    layers. Rows are independent: a page_id that stands twice gives a recipe for each row. Nothing is shuffled.
+    layers. Rows are independent: a page_id that stands twice gives a recipe for each row. Nothing is shuffled. keep: columns
+    of pages that stay beside page_id.
     """
     blocks = F.expr(f"filter(transform(regexp_extract_all(html, r'{SCRIPT}', 1), b -> try_parse_json(b)), v -> v is not null)")
-    marked = pages.select("page_id", "html", og_image(F.col("html")).alias("og"), blocks.alias("blocks"))
+    marked = pages.select("page_id", *keep, "html", og_image(F.col("html")).alias("og"), blocks.alias("blocks"))
     full = f"{_is_recipe('r')} and (size({_ingredients('r')}) > 0 or size({_steps('r')}) > 0)"
-    chosen = marked.select("page_id", "html", "og", F.expr(f"get(filter(flatten(transform(blocks, k -> {_items('k')})), r -> {full}), 0)").alias("r"))
-    told = chosen.select("page_id", "og", F.to_json("r").alias("json"), F.when(F.col("r").isNull(), F.col("html")).alias("html"))
-    schema = StructType([told.schema["page_id"], *[StructField(c, StringType()) for c in ("og", "layer", "json")]])
+    chosen = marked.select("page_id", *keep, "html", "og", F.expr(f"get(filter(flatten(transform(blocks, k -> {_items('k')})), r -> {full}), 0)").alias("r"))
+    told = chosen.select("page_id", *keep, "og", F.to_json("r").alias("json"), F.when(F.col("r").isNull(), F.col("html")).alias("html"))
+    schema = StructType([*[told.schema[c] for c in ("page_id", *keep)], *[StructField(c, StringType()) for c in ("og", "layer", "json")]])
 
     def run(frames):
         for frame in frames:
             rows = []
-            for page_id, og, told_json, html in frame.itertuples(index=False):
+            for *own, og, told_json, html in frame.itertuples(index=False, name=None):
                 found = ("jsonld", told_json) if told_json is not None else parsed(html) if html else None
                 if found:
-                    rows.append((page_id, og, *found))
+                    rows.append((*own, og, *found))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return normalized(told.mapInPandas(run, schema)).where("size(ingredients) > 0 or size(steps) > 0")
@@ -224,6 +225,46 @@ def steps(recipes: DataFrame) -> DataFrame:
     return recipes.select("page_id", F.posexplode("steps").alias("pos", "text")).select("page_id", (F.col("pos") + 1).alias("ord"), "text")
 
 
+def chat_recipes(messages: DataFrame, text: str) -> DataFrame:
+    """Messages with a fenced recipe that has a title, ingredients and steps: title, ingredients, steps, and names (text to food name, null without any)."""
+    read = messages.withColumn("v", F.try_parse_json(F.regexp_extract(text, r"(?s)```(?:recipe-json|json)\s*(.*?)```", 1)))
+    lists = {c: F.expr(f"try_variant_get(v, '$.{c}', 'array<variant>')") for c in ("ingredients", "steps")}
+    read = read.withColumns({f"_{c}": e for c, e in lists.items()}).withColumn("title", F.expr(_string("v", "title"))).where("_ingredients is not null and _steps is not null and coalesce(title, '') <> ''")
+    plain = lambda c: F.expr(f"transform(_{c}, x -> case when schema_of_variant(x) = 'STRING' then try_variant_get(x, '$', 'string') else try_variant_get(x, '$.text', 'string') end)")
+    # a text that stands twice keeps its last name
+    pairs = F.expr("filter(transform(_ingredients, x -> struct(try_variant_get(x, '$.text', 'string') as k, try_variant_get(x, '$.usdaName', 'string') as v)), p -> coalesce(p.k, '') <> '' and coalesce(p.v, '') <> '')")
+    last = F.filter("_pairs", lambda p, i: ~F.exists(F.slice("_pairs", i + 2, F.size("_pairs")), lambda q: q["k"] == p["k"]))
+    named = read.withColumn("_pairs", pairs).withColumn("names", F.when(F.size("_pairs") > 0, F.map_from_entries(last)))
+    return named.withColumns({"ingredients": plain("ingredients"), "steps": plain("steps")}).drop("v", "_ingredients", "_steps", "_pairs")
+
+
+def extraction_quality(recipes: DataFrame, *keys: str) -> DataFrame:
+    """By keys and layer: recipes, their share with any time, their lines and the share of lines that begin with an amount."""
+    amounts = F.size(F.filter("ingredients", lambda i: i.rlike(f"^{T.AMOUNT}")))
+    timed = F.greatest("prep_minutes", "cook_minutes", "total_minutes").isNotNull()
+    sums = recipes.groupBy(*keys, "layer").agg(F.count("*").alias("n_recipes"), F.count_if(timed).alias("timed"), F.sum(F.size("ingredients")).alias("n_lines"), F.sum(amounts).alias("measured"))
+    return sums.select(*keys, "layer", "n_recipes", (F.col("timed") / F.col("n_recipes")).alias("share_timed"), "n_lines", F.when(F.col("n_lines") > 0, F.col("measured") / F.col("n_lines")).alias("share_measured"))
+
+
+def ratings(pages: DataFrame, *keep: str) -> DataFrame:
+    """(keep, image, rating, rating_count) of pages by their recipes' JSON-LD: the first picture, else the page's own, and the last rating."""
+    recipes = f"filter(flatten(transform(filter(transform(regexp_extract_all(html, r'{SCRIPT}', 1), b -> try_parse_json(b)), v -> v is not null), k -> {_items('k')})), r -> {_is_recipe('r')})"
+    rated = "try_element_at(filter(recipes, r -> try_variant_get(r, '$.aggregateRating', 'variant') is not null), -1)"
+    found = pages.select(*keep, og_image(F.col("html")).alias("og"), F.expr(recipes).alias("recipes"))
+    found = found.select(*keep, "og", F.expr(f"get(filter(transform(recipes, r -> {_image('r')}), i -> i is not null), 0)").alias("image"), F.expr(f"case when size(recipes) > 0 then try_variant_get({rated}, '$.aggregateRating', 'variant') end").alias("a"))
+    number = lambda field: F.expr(T.leading_number(SPARK, f"try_variant_get(a, '$.{field}', 'string')"))
+    some = lambda x: F.when(x != 0, x)
+    count = F.coalesce(F.floor(number("ratingCount")), F.floor(number("reviewCount")))
+    return found.select(*keep, F.coalesce("image", "og").alias("image"), some(number("ratingValue")).alias("rating"), some(count).alias("rating_count"))
+
+
+def enriched(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """Results with image, rating and rating_count of the page of their url, of several pages the one of the smallest page_id; results without a page stay."""
+    facts = ratings(pages, "url", "page_id")
+    one = facts.groupBy("url").agg(F.min_by(F.struct("image", "rating", "rating_count"), "page_id").alias("x")).select("url", "x.*")
+    return results.join(one, "url", "left")
+
+
 def caption_track_text(xml: Column) -> Column:
     """The text of the paragraphs of a caption track, without the tags inside; of one without paragraphs, that of its text nodes."""
     paragraphs = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), lambda p: F.regexp_replace(p, r"<[^>]*>", ""))

@@ -7,7 +7,7 @@ from html.entities import html5
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
-from larder.functions.dialect import DUCK
+from larder.functions.dialect import DUCK, SPARK
 from larder.operators import pages as P
 from larder.operators.entities import decode
 from larder.sources import payloads as S
@@ -75,6 +75,12 @@ def x6_recipes(spark, sf_dir):
     )
 
 
+def a12_extraction_quality(spark, sf_dir):
+    read = P.best_layer(built(spark, sf_dir), "url").withColumn("domain", F.expr(T.source_domain(SPARK, "url")))
+    found = P.extraction_quality(read, "domain")
+    return found.select("domain", "layer", "n_recipes", F.round("share_timed", 4).alias("share_timed"), "n_lines", F.round("share_measured", 4).alias("share_measured"))
+
+
 def x14_decode_entities(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("t", F.expr(REFERENCES))
     return pages.select("page_id", decode(F.col("t")).alias("plain"))
@@ -122,11 +128,10 @@ def s14_import_inbox(spark, sf_dir):
 
 def x22_chat_recipes(spark, sf_dir):
     chat = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
-    said = chat.withColumn("said", F.expr("""concat(text, case when conv_id % 2 = 0 then concat('\n```recipe-json\n{"title": "T', conv_id, '", "ingredients": ["a", {"text": "b", "usdaName": "c"}], "steps": ["s"]}\n```') else '\n```json\n{"title": "no"}\n```' end)"""))
-    block = F.try_parse_json(F.regexp_extract("said", r"(?s)```(?:recipe-json|json)\s*(.*?)```", 1))
-    read = said.withColumn("v", block).where(F.expr("try_variant_get(v, '$.ingredients', 'array<variant>') is not null and try_variant_get(v, '$.steps', 'array<variant>') is not null"))
-    names = F.expr("transform(try_variant_get(v, '$.ingredients', 'array<variant>'), x -> coalesce(try_variant_get(x, '$.text', 'string'), try_variant_get(x, '$', 'string')))")
-    return read.select("conv_id", "turn", F.expr("try_variant_get(v, '$.title', 'string')").alias("title"), F.array_join(names, "|").alias("ingredients"))
+    said = chat.withColumn("said", F.expr("""concat(text, case when conv_id % 2 = 0 then concat('\n```recipe-json\n{"title": "T', conv_id, '", "ingredients": ["a", {"text": "b", "usdaName": "c"}', case when conv_id % 4 = 0 then ', {"text": "d"}' else ', {"text": "e", "usdaName": "f"}' end, '], "steps": ["s"]}\n```') else '\n```json\n{"title": "no"}\n```' end)"""))
+    found = P.chat_recipes(said, "said")
+    names = F.array_join(F.transform(F.map_entries("names"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return found.select("conv_id", "turn", "title", F.array_join("ingredients", "|").alias("ingredients"), names.alias("names"))
 
 
 def x21_caption_text(spark, sf_dir):
@@ -135,7 +140,7 @@ def x21_caption_text(spark, sf_dir):
     return xml.select("conv_id", "turn", P.caption_track_text(F.col("xml")).alias("caption"))
 
 
-QUERIES |= {f.__name__: f for f in (x1_jsonld_blocks, x2_jsonld_recipes, x3_microdata, x4_headings, x5_best_layer, x6_recipes, x14_decode_entities, x9_steps, s8_share_round_trip, s15_fit_share_link, s14_import_inbox, x22_chat_recipes, x21_caption_text)}
+QUERIES |= {f.__name__: f for f in (x1_jsonld_blocks, x2_jsonld_recipes, x3_microdata, x4_headings, x5_best_layer, x6_recipes, a12_extraction_quality, x14_decode_entities, x9_steps, s8_share_round_trip, s15_fit_share_link, s14_import_inbox, x22_chat_recipes, x21_caption_text)}
 _TITLE = "'Recipe ' || page_id || ' & more' as title"
 #: The parts that each page's recipe was built of, put together again without any parser.
 _BUILT = f"""with given as (select page_id, {PART} as kind, regexp_extract_all(html, '[A-Za-z]{{4,}}')[1:page_id % 4 + 1] as w from pages),
@@ -155,6 +160,8 @@ ORACLE_SQL |= {
 case when {_FULL} then (page_id % 9 + 1)::bigint end as servings, case when {_FULL} then nullif(page_id % 50, 0)::bigint end as prep_minutes, case when {_FULL} then (60 + page_id % 7)::bigint end as cook_minutes, null::bigint as total_minutes,
 case when {_FULL} then (page_id % 700 + 0.5)::double end as calories, case when {_FULL} then 3.0::double end as fat_g, null::double as sugar_g, case when kind = 0 then array_to_string(w, '|') else '' end as keywords, case when kind = 0 then 'Dinner' else '' end as categories,
 tags, len(items)::bigint as n_ingredients from (select *, {T.auto_tags(DUCK, "case when kind = 0 then 'Dinner|' || array_to_string(w, '|') else '' end", "title")} as tags from told) t""",
+    "a12_extraction_quality": f"""{_BUILT} select {T.source_domain(DUCK, 'url')} as domain, {LAYER.replace('page_id', 't.page_id')} as layer, count(*) as n_recipes, round(avg(case when {_FULL} then 1.0 else 0.0 end), 4) as share_timed, sum(len(items))::bigint as n_lines,
+case when sum(len(items)) > 0 then 1.0::double end as share_measured from told t join (select page_id as id, url from pages) p on t.page_id = p.id group by all""",
     "x14_decode_entities": f"""with names(name, plain) as (values {_NAMES}), cut as (select page_id, regexp_extract_all({REFERENCES}, '&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&') as parts from pages),
 rows as (select page_id, unnest(parts) as part, generate_subscripts(parts, 1) as k from cut), named as (select distinct part from rows where part[1] = '&' and part[2] ~ '[A-Za-z]'),
 best as (select part, max_by(plain || substr(part, length(name) + 2), length(name)) as told from named join names on starts_with(substr(part, 2), name) group by part)
@@ -164,6 +171,6 @@ from rows left join best using (part) group by page_id""",
     "s8_share_round_trip": rf"""select doc_id, k as piece, 'Recipe ' || doc_id as title, array_to_string(w[k * {PIECE} + 1:(k + 1) * {PIECE}], ' ') as ingredients
 from (select doc_id, w, unnest(range((len(w) + {PIECE} - 1) // {PIECE})) as k from (select doc_id, regexp_split_to_array(text, '\s+') as w from documents) s) p""",
     "s14_import_inbox": "select doc_id, case when doc_id % 5 <> 0 and doc_id % 3 <> 0 then source end as title, doc_id % 5 <> 0 and doc_id % 3 <> 0 as accepted from documents",
-    "x22_chat_recipes": "select conv_id, turn, 'T' || conv_id as title, 'a|b' as ingredients from conversations where role = 'assistant' and conv_id % 2 = 0",
+    "x22_chat_recipes": "select conv_id, turn, 'T' || conv_id as title, case when conv_id % 4 = 0 then 'a|b|d' else 'a|b|e' end as ingredients, case when conv_id % 4 = 0 then 'b=c' else 'b=c|e=f' end as names from conversations where role = 'assistant' and conv_id % 2 = 0",
     "x21_caption_text": r"select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[<>&]', '', 'g') || '  a & b', '[ \t\n\r\f]+', ' ', 'g')) as caption from conversations",
 }

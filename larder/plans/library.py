@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from larder.functions import text as T
+from larder.functions.dialect import DUCK, SPARK
+
 from .bindings import TABLES, bound, with_tables
 
 QUERIES: dict = {}
@@ -58,7 +61,15 @@ select n.recipe_id, coalesce(o.tag, n.tag) as tag, coalesce(o.saved_at, n.saved_
 register("j9_is_saved", "select m.user_id, m.recipe_id, m.day_no from meals m where m.recipe_id in (select recipe_id from recipes where tag = '1-URGENT')", "meals", "recipes", spark_sql="select m.user_id, m.recipe_id, m.day_no from meals m left semi join recipes r on m.recipe_id = r.recipe_id and r.tag = '1-URGENT'")
 register("j10_bulk_nutrition", "select recipe_id, declared_calories from recipes where recipe_id in (select recipe_id from meals where user_id = 3)", "recipes", "meals")
 register("j16_apply_patches", "select r.recipe_id, case when p.has_title then p.title else r.title end as title, coalesce(p.servings, r.servings) as servings from recipes r left join (select recipe_id, recipe_id % 10 = 0 as has_title, case when recipe_id % 20 = 0 then null else concat(title, '!') end as title, case when recipe_id % 15 = 0 then 9 end as servings from recipes where recipe_id % 5 = 0) p on r.recipe_id = p.recipe_id", "recipes")
-register("p9_search_library", "select r.recipe_id, r.user_id from recipes r where r.tag = '5-LOW' and (lower(r.title) like '%77%' or exists (select 1 from lines l where l.recipe_id = r.recipe_id and lower(l.name) like '%basil%'))", "recipes", "lines")
+
+
+def _search(d) -> str:
+    """Favourites (here every third recipe) of two tags, with words in the title, the domain, a tag, or the name of a line."""
+    hit = " or ".join(f"contains(lower({where}), '{word}')" for where, word in (("r.title", "77"), (T.source_domain(d, "r.source_url"), "site7."), ("r.tag", "low"), ("r.category", "quick")))
+    return f"select r.recipe_id, r.user_id from recipes r where r.recipe_id % 3 = 0 and r.tag in ('5-LOW', '2-HIGH') and ({hit} or exists (select 1 from lines l where l.recipe_id = r.recipe_id and contains(lower(l.name), 'basil')))"
+
+
+register("p9_search_library", _search(DUCK), "recipes", "lines", spark_sql=_search(SPARK).replace("{", "{{").replace("}", "}}"))
 register("a10_custom_tags", "select distinct user_id, tag from recipes where tag not in ('1-URGENT', '2-HIGH')", "recipes")
 register("u3_tags_minus_presets", "select tag from recipes except select tag from recipes where tag in ('1-URGENT', '2-HIGH')", "recipes")
 register("u2_distinct_notes", "select distinct recipe_id, notes from lines where notes is not null", "lines")
@@ -67,12 +78,6 @@ register("o2_latest_list", "select user_id, week_start from (select user_id, wee
 register("w1_renumber_steps", "select recipe_id, part_no, supp_no, line_no, row_number() over (partition by recipe_id order by line_no, part_no, supp_no) as ord from lines where not optional", "lines")
 register("j3_meals_to_selection", "select user_id, week_start, recipe_id, serving_override from meals", "meals")
 register("j1_selection_join", "select m.user_id, m.week_start, r.title, l.name, l.part_no, l.supp_no, l.line_no from meals m join recipes r on m.recipe_id = r.recipe_id join lines l on l.recipe_id = r.recipe_id", "meals", "recipes", "lines")
-register(
-    "a12_extraction_quality",
-    "select r.category, count(distinct r.recipe_id) as recipes, count(*) as n_lines, floor(avg(case when l.qty_min is not null then 1.0 else 0.0 end) * 1000 + 0.500001) / 1000 as share from recipes r join lines l on r.recipe_id = l.recipe_id group by r.category",
-    "recipes",
-    "lines",
-)
 #: Recomputed only where the fingerprint of a recipe's lines has changed, or nothing is kept.
 _LINES = {"spark": "sha2(array_join(transform(array_sort(collect_list(struct(line_no, part_no, supp_no, name))), x -> x.name), '\\n'), 256)", "duck": "sha256(string_agg(name, chr(10) order by line_no, part_no, supp_no))"}
 register(

@@ -58,8 +58,8 @@ def _rounded(sql: str) -> str:
 register("i1_parse_ingredients", lambda d: _rounded(L.parsed(d, raw_lines(d), KEYS)), "lines")
 register("i9_parse_lite", lambda d: _rounded(L.parsed(d, raw_lines(d), KEYS, lite=True)), "lines")
 _WORDS = "(values " + ", ".join(f"({k}, '{w}', '{c}')" for k, (w, c) in enumerate(SHELF_WORDS)) + ") as s(rank, word, shelf)"
-#: I8: distinct names only meet the words; the winner is the lowest rank, and names are joined back.
-_SHELF = f"select n.name, min_by(shelf, rank) as shelf from (select distinct lower(name) as name from lines) n join (select * from {_WORDS}) w on contains(n.name, w.word) group by n.name"
+#: I8: distinct names only meet the words; the winner is the word itself, else the lowest rank, and names are joined back.
+_SHELF = f"select n.name, min_by(shelf, case when n.name = w.word then -1 else rank end) as shelf from (select distinct lower(name) as name from lines) n join (select * from {_WORDS}) w on contains(n.name, w.word) group by n.name"
 register("i8_category", lambda d: f"select {KEYS}, s.shelf from lines l left join ({_SHELF}) s on lower(l.name) = s.name", "lines")
 
 

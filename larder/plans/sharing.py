@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.functions.dialect import SPARK
 from larder.operators import cards as C
+from larder.operators import pages as Pages
 from larder.operators import posts as P
 from larder.operators.entities import decode
 
@@ -123,12 +124,16 @@ def p13_valid_normalized(spark, sf_dir):
     return rows.where("e.raw is not null and e.name is not null and e.action in ('MATCH', 'SKIP', 'ESTIMATE_QUANTITY')").select("o_orderkey", "e.raw", "e.action", F.expr("try_cast(e.defaultGrams as double)").alias("grams"))
 
 
+#: JSON-LD with a rating, broken JSON-LD with a picture of the page, and none, before the real page.
+_RATED = """concat(case page_id % 3 when 0 then concat('<script type="application/ld+json">{"@graph": [{"@type": "Recipe", "image": [{"url": "https://i/', page_id, '.png"}], "aggregateRating": {"ratingValue": "', page_id % 5, '.5", "reviewCount": ', page_id % 90, '}}]}</script>')
+when 1 then concat('<script type="application/ld+json">{"@type": "Recipe", }</script><meta property="og:image" content="https://og/', page_id, '.png">') else '' end, html)"""
+
+
 def j11_enrich_results(spark, sf_dir):
-    """Search results with the image and rating of their pages; results without a page stay."""
+    """Search results with picture and rating of their pages, read from the pages; results without a page stay."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    results = pages.select("page_id", F.when(F.col("page_id") % 3 != 0, F.col("url")).otherwise(F.lit("https://none.example/")).alias("url"))
-    known = pages.select("url", F.expr("concat('https://i/', page_id, '.png')").alias("image"), (F.col("page_id") % 5).alias("rating")).groupBy("url").agg(F.min("image").alias("image"), F.min("rating").alias("rating"))
-    return results.join(known, "url", "left").select("page_id", "image", "rating")
+    results = pages.select(F.col("page_id").alias("result"), F.when(F.col("page_id") % 4 != 0, F.col("url")).otherwise(F.lit("https://none.example/")).alias("url"))
+    return Pages.enriched(results, pages.select("url", "page_id", F.expr(_RATED).alias("html"))).select("result", "image", "rating", "rating_count")
 
 
 #: Recipes with all that a card tells, made of the bound tables: {names} is the list of a recipe's lines, in both engines.
@@ -212,7 +217,9 @@ ORACLE_SQL |= {
     "x27_model_recipe": "select o_orderkey, 'R' || o_orderkey as title from orders where o_orderkey % 4 = 1",
     "x17_short_video_caption": "select page_id, case when page_id % 3 = 0 then 'pie ' else repeat('soup ', 12) end || page_id as caption from pages",
     "p13_valid_normalized": "select o_orderkey, 'a' || o_orderkey as raw, case o_orderkey % 3 when 0 then 'MATCH' else 'SKIP' end as action, cast(o_orderkey % 90 as double) as grams from orders where o_orderkey % 3 < 2",
-    "j11_enrich_results": "select p.page_id, k.image, k.rating from pages p left join (select url, min('https://i/' || page_id || '.png') as image, min(page_id % 5) as rating from pages group by url) k on p.page_id % 3 <> 0 and p.url = k.url",
+    "j11_enrich_results": """select p.page_id as result, case first % 3 when 0 then 'https://i/' || first || '.png' when 1 then 'https://og/' || first || '.png' else nullif(regexp_extract(f.html, '<meta[^>]*property="og:image"[^>]*content="([^"]+)"', 1), '') end as image,
+case when first % 3 = 0 then (first % 5 + 0.5)::double end as rating, case when first % 3 = 0 then nullif(first % 90, 0)::bigint end as rating_count
+from pages p left join (select url, min(page_id) as first, arg_min(html, page_id) as html from pages group by url) f on p.url = f.url and p.page_id % 4 <> 0""",
     "s12_markdown": with_tables(
         _CARDS
         + f"""select recipe_id, concat_ws(chr(10), '**' || title || '**' || chr(10), nullif(concat_ws(' | ', 'Serves ' || servings, 'Prep: ' || {_SPOKEN('prep_minutes', ' min')}, 'Cook: ' || {_SPOKEN('cook_minutes', ' min')},
