@@ -20,8 +20,8 @@ returns its own ``k`` nearest by exact cosine, and the best ``k`` of all stay.
 
 Cases: vectors that are null, zero or hold null or non-finite components, or are not of
 the most common length, take no part, neither do rows without an id. Ties go to the smaller vec_id.
-Rows that repeat a vec_id and its vector count once; none of a query's own vec_id is
-its neighbour. With fewer candidates than k, a query has fewer rows. Recall against brute
+Rows that repeat a vec_id count once: of several vectors of a query's or a candidate's id the nearest pair
+is its score. None of a query's own vec_id is its neighbour. With fewer candidates than k, a query has fewer rows. Recall against brute
 force is measured in tests/llm (0.9 at least is asked for).
 """
 
@@ -160,7 +160,7 @@ def fit(vectors: DataFrame, n: int) -> Graph:
 
 
 def nearest(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of rows to query by cosine, not counting query_id; equal rows have exactly equal scores."""
+    """The k nearest ids of rows to query by cosine, not counting query_id; equal rows have exactly equal scores."""
     dots = (rows * query).sum(axis=1)
     sizes = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum())
     with np.errstate(all="ignore"):
@@ -169,7 +169,10 @@ def nearest(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray,
     if odd.any():
         score[odd] = (unit(rows[odd]) * unit(query[None])).sum(axis=1)
     score[ids == query_id] = -np.inf
-    order = np.lexsort((ids, -score))[:k]
+    order = np.lexsort((ids, -score))
+    if len(np.unique(ids[order[:k]])) < min(k, len(order)):  # ids with several vectors
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    order = order[:k]
     order = order[ids[order] != query_id]
     return ids[order], score[order]
 
@@ -200,7 +203,8 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
         return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]), "vec_id": np.concatenate([i for _, i, _ in out]), "score": np.concatenate([s for _, _, s in out])})
 
     met = dealt.select("list", "block", "vec_id", "v").groupBy("list", "block").cogroup(probes.select("list", "block", "query_id", "q").groupBy("list", "block"))
-    found = met.applyInPandas(best, FOUND).dropDuplicates(["query_id", "vec_id", "score"])
+    # of an id with several vectors, as query or as candidate, the nearest pair counts
+    found = met.applyInPandas(best, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -16,7 +16,7 @@ Cases: a null url, or one without scheme and host, has no key: it is kept, unblo
 with host "". A null fetch time meets no interval. At the same time "add" counts over
 "remove"; a second "add" without "remove" between changes nothing. Repeated entries
 count once, repeated captures each for themselves. Extra columns of captures stay
-(those named like the results are overwritten). With an empty list nothing is blocked.
+(those called like the results, in any case, are overwritten), whatever their names. With an empty list nothing is blocked.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .columns import column, others, row, unpacked
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
@@ -51,24 +53,23 @@ def keys(url: str = "url"):
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with host, n_active (entries active at fetch time that cover it), blocked and reasons (joined, in order)."""
-    new = ("host", "n_active", "blocked", "reasons")
-    kept = [F.col(f"`{c}`") for c in captures.columns if c not in new]
-    rows = captures.select(*kept).withColumn("_row", F.monotonically_increasing_id())
-    asked = rows.select("_row", F.struct(*kept).alias("_kept"), F.col(url).alias("_url"), F.col(fetched).alias("_at"))
-    one = asked.select("_row", "_kept", "_url", "_at", F.explode_outer(keys("_url")).alias("_key"))
+    kept = others(captures, ("host", "n_active", "blocked", "reasons"))
+    asked = captures.select(F.monotonically_increasing_id().alias("_row"), row(captures, others(captures, kept)), column(url).alias("_url"), column(fetched).alias("_at"))
+    one = asked.select("_row", "row", "_url", "_at", F.explode_outer(keys("_url")).alias("_key"))
     valid = intervals(entries)
     inside = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     met = one.join(valid, (F.col("_key.kind") == F.col("kind")) & (F.col("_key.pattern") == F.col("pattern")) & inside, "left")
     said = F.when(F.col("list").isNotNull(), F.concat_ws(":", "list", "effect", "kind", "pattern"))
     told = met.groupBy("_row").agg(
-        F.first("_kept").alias("_kept"),
+        F.first("row").alias("row"),
+        F.first("_url").alias("_url"),
         F.count("list").alias("n_active"),
         (F.count_if(F.col("effect") == "block") > 0).alias("_block"),
         (F.count_if(F.col("effect") == "allow") > 0).alias("_allow"),
         F.array_join(F.array_sort(F.collect_set(said)), ",").alias("reasons"),
     )
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(f"_kept.`{url}`"), HOST, 1)), F.lit(""))
-    return told.select("_kept.*", host.alias("host"), "n_active", (F.col("_block") & ~F.col("_allow")).alias("blocked"), "reasons")
+    host = F.coalesce(F.lower(F.regexp_extract("_url", HOST, 1)), F.lit(""))
+    return told.select(*unpacked(kept), host.alias("host"), "n_active", (F.col("_block") & ~F.col("_allow")).alias("blocked"), "reasons")
 
 
 def bound_captures(pages: DataFrame) -> DataFrame:

@@ -352,6 +352,21 @@ def test_neighbours_recall_and_ties(spark):
     assert hits / 300 >= 0.9 and set(got) == set(range(0, 3000, 50))
     assert [got[100][k] for k in range(1, 6)] == [101, 102, 103, 104, 105]
     assert neighbours.search(spark.createDataFrame([(50, None)], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
+    assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
+
+
+def test_neighbours_of_an_id_with_two_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(40, 4))
+    rows = [(k // 2, x.tolist()) for k, x in enumerate(v)]  # every id stands twice, with different vectors
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = {}
+    for i in range(2, 40):
+        best[i // 2] = max(best.get(i // 2, -2), u[i] @ u[0], u[i] @ u[1])
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4]
+    assert [r.vec_id for r in found] == [k for k, _ in want] and [r["rank"] for r in found] == [1, 2, 3, 4]
+    assert all(abs(r.score - s) < 1e-12 for r, (_, s) in zip(found, want))
 
 
 def test_urls(spark):
@@ -363,6 +378,9 @@ def test_urls(spark):
     got = {r.id: (r.blocked, r.n_active) for r in urls.evaluate(captures, table).collect()}
     assert got == {0: (False, 0), 1: (True, 1), 2: (False, 0), 3: (False, 2), 4: (False, 0), 5: (False, 0)}
     assert urls.evaluate(captures, table.limit(0)).where("blocked").count() == 0
+    odd = captures.withColumnsRenamed({"url": "u.r l", "fetched": "a`t"}).withColumns({"Host": F.lit("x"), "row": F.lit(1), "_url": F.lit(2), "list": F.lit(3)})
+    rows = urls.evaluate(odd, table, url="u.r l", fetched="a`t").collect()
+    assert {r.id: (r.blocked, r.n_active) for r in rows} == got and {(r.row, r._url, r.list) for r in rows} == {(1, 2, 3)} and {r["u.r l"] for r in rows} == {u for u, _ in asked}
 
 
 def test_columns_of_any_name_and_ids_of_any_type(spark):
