@@ -101,12 +101,27 @@ def text_recipes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "part", F.posexplode(F.concat(heading, content)).alias("k", "x")).select("doc_id", "pos", "part", "k", "x.kind", "x.text")
 
 
-def captions(html):
-    """The JSON "text" values of 100 characters or more in a page, unescaped (D7), longest first."""
-    found = F.regexp_extract_all(html, F.lit(r'"text"\s*:\s*"((?:[^"\\]++|\\.)*+)"'), F.lit(1))
+#: Where a page's data has texts and captions, and how long those must be.
+TEXT_VALUE, TEXT_LEAST = r'"text"\s*:\s*"((?:[^"\\]++|\\.)*+)"', 100
+CAPTION_VALUE, CAPTION_LEAST = r'"caption"\s*:\s*\{[^}]*?"text"\s*:\s*"((?:[^"\\]++|\\.)*+)"', 50
+
+
+def _values(html: Column, pattern: str, least: int) -> Column:
+    """The values of a pattern, unescaped (D7), different ones of some length, longest first, of equal ones the earlier."""
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
     plain = F.transform(found, lambda s: F.coalesce(F.get_json_object(F.concat(F.lit('{"a":"'), s, F.lit('"}')), "$.a"), s))
-    long = F.array_distinct(F.filter(plain, lambda s: F.length(s) >= 100))
-    return F.transform(F.array_sort(F.transform(long, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
+    long = F.array_distinct(F.filter(plain, lambda s: F.length(s) >= least))
+    return F.transform(F.array_sort(F.transform(long, lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
+
+
+def captions(html: Column) -> Column:
+    """The texts in a page's data, longest first."""
+    return _values(html, TEXT_VALUE, TEXT_LEAST)
+
+
+def post_text(html: Column) -> Column:
+    """A post's text: the longest caption, else the longest text."""
+    return F.coalesce(F.get(_values(html, CAPTION_VALUE, CAPTION_LEAST), F.lit(0)), F.get(captions(html), F.lit(0)))
 
 
 #: Seconds by the first letter of a unit, units, words that say "about", and the forms of a time, the stronger one first.

@@ -136,7 +136,7 @@ def x22_chat_recipes(spark, sf_dir):
 
 def x21_caption_text(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    xml = turns.withColumn("said", F.regexp_replace("text", "[<>&]", "")).withColumn("xml", F.expr("""case when turn % 2 = 0 then concat("<t><text start='0'>", said, "</text><text> a &amp; b</text></t>") else concat("<body><p t='0'><s>", said, "</s><s> a</s></p><p>&amp; b</p><text>no</text></body>") end"""))
+    xml = turns.withColumn("said", F.expr("replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")).withColumn("xml", F.expr("""case when turn % 2 = 0 then concat("<t><text start='0'>", said, "</text><text> a &amp; b</text></t>") else concat("<body><p t='0'><s>", said, "</s><s> a</s></p><p>&amp; b</p><text>no</text></body>") end"""))
     return xml.select("conv_id", "turn", P.caption_track_text(F.col("xml")).alias("caption"))
 
 
@@ -172,5 +172,5 @@ from rows left join best using (part) group by page_id""",
 from (select doc_id, w, unnest(range((len(w) + {PIECE} - 1) // {PIECE})) as k from (select doc_id, regexp_split_to_array(text, '\s+') as w from documents) s) p""",
     "s14_import_inbox": "select doc_id, case when doc_id % 5 <> 0 and doc_id % 3 <> 0 then source end as title, doc_id % 5 <> 0 and doc_id % 3 <> 0 as accepted from documents",
     "x22_chat_recipes": "select conv_id, turn, 'T' || conv_id as title, case when conv_id % 4 = 0 then 'a|b|d' else 'a|b|e' end as ingredients, case when conv_id % 4 = 0 then 'b=c' else 'b=c|e=f' end as names from conversations where role = 'assistant' and conv_id % 2 = 0",
-    "x21_caption_text": r"select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[<>&]', '', 'g') || '  a & b', '[ \t\n\r\f]+', ' ', 'g')) as caption from conversations",
+    "x21_caption_text": r"select conv_id, turn, trim(regexp_replace(text || '  a & b', '[ \t\n\r\f]+', ' ', 'g')) as caption from conversations",
 }

@@ -95,7 +95,7 @@ def sentence_steps(d, t: str) -> str:
 
 project("s11_sitemap", "pages", "page_id", lambda d: {"line": f"concat('<url><loc>', {xml('url')}, '</loc></url>')"}, where=lambda d: d.like("url", "^https?:"))
 project("x8_pick_image", "pages", "page_id", lambda d: {"image": picked_image(d, "h")}, prepare="""select page_id, concat(case page_id % 4 when 0 then '{"image": ["https://i/a.png"]}' when 1 then '{"image": {"@type": "x", "url": "https://i/b.png"}}' when 2 then '<meta content="https://i/c.png" property="og:image">' else '' end, html) as h""")
-project("t5_sentence_steps", "documents", "doc_id", lambda d: {"steps": d.join(sentence_steps(d, "t"), "|")}, prepare=lambda d: f"select doc_id, concat({d.replace('text', '[^A-Za-z .]')}, '. Stir the soup. It is good. 2. Serve it hot.') as t")
+project("t5_sentence_steps", "documents", "doc_id", lambda d: {"steps": d.join(sentence_steps(d, "t"), "|")}, prepare="select doc_id, concat(text, '. Stir the soup. It is good. 2. Serve it hot.') as t")
 project("x25_legacy_recipe", "orders", "o_orderkey", lambda d: {"steps": d.join(d.filter(d.map(d.split("s", "\\n"), "p", T.strip_number(d, "p")), "p", "p <> ''"), "|")}, prepare=lambda d: f"select o_orderkey, concat('1. Chop', chr(10), '2) Boil ', cast(o_orderkey % 9 as {d.text_type}), chr(10), chr(10), 'Step 3: Eat') as s")
 
 

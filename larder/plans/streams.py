@@ -103,9 +103,12 @@ _PHASES = (
 
 
 def x15_post_texts(spark, sf_dir):
+    """Posts with the whole text in their data, some with a caption beside it, some with one that is too short."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    page = F.concat(F.lit('<script>{"text":"short"},'), F.to_json(F.struct(F.concat(F.lit("ab "), F.regexp_replace("text", r'[^a-z ]', ""), F.lit("x" * 100)).alias("text"))), F.lit("</script>"))
-    return docs.select("doc_id", F.length(F.get(T.captions(page), F.lit(0))).cast("long").alias("size"))
+    own = F.to_json(F.struct(F.concat(F.lit("ab "), "text", F.lit("x" * 100)).alias("text")))
+    caption = F.expr("""case doc_id % 3 when 0 then concat('"caption" : {"id": 7, "text":"so\\\\n\\\\u00e9 ', repeat('good ', 10), doc_id, '"},') when 1 then '"caption": {"text": "short"},' else '' end""")
+    page = F.concat(F.lit('<script>{"text":"short"},'), caption, own, F.lit("</script>"))
+    return docs.select("doc_id", T.post_text(page).alias("post"))
 
 
 #: Result pages of both forms before the real page: adverts, redirects, bare addresses, entries without an address or title; w is a word of the page.
@@ -159,7 +162,7 @@ select doc_id, row_number() over (partition by doc_id order by place, k) as plac
     "q7_step_timers": rf"""with b0 as (select doc_id, {_TIMED} as said, regexp_replace(regexp_replace(regexp_replace({_TIMED}, '(?i)about(\s)', '     \1', 'g'), '(?i)around(\s)', '      \1', 'g'), '(?i)approximately(\s)', '             \1', 'g') as t from documents),
 {", ".join(_time_phase(k, *p) for k, p in enumerate(_PHASES))}
 select doc_id, seconds, substr(said, start::bigint + 1, length(m)) as label, start::bigint as start, start::bigint + length(m) as stop from (select * from h0 union all select * from h1 union all select * from h2) h where seconds > 0""",
-    "x15_post_texts": "select doc_id, 103 + length(regexp_replace(text, '[^a-z ]', '', 'g')) as size from documents",
+    "x15_post_texts": "select doc_id, case when doc_id % 3 = 0 then 'so' || chr(10) || 'é ' || repeat('good ', 10) || doc_id else 'ab ' || text || repeat('x', 100) end as post from documents",
     "x23_search_results": """with p as (select page_id, regexp_extract(html, '<title>([A-Za-z]*)', 1) as w from pages),
 results as (select page_id, k, case when k % 5 = 1 then 'https://www.b.example/' || k else 'https://a.example/' || k || '?q=1' end as url, trim('T' || k || ' & ' || w) as title, regexp_replace('S ' || repeat(w || ' ', k * 5) || 'end', '\\s+', ' ', 'g') as snippet,
   case when k % 3 = 0 then 'shown' || k || '.example' when k % 5 = 1 then 'b.example' else 'a.example' end as site from p, (select unnest(range(25)) as k) n where page_id % 2 = 0 and k % 4 <> 0 and k <> 9 and not (k % 7 = 2 and k % 5 <> 1)
