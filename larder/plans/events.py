@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from larder.functions.dialect import DUCK, SPARK
 from larder.operators.ranks import funnel_states, ranked
+from larder.sources import payloads as S
+from larder.sources.folders import shared
+from larder.streaming import jobs as J
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -121,4 +124,17 @@ CAP = 25
 register("a16_cap_cohort", f"select count(*) as users, count_if(saves >= {CAP} and upgrades = 0) as capped, floor(count_if(saves >= {CAP} and upgrades = 0) * 10000.0 / count(*) + 0.5) / 10000 as share from (select user_id, count_if(event_type in ('click', 'view')) as saves, count_if(event_type = 'purchase' and event_id % 20 = 0) as upgrades from events group by user_id) u")
 #: Fixed value: hours for which a row is fresh.
 register("p16_fresh_only", "select event_id from events where ts >= (select max(ts) from events) - {day}")
-register("o6_recent_k", "select user_id, max(ts) as last_seen from events group by user_id order by last_seen desc, user_id limit 10000")
+
+
+def o6_recent_k(spark, sf_dir):
+    """Shared recipes by their last entry, in one list: payloads that do not decode (here every seventh user's) are not admitted."""
+    events = J.events(spark, f"{sf_dir}/events.parquet")
+    recipe = F.to_json(F.struct(F.concat(F.lit("Recipe "), F.col("user_id").cast("string")).alias("t"), F.array(F.lit("egg")).alias("ig")))
+    sent = events.select(F.lit("sitemap").alias("board"), F.col("event_id").alias("id"), F.unix_micros("ts").alias("at"), F.when(F.col("user_id") % 7 == 0, F.lit("broken")).otherwise(S.pack(recipe)).alias("member"))
+    admitted = S.decode_payloads(sent, "member").where("recipe is not null")
+    lists = J.latest_members(J.finish(J.recent_members(admitted), shared(spark), "update"))
+    return S.decode_payloads(lists, "member").select(F.col("place").cast("long").alias("place"), F.col("recipe.t").alias("title"), F.timestamp_micros("at").cast("timestamp_ntz").alias("last_seen"))
+
+
+QUERIES["o6_recent_k"] = o6_recent_k
+ORACLE_SQL["o6_recent_k"] = """select row_number() over (order by last_seen desc) as place, 'Recipe ' || user_id as title, last_seen from (select user_id, max(ts) as last_seen from events where user_id % 7 <> 0 group by user_id) u qualify place <= 10000"""

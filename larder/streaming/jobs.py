@@ -8,10 +8,11 @@ which are one row per user by design.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -102,6 +103,48 @@ def lockouts(stream: DataFrame, most: int = MOST_FAILURES, seconds: int = LOCK_S
     return timed.groupBy("subject").applyInPandasWithState(step, LOCK, "n long, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Fixed value: members that a list holds.
+MOST_MEMBERS = 10_000
+MEMBERS = "board string, member string, at long, seq long"
+
+
+def recent_members(stream: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
+    """The members of each board after each batch of entries (board, member, id, at long): (board, member, at, seq).
+
+    An entry puts its member at its time, anew if it is known. Before that, if the board is full, the member of the oldest
+    time goes (of equal times the smaller one), also if the entry's member is known, as a store that
+    evicts before it adds does. Entries of a batch are taken by time and id. State is a board's members, most at the most; a board's
+    entries are one after the other by their meaning. seq counts a board's entries; latest_members() keeps the last list.
+    """
+
+    def step(key, frames, state: GroupState):
+        names, ats, seq = state.get if state.exists else ([], [], 0)
+        held = dict(zip(names, ats))
+        heap = [(at, name) for name, at in held.items()]
+        heapq.heapify(heap)
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        for at, member in zip(rows["at"].tolist(), rows["member"].tolist()):
+            while len(held) >= most:
+                oldest, name = heapq.heappop(heap)
+                if held.get(name) == oldest:  # else it was added anew since
+                    del held[name]
+            held[member] = at
+            heapq.heappush(heap, (at, member))
+            seq += 1
+        state.update((list(held), list(held.values()), seq))
+        yield pd.DataFrame({"board": [key[0]] * len(held), "member": list(held), "at": list(held.values()), "seq": [seq] * len(held)})
+
+    entries = stream.select("board", "member", "id", "at").where("board is not null and member is not null and at is not null")
+    return entries.groupBy("board").applyInPandasWithState(step, MEMBERS, "members array<string>, ats array<long>, seq long", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_members(written: DataFrame) -> DataFrame:
+    """The last list of each board that recent_members() wrote, the newest first: (board, place, member, at)."""
+    last = written.groupBy("board").agg(F.max("seq").alias("seq"))
+    place = F.row_number().over(Window.partitionBy("board").orderBy(F.desc("at"), "member"))  # a bounded list
+    return written.join(last, ["board", "seq"]).select("board", place.alias("place"), "member", "at")
+
+
 def first_touches(stream: DataFrame) -> DataFrame:
     """The first campaign visit of each user, kept for ever."""
     visits = stream.where("event_type = 'view' and user_id % 3 <> 0")

@@ -138,3 +138,21 @@ def test_pages_are_extracted_under_a_name(spark, tmp_path):
     none = spark.readStream.schema("page_id long, html string").parquet(f"file://{tmp_path}/none")
     (tmp_path / "none").mkdir()
     assert J.extract(none, out).count() == 0
+
+
+def test_recent_members_equal_a_replay(spark, tmp_path):
+    import random
+
+    rng, source, out = random.Random(3), f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    schema = "board string, member string, id long, at long"
+    run = lambda: sorted((r.board, r.member, r.at) for r in J.latest_members(J.finish(J.recent_members(spark.readStream.schema(schema).parquet(source), most=4), out, "update", "recent")).collect())
+    boards = {}
+    for part in range(3):
+        rows = [(rng.choice("xxy"), rng.choice("abcdefg"), part * 100 + k, part * 1000 + rng.randrange(20)) for k in range(25)] + [(None, "a", 1, 1), ("x", None, 2, 2)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        for board, member, _, at in sorted((r for r in rows if r[0] and r[1]), key=lambda r: (r[3], r[2])):
+            held = boards.setdefault(board, {})
+            if len(held) >= 4:
+                del held[min(held, key=lambda m: (held[m], m))]
+            held[member] = at
+        assert run() == sorted((b, m, at) for b, held in boards.items() for m, at in held.items())
