@@ -312,7 +312,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find(docs, train(docs))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
+    of_kind = lambda n: F.filter("spans", lambda s: s["kind"] == n)
+    counts = [F.size(of_kind(n)).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
