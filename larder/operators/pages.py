@@ -17,6 +17,7 @@ from larder.functions import text as T
 from larder.functions.dialect import SPARK
 from larder.operators import trees
 from larder.operators.entities import decoded
+from larder.sources.batches import small_batches
 
 SCRIPT = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
 NONE = "cast(array() as array<variant>)"
@@ -49,6 +50,7 @@ def jsonld_recipes(pages: DataFrame) -> DataFrame:
 
 def _read(pages: DataFrame, read, columns: str) -> DataFrame:
     """A row for each tuple that read(html) gives."""
+    small_batches(pages.sparkSession)
     schema = StructType([pages.schema["page_id"], *StructType.fromDDL(columns).fields])
 
     def run(frames):
@@ -86,6 +88,7 @@ def best_layer(pages: DataFrame, *keep: str) -> DataFrame:
     layers. Rows are independent: a page_id that stands twice gives a recipe for each row. Nothing is shuffled. keep: columns
     of pages that stay beside page_id.
     """
+    small_batches(pages.sparkSession)
     blocks = F.expr(f"filter(transform(regexp_extract_all(html, r'{SCRIPT}', 1), b -> try_parse_json(b)), v -> v is not null)")
     marked = pages.select("page_id", *keep, "html", og_image(F.col("html")).alias("og"), blocks.alias("blocks"))
     full = f"{_is_recipe('r')} and (size({_ingredients('r')}) > 0 or size({_steps('r')}) > 0)"

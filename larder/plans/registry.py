@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from larder.sources.batches import bounded
+
 MODULES = ("grocery", "scalars", "events", "library", "nutrition", "extraction", "streams", "sharing", "posts")
 
 
 def queries() -> dict:
     out = {}
     for name in MODULES:
-        out |= import_module(f"larder.plans.{name}").QUERIES
+        out |= {k: bounded(q) for k, q in import_module(f"larder.plans.{name}").QUERIES.items()}
     return out
 
 
