@@ -40,27 +40,39 @@ def latest(written: DataFrame, *keys: str, most: int | None = None) -> DataFrame
     return rows if most is None else rows.withColumn("over", F.col("n") > most)
 
 
+#: Keys of once_a_day() are dealt to so many groups: a call of Python and a row of state for each of them, not for each key.
+DEALT = 1024
+
+
 def once_a_day(stream: DataFrame, first: str, second: str) -> DataFrame:
-    """(first, second, taken): a row of a key is taken, at that second, if none of its key was taken in the 24 hours before."""
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    """(first, second, taken): a row of a key is taken, at that second, if none of its key was taken in the 24 hours before.
+
+    State is a group's keys with the time last taken, of the last 24 hours before the watermark. Keys travel as strings.
+    """
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
     day = 86_400_000_000
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        taken = []
-        for now in sorted(t for f in frames for t in f["at"]):
+        firsts, seconds, lasts = state.get if state.exists else ([], [], [])
+        expired = state.getCurrentWatermarkMs() * 1000 - day  # rows are not older than the watermark, so what was taken before that decides nothing
+        held = {(f, s): t for f, s, t in zip(firsts, seconds, lasts) if t >= expired}
+        rows, taken = pd.concat(list(frames)).sort_values("at"), []
+        for f, s, now in zip(rows["first"].tolist(), rows["second"].tolist(), rows["at"].tolist()):
+            last = held.get((f, s))
             if last is None or now >= last + day:
-                last = now
-                taken.append(now // 1_000_000)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + day // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({first: [key[0]] * len(taken), second: [key[1]] * len(taken), "taken": taken})
-
-    timed = stream.withWatermark("ts", "24 hours").select(first, second, "ts", F.unix_micros("ts").alias("at"))
-    return timed.groupBy(first, second).applyInPandasWithState(step, f"{first} {kinds[first]}, {second} {kinds[second]}, taken long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+                held[f, s] = now
+                taken.append((f, s, now // 1_000_000))
+        state.update(([f for f, _ in held], [s for _, s in held], list(held.values())))
+        state.setTimeoutTimestamp(max((max(held.values()) + day) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(taken, columns=["first", "second", "taken"])
+
+    own = [F.col(c).cast("string").alias(name) for c, name in ((first, "first"), (second, "second"))]
+    timed = stream.withWatermark("ts", "24 hours").select(F.pmod(F.xxhash64(first, second), F.lit(DEALT)).alias("dealt"), *own, "ts", F.unix_micros("ts").alias("at"))
+    told = timed.groupBy("dealt").applyInPandasWithState(step, "first string, second string, taken long", "firsts array<string>, seconds array<string>, lasts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(F.col("first").cast(kinds[first]).alias(first), F.col("second").cast(kinds[second]).alias(second), "taken")
 
 
 LOCK = "subject string, id long, outcome string, failures int"
