@@ -12,6 +12,8 @@ import heapq
 import uuid
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -157,6 +159,75 @@ def latest_members(written: DataFrame) -> DataFrame:
     return written.join(last, ["board", "seq"]).select("board", place.alias("place"), "member", "at")
 
 
+LIST = "board string, member string, at long"
+
+
+def _replay(batches, most: int):
+    """Lists (board, member, at) after entries (board, at, id, member) that come by board, the old list first (listed), then by at and id. One list is held."""
+    names = ["board", "member", "at"]
+    board, held, heap = None, {}, []
+    told = lambda: pa.RecordBatch.from_arrays([pa.array([board] * len(held), pa.string()), pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names)
+    for batch in batches:
+        for own, listed, at, _, member in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != board:
+                if held:
+                    yield told()
+                board, held, heap = own, {}, []
+            while not listed and len(held) >= most:
+                oldest, name = heapq.heappop(heap)
+                if held.get(name) == oldest:  # else it was added anew since
+                    del held[name]
+            held[member] = at
+            heapq.heappush(heap, (at, member))
+            if len(heap) > 2 * most + 100:
+                heap = [(t, m) for m, t in held.items()]
+                heapq.heapify(heap)
+    if held:
+        yield told()
+
+
+def _decisive(fresh: DataFrame, most: int) -> DataFrame:
+    """Of entries that are newer than their board's list, those that decide the next list.
+
+    They are the last entries of the most members of the newest times (with all of equal time), since every other one is evicted or put anew,
+    and the entry before it of the board's last member: whether that was still in the list decides if the last entry
+    evicts another. (Of a member's entries at one microsecond the last one counts.) Ranks are taken in parts of a board first.
+    """
+    when = F.struct("at", "id")
+    end = fresh.groupBy("board").agg(F.max(F.struct("at", "id", "member")).alias("end")).select("board", "end.*")
+    before = fresh.alias("e").join(end.alias("x"), (F.col("e.board") == F.col("x.board")) & (F.col("e.member") == F.col("x.member")) & (F.struct("e.at", "e.id") < F.struct("x.at", "x.id")))
+    before = before.groupBy("e.board", "e.member").agg(F.max(F.struct("e.at", "e.id")).alias("w")).select("board", "w.at", "w.id", "member")
+    last = fresh.groupBy("board", "member").agg(F.max(when).alias("w")).select("board", "w.at", "w.id", "member").withColumn("part", F.pmod(F.xxhash64("member"), F.lit(64)))
+    for keys in (["board", "part"], ["board"]):
+        last = last.withColumn("n", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("at")))).where(F.col("n") <= most).drop("n")
+    return last.drop("part").unionByName(before)
+
+
+def recent_lists(stream: DataFrame, folder: str, most: int = MOST_MEMBERS, name: str | None = None) -> DataFrame:
+    """The lists (board, member, at) that recent_members() leads to, where a board may have most entries: of a batch only those that decide go to its task.
+
+    Entries not newer than the board's list, of which an earlier batch knew newer ones, are taken one by one. A run of a name goes on with the lists of the last one.
+    """
+    spark, out = stream.sparkSession, f"{folder}/{name or uuid.uuid4().hex}"
+    entries = stream.select("board", "member", "id", "at").where("board is not null and member is not null and at is not null")
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch.persist(StorageLevel.DISK_ONLY)
+        old = spark.read.schema(LIST).parquet(f"{out}/lists/batch={number - 1}") if number else spark.createDataFrame([], LIST)
+        known = old.groupBy("board").agg(F.max("at").alias("newest"))
+        dated = batch.join(known, "board", "left")
+        late = dated.where("at <= newest").select("board", "at", "id", "member")
+        asked = late.unionByName(_decisive(dated.where("newest is null or at > newest").select("board", "at", "id", "member"), most)).withColumn("listed", F.lit(False))
+        rows = asked.unionByName(old.withColumn("listed", F.lit(True)).withColumn("id", F.lit(0).cast("long"))).select("board", "listed", "at", "id", "member")
+        ordered = rows.repartition("board").sortWithinPartitions("board", F.desc("listed"), "at", "id")
+        ordered.mapInArrow(lambda batches: _replay(batches, most), LIST).write.mode("overwrite").parquet(f"{out}/lists/batch={number}")
+        batch.unpersist()
+
+    entries.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+    lists = spark.read.schema(f"{LIST}, batch int").parquet(f"{out}/lists")
+    return lists.join(lists.agg(F.max("batch").alias("batch")), "batch").select("board", "member", "at")
+
+
 def first_touches(stream: DataFrame) -> DataFrame:
     """The first campaign visit of each user, kept for ever."""
     visits = stream.where("event_type = 'view' and user_id % 3 <> 0")
