@@ -28,7 +28,9 @@ TIMES = "degrees?|minutes?|mins?|hours?|hrs?|seconds?|secs?"
 
 
 def _trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """x without white space at its ends; the pattern goes through a text only if its first or last character is white space."""
+    ends = F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
 
 
 def _pieces(x: Column) -> Column:
@@ -52,11 +54,14 @@ def split_blob(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, part, line, bare) of every line with text, long ones cut; bare is trimmed."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(doc_id, pos, part, line, bare) of every line with text, long ones cut; bare is trimmed.
+
+    Arrays are exploded as outer ones, else Spark makes them twice, first for a filter on their size.
+    """
+    rows = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("bare", _trim(F.col("line"))).where("bare <> ''").withColumn("parts", split_blob(F.col("bare")))
     cut = rows.select("doc_id", "pos", F.when(F.size("parts") > 1, F.col("parts")).otherwise(F.array("line")).alias("lines"))
-    return cut.select("doc_id", "pos", F.posexplode("lines").alias("part", "line")).withColumn("bare", _trim(F.col("line")))
+    return cut.select("doc_id", "pos", F.posexplode_outer("lines").alias("part", "line")).withColumn("bare", _trim(F.col("line")))
 
 
 def sections(rows: DataFrame) -> DataFrame:
@@ -81,9 +86,9 @@ def text_recipes(docs: DataFrame) -> DataFrame:
     cleaned = _trim(F.regexp_replace(F.regexp_replace("line", r"^[-*•]\s*", ""), r"^[0-9]+\.\s*", ""))
     title = _trim(F.regexp_replace(F.regexp_replace("line", r"^[<®=\-\[\]0-9.]+\s*", ""), r"(?i)^Title:\s*", ""))
     rows = known.withColumn("clean", cleaned).withColumn("title", title)
-    verb = lambda x: F.expr(T.has_verb(SPARK, x))
     cut = F.filter(F.transform(F.split("clean", r"\.\s+(?=[A-Z])"), lambda s: _trim(F.regexp_replace(_trim(s), r"\.$", ""))), lambda s: s != "")
-    rows = rows.withColumn("sentences", F.when(F.size(cut) > 0, cut).otherwise(F.array("clean"))).withColumn("told", F.expr(f"filter(sentences, s -> {T.has_verb(SPARK, 's')})"))
+    # made in the branches that ask for it, not for every line; a line without a cooking verb has no sentence with one
+    told = F.filter(F.when(F.size(cut) > 0, cut).otherwise(F.array("clean")), lambda s: F.rlike(F.lower(s), F.lit(T.VERB_WORD)))
     numbered, bullet = F.col("bare").rlike(NUMBERED), F.col("bare").rlike(BULLET)
     likely = F.expr(T.likely_ingredient(SPARK, "clean"))
     said = lambda kind, texts: F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
@@ -91,14 +96,14 @@ def text_recipes(docs: DataFrame) -> DataFrame:
     content = (
         F.when(F.col("is_title") | F.col("is_header") | F.lower("bare").rlike(ARTIFACT) | (F.col("clean") == ""), none)
         .when(F.col("section") == "ingredients", said("ingredient", F.array("clean")))
-        .when(F.col("section") == "steps", said("step", F.when(numbered, F.array("clean")).otherwise(F.col("told"))))
+        .when(F.col("section") == "steps", said("step", F.when(numbered, F.array("clean")).otherwise(told)))
         .when(bullet | likely, said("ingredient", F.array("clean")))
         .when(numbered, said("step", F.array("clean")))
-        .when((F.length("clean") > T.STEP_LONGER) & verb("clean"), said("step", F.col("told")))
+        .when(F.length("clean") > T.STEP_LONGER, said("step", told))
         .otherwise(none)
     )
     heading = F.when(F.col("is_title"), said("title", F.array("title"))).when(F.col("is_first"), said("title", F.array(F.lit(UNTITLED)))).otherwise(none)
-    return rows.select("doc_id", "pos", "part", F.posexplode(F.concat(heading, content)).alias("k", "x")).select("doc_id", "pos", "part", "k", "x.kind", "x.text")
+    return rows.select("doc_id", "pos", "part", F.posexplode_outer(F.concat(heading, content)).alias("k", "x")).where("k is not null").select("doc_id", "pos", "part", "k", "x.kind", "x.text")
 
 
 #: Where a page's data has texts and captions, and how long those must be.

@@ -137,3 +137,11 @@ def test_large_members_of_archives(spark):
     big = json.dumps({"name": "x" * (17 << 20)}).encode()
     whole = b"\x1f\x8b" * 2000 + gzip.compress(big) + b"noise" + gzip.compress(b'{"name": "b"}')
     assert [len(m) for m in payloads.members(whole)] == [len(big), 13]
+
+
+def test_a_line_is_searched_for_verbs_once_where_its_kind_hangs_on_them(spark):
+    docs = spark.createDataFrame([(1, "Soup\n 1 cup milk  \nSteps\n Stir it. Serve it hot. ")], "doc_id long, text string")
+    found = texts.text_recipes(docs)
+    assert [(r.kind, r.text) for r in found.orderBy("pos", "part", "k").collect()] == [("title", "Soup"), ("ingredient", "1 cup milk"), ("step", "Stir it"), ("step", "Serve it hot")]
+    nodes = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "marinate" in line]
+    assert len(nodes) == 1 and "Filter" not in nodes[0]
