@@ -9,7 +9,7 @@ costs no more than a part of one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .staging import stage
@@ -17,14 +17,17 @@ from .staging import stage
 MAX_ROUNDS = 60
 
 
-def _state(links: DataFrame) -> tuple:
-    r = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r.n, r.s
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a written table, and their count and checksum as they were written."""
+    seen = Observation()
+    told = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+    return stage(told, "links"), (seen.get["n"], seen.get["s"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to the node's smallest neighbour (or itself)."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.inline(ways))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
     moved = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()
@@ -39,16 +42,14 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in links (a, b): the smallest node that it is connected with. Roots have no row."""
-    now = stage(links.select("a", "b").where("a <> b"), "links")
-    state = _state(now)
+    """(node, root) of every node in links (a, b): the smallest node that it is connected with. Roots have no row.
+
+    links should be a written table: the first round reads it more than once.
+    """
+    now, before = links.select("a", "b").where("a <> b"), None
     for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
-        now = stage(_small_star(_large_star(now)), "links")
-        before, state = state, _state(now)
-        if state == before:
+        now, state = _written(_small_star(_large_star(now)))
+        if not state[0] or state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if state[0]:
-        raise RuntimeError(f"not settled after {MAX_ROUNDS} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = state
+    raise RuntimeError(f"not settled after {MAX_ROUNDS} rounds")

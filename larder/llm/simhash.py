@@ -110,7 +110,7 @@ def near_duplicates(df: DataFrame, words: int = 3, text: str = "text", doc_id: s
     """(doc_id, fp, component_id) of every row of df."""
     docs = stage(fingerprints(df.select(column(doc_id).alias("doc_id"), column(text).alias("text")), words), "fingerprints")
     firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(docs.select("fp").distinct()))
+    roots = components(stage(links(docs.select("fp").distinct()), "pairs"))
     rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = stage(rooted.join(smallest, "root").select("fp", "component_id"), "labels")

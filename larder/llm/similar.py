@@ -87,7 +87,8 @@ def partners(df: DataFrame, buckets: int, words: int) -> tuple[DataFrame, DataFr
 
     A task sorts the shingles of many rows at a time and cuts them into blocks by hash. What
     repeats there is settled there, and only one of the repeated goes on, so that a shingle
-    of a third of all rows comes to its block once for each HELD shingles.
+    of a third of all rows comes to its block once for each HELD shingles. Counts go back
+    packed to the rows' own chunk, a row of Spark for a block and not for each row in it.
     """
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     span = (1 << 62) * PART / buckets
@@ -136,30 +137,36 @@ def partners(df: DataFrame, buckets: int, words: int) -> tuple[DataFrame, DataFr
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held), kinds)], ["bucket", "base", "tokens", "rows"])
 
     def meet(table):
+        """(base, rows): for each block of the bucket, packed, which of its chunk's rows have shared shingles there, and how many."""
         bases, rows = table.column("base").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("rows").to_pylist()]
-        rests = [np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]
-        rests, owner = np.concatenate(rests), np.concatenate([np.where(r == NOBODY, -1, r.astype(np.int64) + b) for b, r in zip(bases, rows)])
+        rests = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()])
+        owner = np.concatenate(rows).astype(np.int64)
+        owner = np.where(owner == NOBODY, -1, owner | np.repeat(np.arange(len(rows), dtype=np.int64), [len(r) for r in rows]) << 32)
         order = np.argsort(rests, kind="stable")
         rests, owner = rests[order], owner[order]
         at = np.flatnonzero(np.concatenate(([True], rests[1:] != rests[:-1])))
         n = np.diff(np.append(at, len(rests)))
         alone = np.minimum.reduceat(owner, at) >= 0  # a rest that comes settled is shared wherever it comes
         owner = owner[np.repeat((n > 1) | ~alone, n)]
-        rid, n = np.unique(owner[owner >= 0], return_counts=True)
-        return pa.table({"rid": pa.array(rid, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
+        who, n = np.unique(owner[owner >= 0], return_counts=True)
+        edges = np.searchsorted(who, np.arange(len(rows) + 1, dtype=np.int64) << 32)
+        found = [(base, np.stack([(who[low:high] & NOBODY).astype(np.uint32), n[low:high].astype(np.uint32)]).tobytes()) for base, low, high in zip(bases, edges[:-1], edges[1:]) if low < high]
+        return pa.table({"base": pa.array([b for b, _ in found], pa.int64()), "rows": pa.array([r for _, r in found], pa.binary())})
+
+    def together(table):
+        """(rid, n) of the rows of one chunk, from all of its blocks."""
+        base = table.column("base")[0].as_py()
+        parts = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in table.column("rows").to_pylist()]
+        who, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.zeros(len(who), np.int64)
+        np.add.at(n, at, np.concatenate([p[1] for p in parts]).astype(np.int64))
+        return pa.table({"rid": pa.array(who.astype(np.int64) + base), "n": pa.array(n)})
 
     packed = df.select("rid", "text").mapInArrow(cut, "bucket int, base long, tokens binary, rows binary")
-
-    def settled(batches):
-        for batch in batches:
-            for base, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                who, n = np.frombuffer(raw, np.uint32).astype(np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(who + base), pa.array(n)], ["rid", "n"])
-
     held = stage(packed, "blocks")
-    apart = held.where("bucket > 0").groupBy("bucket").applyInArrow(meet, "rid long, n long")
-    every = held.where("bucket = 0").select("base", "rows").mapInArrow(settled, "rid long, n long").union(apart)
-    return held, every.groupBy("rid").agg(F.sum("n").alias("n"))
+    apart = held.where("bucket > 0").groupBy("bucket").applyInArrow(meet, "base long, rows binary")
+    every = held.where("bucket = 0").select("base", "rows").union(apart)
+    return held, every.groupBy("base").applyInArrow(together, "rid long, n long")
 
 
 def tokens_of(texts: DataFrame, words: int) -> DataFrame:
@@ -222,22 +229,19 @@ def _enough(similarity: float) -> Column:
     return F.col("common") + rest >= similarity / (1 + similarity) * (F.col("a") + F.col("b")) - NEAR
 
 
-def leads(met: DataFrame, ends: DataFrame, round_: int, similarity: float) -> DataFrame:
-    """Pairs (x, y): each row of met (rid, token, root) with the lead of another root that most of its tokens have; a token's lead is one of its rows.
+def leads(met: DataFrame, round_: int, similarity: float) -> DataFrame:
+    """Pairs (x, y): each row of met (rid, token, size, last, root) with the lead of another root that most of its tokens have; a token's lead is one of its rows.
 
-    Of ends (rid, size, last) come the sizes by which pairs that cannot be similar are left out. A
+    Pairs that cannot be similar by their sizes are left out. A
     pair's tokens with other leads are not counted, so that one that is similar may be left out too;
     crossing() has all of them.
     """
-    one = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(round_)).alias("h"), "root", "rid")).alias("lead"))
-    led = met.join(one, "token").where("root <> lead.root").select("rid", F.col("lead.rid").alias("y"))
-    most = led.groupBy("rid", "y").agg(F.count("*").alias("n")).groupBy("rid").agg(F.max(F.struct("n", "y")).alias("best"))
-    pairs = most.select(F.col("rid").alias("x"), F.col("best.y").alias("y"), F.col("best.n").alias("common"))
-    sized = pairs
-    for side, size, last in (("x", "a", "last_x"), ("y", "b", "last_y")):
-        sized = sized.join(ends.select(F.col("rid").alias(side), F.col("size").alias(size), F.col("last").alias(last)), side)
+    one = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(round_)).alias("h"), "root", "rid", "size", "last")).alias("lead"))
+    led = met.join(one, "token").where("root <> lead.root").select(F.col("rid").alias("x"), F.col("size").alias("a"), F.col("last").alias("last_x"), F.struct("lead.rid", "lead.size", "lead.last").alias("y"))
+    most = led.groupBy("x", "a", "last_x", "y").agg(F.count("*").alias("n")).groupBy("x", "a", "last_x").agg(F.max(F.struct("n", "y")).alias("best"))
+    pairs = most.select("x", F.col("best.y.rid").alias("y"), "a", F.col("best.y.size").alias("b"), F.col("best.n").alias("common"), (F.col("last_x") <= F.col("best.y.last")).alias("first"))
     fits = F.least("a", "b") >= similarity * F.greatest("a", "b") - NEAR
-    return sized.withColumn("first", F.col("last_x") <= F.col("last_y")).where(fits & _enough(similarity)).select("x", "y")
+    return pairs.where(fits & _enough(similarity)).select("x", "y")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -292,9 +296,8 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     met = stage(rows.join(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token"), "met")
     rooted = lambda: met.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     merged = lambda more: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    ends = stage(rows.groupBy("rid").agg(F.first("size").alias("size"), F.first("last").alias("last")), "ends")
     for k in range(ROUNDS):
-        new = stage(alike(stage(leads(rooted(), ends, k, similarity), "leads"), texts, words, similarity), "lead_links")
+        new = stage(alike(stage(leads(rooted(), k, similarity), "leads"), texts, words, similarity), "lead_links")
         if new.isEmpty():
             break
         roots = merged(new)

@@ -1,7 +1,7 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -135,3 +135,18 @@ def test_stages_leave_columns_of_other_names_alone(spark):
     assert [r.text for r in docs.collect()] == [text + "mail [email]"]
     last = C.STAGES[-1][1](spark, docs, DATA)
     assert last.count() == 1 and C.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
+
+
+def test_counts_of_shared_shingles_come_once_a_row_however_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HELD", 300)
+    rng = random.Random(3)
+    texts = {k: " ".join(rng.choices("abcdefgh", k=rng.randrange(1, 90))) for k in range(120)}
+    rows = stage(spark.createDataFrame(list(texts.items()), "rid long, text string").repartition(3), "rows")
+    counted = {k: set(similar.counted(similar.shingle_set(t, 5)).tolist()) for k, t in texts.items()}
+    n = Counter(t for own in counted.values() for t in own)
+    want = {k: shared for k, own in counted.items() if (shared := sum(n[t] > 1 for t in own))}
+    for buckets in (1, 40):
+        blocks, shared = similar.partners(rows, buckets, 5)
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+        assert {r.rid: r.n for r in shared.collect()} == want and shared.count() == len(want)
+        assert "[bucket" in plan and "[base" in plan and "hashpartitioning(rid" not in plan
