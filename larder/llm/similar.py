@@ -91,26 +91,27 @@ def partners(df: DataFrame, buckets: int, words: int) -> tuple[DataFrame, DataFr
     packed to the rows' own chunk, a row of Spark for a block and not for each row in it.
     """
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    span = (1 << 62) * PART / buckets
+    bounds = np.array([int((1 << 62) * PART / buckets * k) for k in range(1, buckets)], np.uint64)
 
     def blocks(rids: list[int], sets: list[np.ndarray]):
         base = min(rids)
-        owner = np.repeat(np.array([r - base for r in rids], np.int64), [len(s) for s in sets])
+        owner = np.repeat(np.array([r - base for r in rids], np.uint32), [len(s) for s in sets])
         tokens = np.concatenate(sets)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
+        del order
         first = np.concatenate(([True], tokens[1:] != tokens[:-1]))
         at = np.flatnonzero(first)
-        again = np.diff(np.append(at, len(tokens))) > 1
-        settled = np.repeat(again, np.diff(np.append(at, len(tokens))))
-        who, n = np.unique(owner[settled], return_counts=True)
+        n = np.diff(np.append(at, len(tokens)))
+        again = n > 1
+        who, n = np.unique(owner[np.repeat(again, n)], return_counts=True)
         yield 0, base, b"", np.stack([who.astype(np.uint32), n.astype(np.uint32)]).tobytes()
-        tokens, owner = tokens[at], np.where(again, NOBODY, owner[at]).astype(np.uint32)
-        bucket = np.minimum(tokens.astype(np.float64) / span, buckets - 1).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        rest = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield int(bucket[low]) + 1, base, rest[low:high].tobytes(), owner[low:high].tobytes()
+        tokens, owner = tokens[at], owner[at]
+        owner[again] = NOBODY
+        edges = [0, *np.searchsorted(tokens, bounds).tolist(), len(tokens)]
+        for bucket, (low, high) in enumerate(zip(edges[:-1], edges[1:]), 1):
+            if low < high:
+                yield bucket, base, tokens[low:high].astype(np.uint32).tobytes(), owner[low:high].tobytes()
 
     def cut(batches):
         rids, sets, held = [], [], 0
@@ -140,10 +141,10 @@ def partners(df: DataFrame, buckets: int, words: int) -> tuple[DataFrame, DataFr
         """(base, rows): for each block of the bucket, packed, which of its chunk's rows have shared shingles there, and how many."""
         bases, rows = table.column("base").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("rows").to_pylist()]
         rests = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()])
-        owner = np.concatenate(rows).astype(np.int64)
-        owner = np.where(owner == NOBODY, -1, owner | np.repeat(np.arange(len(rows), dtype=np.int64), [len(r) for r in rows]) << 32)
+        owner = np.concatenate([np.where(r == NOBODY, -1, r.astype(np.int64) + (k << 32)) for k, r in enumerate(rows)])
         order = np.argsort(rests, kind="stable")
         rests, owner = rests[order], owner[order]
+        del order
         at = np.flatnonzero(np.concatenate(([True], rests[1:] != rests[:-1])))
         n = np.diff(np.append(at, len(rests)))
         alone = np.minimum.reduceat(owner, at) >= 0  # a rest that comes settled is shared wherever it comes
