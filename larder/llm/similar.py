@@ -8,9 +8,10 @@ similarity 0.8 differ in some 10 of 64 bits, so an exact similarity join stands
    set that has a partner shares all but 1 - t of its shingles, so those of that part
    which no other set has are that many at most; all other sets are done. Shingles travel as
    packed blocks of 32-bit rests, by which chance can only keep a set, not lose one.
-3. The shingles of the sets that are left are put in one order: frequent ones (in more than
-   ``FREQUENT`` sets) last, else by hash. Two similar sets meet among the first
-   (1 - t) * size + 1 of each (prefix filter; any one order is right).
+3. The shingles of the sets that are left are put in one order, by the number of sets that
+   have them (``levels()``), else by hash. Two similar sets meet among the first
+   (1 - t) * size + 1 of each (prefix filter; any one order is right). Shingles of one set only
+   meet nothing and go no further.
 4. Pairs are verified by their whole shingle sets. First come the Golay links, then, for
    ``ROUNDS`` rounds, each set with the one set of another group that leads most of its
    prefix: these merge large groups with one pair a row. Then ``crossing()`` gives
@@ -42,9 +43,13 @@ PART = 0.3
 HELD, BLOCK = 1 << 20, 1 << 20
 FREQUENT = 8
 ROUNDS = 3
+#: Leads of a row in a round.
+LEADS = 4
 #: Pairs of one set that are verified in one place.
 TOGETHER = 512
 NEAR = 1e-6
+#: Columns of a set's marks: of each of 256 parts of the hash space, whether an odd number of its shingles is there.
+MARKS = ["m0", "m1", "m2", "m3"]
 NOBODY = 0xFFFFFFFF
 
 
@@ -170,54 +175,93 @@ def partners(df: DataFrame, buckets: int, words: int) -> tuple[DataFrame, DataFr
     return held, every.groupBy("base").applyInArrow(together, "rid long, n long")
 
 
-def tokens_of(texts: DataFrame, words: int) -> DataFrame:
-    """(rid, token) of texts (rid, text): each row's different shingles."""
+def marks(own: np.ndarray) -> np.ndarray:
+    """MARKS of a shingle set: two sets differ in at least as many shingles as in marks."""
+    odd = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = shingle_set(t.as_py(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rid, np.int64)), pa.array(own)], ["rid", "token"])
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, token long")
+def levels(n: np.ndarray) -> np.ndarray:
+    """How late shingles of n sets come in the one order, 0 to 63: those of one set first, each number apart up to FREQUENT, then by thirds of doublings."""
+    few = max(FREQUENT, 1)
+    return np.minimum(63, np.where(n <= few, n - 1, few - 1 + np.floor(3 * np.log2(np.maximum(n, few) / few)))).astype(np.uint8)
 
 
-PREFIX = "rid long, token long, size long, last long"
+def chunk_tokens(table: pa.Table, words: int) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of the rows of a chunk: rids, shingle sets, and all different shingles in order with the number of sets that have each."""
+    sets = [shingle_set(t.as_py(), words) for t in table.column("text")]
+    return table.column("rid").to_pylist(), sets, *np.unique(np.concatenate(sets), return_counts=True)
 
 
-def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(rid, token, size, last) of texts (rid, text): the first shingles of each set, the set's size and the last of the first; tokens are in their order."""
-    tokens = tokens_of(texts, words)
-    frequent = stage(tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT).select("token"), "frequent")
-    late = tokens.join(frequent, "token").groupBy("rid").agg(F.collect_list("token").alias("late"))
-    behind = np.int64(1 << 62)
+def prefixes(texts: DataFrame, total: int, words: int, similarity: float) -> DataFrame:
+    """(rid, token, size, last, own, MARKS) of texts (rid, text): those of each set's first shingles that other sets have, the set's size, the last of the first, and how many shingles of the set no other has; tokens are in their order.
 
-    def run(batches):
-        for batch in batches:
-            for rid, t, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                own = shingle_set(t.as_py(), words).view(np.int64)
+    The order is by the number of sets that have a shingle (levels()), then by hash. Rows are dealt to
+    chunks by their number; total is how many shingles they have. A chunk sends each of its shingles once, to the block of
+    its hash, packed, and a byte each comes back. Rests of 32 bits that are equal by chance are counted
+    together, for all sets alike, so that the order stays one.
+    """
+    buckets = max(1, ceil(total / BLOCK))
+    chunks = max(ceil(total / HELD), 2 * texts.sparkSession.sparkContext.defaultParallelism)
+    bounds = np.array([int((1 << 62) / buckets * k) for k in range(1, buckets)], np.uint64)
+    dealt = texts.select(F.pmod(F.xxhash64("rid"), F.lit(chunks)).alias("chunk"), "rid", "text")
+
+    def cut(table):
+        _, _, tokens, n = chunk_tokens(table, words)
+        edges = [0, *np.searchsorted(tokens, bounds).tolist(), len(tokens)]
+        rests, n = tokens.astype(np.uint32), np.minimum(n, 0xFFFF).astype(np.uint16)
+        parts = [(k, rests[low:high].tobytes(), n[low:high].tobytes()) for k, (low, high) in enumerate(zip(edges[:-1], edges[1:])) if low < high]
+        bucket, packed, counts = zip(*parts) if parts else ((), (), ())
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(parts), pa.int64()), "tokens": pa.array(packed, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def meet(table):
+        rests = [np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()])
+        _, at = np.unique(np.concatenate(rests), return_inverse=True)
+        level = levels(np.bincount(at, counts))[at]
+        parts = np.split(level, np.cumsum([len(r) for r in rests])[:-1])
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "levels": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def first(rows, back):
+        out: dict = {"rid": [], "token": [], "size": [], "last": [], "own": []} | {m: [] for m in MARKS}
+        if rows.num_rows and back.num_rows:
+            rids, sets, tokens, _ = chunk_tokens(rows, words)
+            order = np.argsort(back.column("bucket").to_numpy())
+            packed = back.column("levels").to_pylist()
+            level = np.frombuffer(b"".join(packed[k] for k in order), np.uint8).astype(np.int64)
+            for rid, own in zip(rids, sets):
                 if not len(own):
                     continue
-                if late.is_valid:
-                    own = np.sort(np.where(np.isin(own, late.values.to_numpy(zero_copy_only=False)), own | behind, own))
-                first = own[: first_size(len(own), similarity)]
-                same = lambda x: pa.array(np.full(len(first), x, np.int64))
-                yield pa.RecordBatch.from_arrays([same(rid), pa.array(first), same(len(own)), same(int(first[-1]))], ["rid", "token", "size", "last"])
+                late = level[np.searchsorted(tokens, own)]
+                placed = np.sort(late << 57 | (own >> np.uint64(5)).astype(np.int64))[: first_size(len(own), similarity)]
+                shared = placed[placed >> 57 > 0]
+                for name, x in (("rid", np.full(len(shared), rid, np.int64)), ("token", shared), ("size", np.full(len(shared), len(own), np.int64)), ("last", np.full(len(shared), placed[-1], np.int64)), ("own", np.full(len(shared), np.count_nonzero(late == 0), np.int64)), *((m, np.full(len(shared), x)) for m, x in zip(MARKS, marks(own)))):
+                    out[name].append(x)
+        return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in out.items()})
 
-    return texts.join(late, "rid", "left").select("rid", "text", "late").mapInArrow(run, PREFIX)
+    blocks = dealt.groupBy("chunk").applyInArrow(cut, "bucket int, chunk long, tokens binary, counts binary")
+    back = blocks.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, levels binary")
+    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(first, "rid long, token long, size long, last long, own long, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def crossing(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of different roots that met (rid, token, size, last, root), the prefixes, allow to be similar.
+    """Pairs (x, y) of different roots that met (rid, token, size, last, root; own and MARKS where they are known), the prefixes, allow to be similar.
 
     Similar sets have at least t / (1 + t) * (|x| + |y|) shingles in common. Those of them that
     are not in both prefixes come after the prefix that ends first, so that many at
-    most are left of that set.
+    most are left of that set. None of them is one set's own, which bounds the size of a partner
+    (most). They differ in (1 - t) / (1 + t) * (|x| + |y|) shingles at most, so in as many marks: copies of
+    one text, each edited elsewhere, meet in all that is left of it, and are told apart before they are pairs.
     """
-    several = met.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    asked = met.join(several, "token")
+    own = F.col("own") if "own" in met.columns else F.lit(0)
+    bounded = met.withColumn("most", (F.col("size") - own) * (1 + similarity) / similarity - F.col("size") + NEAR)
+    fits = bounded.join(met.groupBy("token").agg(F.min("size").alias("least")), "token").where("most >= least")
+    several = fits.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    asked = fits.join(several, "token")
+    unlike = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS if m in met.columns), F.lit(0))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.rid") > F.col("y.rid"))
-    sized = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - NEAR
+    sized = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - NEAR) & (F.col("x.most") >= F.col("y.size")) & (F.col("y.most") >= F.col("x.size"))
+    sized &= unlike <= (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity)) + NEAR
     both = asked.alias("x").join(asked.alias("y"), apart & sized).select(F.col("x.rid").alias("x"), F.col("y.rid").alias("y"), F.col("x.size").alias("a"), F.col("y.size").alias("b"), (F.col("x.last") <= F.col("y.last")).alias("first"))
     found = both.groupBy("x", "y", "a", "b", "first").agg(F.count("*").alias("common"))
     return found.where(_enough(similarity)).select("x", "y")
@@ -231,18 +275,21 @@ def _enough(similarity: float) -> Column:
 
 
 def leads(met: DataFrame, round_: int, similarity: float) -> DataFrame:
-    """Pairs (x, y): each row of met (rid, token, size, last, root) with the lead of another root that most of its tokens have; a token's lead is one of its rows.
+    """Pairs (x, y): each row of met (rid, token, size, last, own, root) with the LEADS leads of other roots that most of its tokens have; a token's lead is one of its rows.
 
-    Pairs that cannot be similar by their sizes are left out. A
+    At first that is the row with the fewest shingles of its own, which edited copies of one text are all likest
+    to, then another one in every round. Pairs that cannot be similar by their sizes are left out. A
     pair's tokens with other leads are not counted, so that one that is similar may be left out too;
     crossing() has all of them.
     """
-    one = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(round_)).alias("h"), "root", "rid", "size", "last")).alias("lead"))
+    rank = F.xxhash64("rid", F.lit(round_)) if round_ else F.col("own")
+    one = met.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "root", "rid", "size", "last")).alias("lead"))
     led = met.join(one, "token").where("root <> lead.root").select(F.col("rid").alias("x"), F.col("size").alias("a"), F.col("last").alias("last_x"), F.struct("lead.rid", "lead.size", "lead.last").alias("y"))
-    most = led.groupBy("x", "a", "last_x", "y").agg(F.count("*").alias("n")).groupBy("x", "a", "last_x").agg(F.max(F.struct("n", "y")).alias("best"))
-    pairs = most.select("x", F.col("best.y.rid").alias("y"), "a", F.col("best.y.size").alias("b"), F.col("best.n").alias("common"), (F.col("last_x") <= F.col("best.y.last")).alias("first"))
-    fits = F.least("a", "b") >= similarity * F.greatest("a", "b") - NEAR
-    return pairs.where(fits & _enough(similarity)).select("x", "y")
+    counts = led.groupBy("x", "a", "last_x", "y").agg(F.count("*").alias("n"))
+    fits = F.least("a", "y.size") >= similarity * F.greatest("a", "y.size") - NEAR
+    pairs = counts.where(fits).select("x", "a", F.col("y.size").alias("b"), F.col("n").alias("common"), (F.col("last_x") <= F.col("y.last")).alias("first"), "y").where(_enough(similarity))
+    best = pairs.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("common", "y.rid")), asc=False), 1, LEADS).alias("best"))
+    return best.select("x", F.explode("best.rid").alias("y"))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -282,9 +329,9 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     total = docs.agg(F.coalesce(F.sum("part"), F.lit(0)).alias("n")).first().n
     blocks, shared = partners(df, max(1, ceil(total / BLOCK)), words)
     alive = reps.join(shared, "rid", "left").where(F.coalesce("n", F.lit(0)) >= F.col("part") - (1 - similarity) * F.col("size") - NEAR)
-    asked = stage(alive.where("size > 0").select("rid"), "alive")
+    asked = stage(alive.where("size > 0").select("rid", "size"), "alive")
     discard(blocks)
-    texts = stage(df.select("rid", "text").join(asked, "rid"), "texts")
+    texts = stage(df.select("rid", "text").join(asked.select("rid"), "rid"), "texts")
 
     fps = reps.where("size > 0").groupBy("fp").agg(F.min("rid").alias("lead"))
     near = links(fps.select("fp"))
@@ -293,8 +340,8 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     found = stage(alike(linked.union(same_fp), texts, words, similarity), "golay_links")
     roots = components(found)
 
-    rows = stage(prefixes(texts, words, similarity), "prefixes")
-    met = stage(rows.join(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token"), "met")
+    left = asked.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    met = stage(prefixes(texts, left, words, similarity), "prefixes")
     rooted = lambda: met.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     merged = lambda more: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     for k in range(ROUNDS):

@@ -150,3 +150,25 @@ def test_counts_of_shared_shingles_come_once_a_row_however_many_buckets(spark, m
         plan = shared._jdf.queryExecution().executedPlan().toString()
         assert {r.rid: r.n for r in shared.collect()} == want and shared.count() == len(want)
         assert "[bucket" in plan and "[base" in plan and "hashpartitioning(rid" not in plan
+
+
+def test_edited_copies_of_one_text_are_not_paired_with_each_other(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(150)]
+    texts = {}
+    for k in range(200):
+        w = list(passage)
+        for i in rng.sample(range(150), rng.randrange(7)):
+            w[i] = f"e{k}_{i}"
+        texts[k] = " ".join(w)
+    asked = []
+
+    def crossing(met, similarity, real=similar.crossing):
+        asked.append(real(met, similarity).count())
+        return real(met, similarity)
+
+    monkeypatch.setattr(similar, "crossing", crossing)
+    df = stage(spark.createDataFrame([(k, k, t) for k, t in texts.items()], "rid long, doc_id long, text string"), "rows")
+    got = {r.rid: r.first_rid for r in similar.similar_groups(df).collect()}
+    assert {k for k, v in got.items() if k == v} == firsts_of_groups(texts) and len(got) == 200
+    assert asked[0] <= len(texts)
